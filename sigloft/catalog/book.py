@@ -13,7 +13,7 @@ from sigloft.operators.keyed import latest_per_key, top_per_key
 from sigloft.plans import orders as plan
 from sigloft.plans.exits import exit_decision, exit_order
 from sigloft.plans.ledger import cost_basis as basis, fill_price, position_ledger as build_ledger, positions
-from sigloft.plans.sizing import cap_by_theme, kelly
+from sigloft.plans.sizing import cap_by_theme, with_kelly
 
 _LEFT = "(brief_id % 20)"
 _KB = kelly_sql("confidence", "price", BANKROLL, "(brief_id % 60)", _LEFT)
@@ -23,7 +23,7 @@ _PRICED = "priced_briefs AS (SELECT *, CASE WHEN recommended_side = 'yes' THEN o
 def _sized(spark, sf):
     rows = v.briefs(spark, sf).where(F.col("recommended_side").isNotNull())
     price = F.when(F.col("recommended_side") == "yes", F.col("odds")).otherwise(1 - F.col("odds"))
-    return rows.withColumn("k", kelly(F.col("confidence"), price, BANKROLL, F.col("brief_id") % 60, F.col("brief_id") % 20))
+    return with_kelly(rows, F.col("confidence"), price, BANKROLL, F.col("brief_id") % 60, F.col("brief_id") % 20, "k")
 
 
 @query("kelly_sizing", with_ctes(f"""

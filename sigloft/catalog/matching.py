@@ -10,26 +10,27 @@ from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.numeric import fixed
 from sigloft.plans import score
+from sigloft.session import stored
 
-_TITLED = "titled AS (SELECT m.ticker, m.series, b.text AS title FROM (SELECT DISTINCT ticker, series, item FROM msnap) m JOIN benchmark b ON b.item_id = m.item)"
+_TITLED = "titled AS MATERIALIZED (SELECT m.ticker, m.series, b.text AS title FROM (SELECT DISTINCT ticker, series, item FROM msnap) m JOIN benchmark b ON b.item_id = m.item)"
 _THEMES = """
-theme_match AS (
+theme_match AS MATERIALIZED (
   SELECT DISTINCT b.series_ticker, b.entity_type, b.entity_name AS bridge_name, e.entity_name
   FROM bridge b JOIN (SELECT DISTINCT entity_type, entity_name FROM env) e ON b.entity_type = e.entity_type
    AND (contains(lower(e.entity_name), lower(b.entity_name)) OR contains(lower(b.entity_name), lower(e.entity_name)))
   WHERE b.required_regex IS NULL OR b.required_regex = '' OR regexp_matches(e.entity_name, '(?i)' || b.required_regex))"""
 _PERSONS = """
-person_match AS (
+person_match AS MATERIALIZED (
   SELECT DISTINCT t.ticker, e.entity_name FROM titled t, (SELECT DISTINCT entity_name FROM env WHERE entity_type = 'person') e
   WHERE contains(t.title, e.entity_name))"""
 _ROUTES = f"""
-route_words AS (
+route_words AS MATERIALIZED (
   SELECT DISTINCT feed_key, keyword FROM article_words
   WHERE sec >= (SELECT a FROM kw_anchor) - 86400 AND length(keyword) > 3 AND keyword NOT IN {news.in_list(fv.ROUTING_STOPWORDS)}),
-route_hits AS (SELECT t.ticker, w.keyword FROM titled t, (SELECT DISTINCT keyword FROM route_words) w WHERE contains(lower(t.title), w.keyword)),
-routes AS (SELECT ticker, feed_key, keyword FROM route_hits JOIN route_words USING (keyword))"""
+route_hits AS MATERIALIZED (SELECT t.ticker, w.keyword FROM titled t, (SELECT DISTINCT keyword FROM route_words) w WHERE contains(lower(t.title), w.keyword)),
+routes AS MATERIALIZED (SELECT ticker, feed_key, keyword FROM route_hits JOIN route_words USING (keyword))"""
 _SIGNALS = """
-signals AS (
+signals AS MATERIALIZED (
   SELECT t.ticker, e.vol_spike_multiplier AS spike, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, e.tone_15m / 10)) AS tone
   FROM theme_match m JOIN env e USING (entity_type, entity_name) JOIN titled t ON t.series = m.series_ticker
   UNION ALL
@@ -37,7 +38,7 @@ signals AS (
   FROM person_match p JOIN env e ON e.entity_type = 'person' AND e.entity_name = p.entity_name
   UNION ALL
   SELECT r.ticker, k.vol_spike_multiplier, k.tone_15m FROM routes r JOIN kwv k USING (feed_key, keyword)),
-strongest AS (
+strongest AS MATERIALIZED (
   SELECT ticker, spike AS max_spike_multiplier, tone AS sentiment_signal FROM signals
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY spike DESC, abs(tone) DESC, tone DESC) = 1)"""
 _MARKETS = """
@@ -45,7 +46,7 @@ market_rows AS (
   SELECT ticker, series, item, status, yes_bid, sec, snap_id, row_number() OVER (PARTITION BY ticker ORDER BY sec DESC, snap_id DESC) AS r,
          lag(yes_bid, 1) OVER w AS p15, lag(yes_bid, 4) OVER w AS p1, lag(yes_bid, 96) OVER w AS p24
   FROM msnap WHERE sec >= (SELECT max(sec) FROM msnap) - 2592000 WINDOW w AS (PARTITION BY ticker ORDER BY sec, snap_id)),
-markets AS (
+markets AS MATERIALIZED (
   SELECT ticker, series, yes_bid, CASE WHEN p15 > 0 THEN (yes_bid - p15) / p15 ELSE 0 END AS delta_15m,
          CASE WHEN p1 > 0 THEN (yes_bid - p1) / p1 ELSE 0 END AS delta_1h, CASE WHEN p24 > 0 THEN (yes_bid - p24) / p24 ELSE 0 END AS delta_24h
   FROM market_rows WHERE r = 1 AND status IN ('active', 'open'))"""
@@ -66,12 +67,13 @@ def moved_markets(spark, sf, days: int = 30):
     recent = rows.where(F.col("sec") >= rows.agg(F.max("sec")).scalar() - days * 86_400)
     latest = score.latest_moves(recent, "ticker", ["sec", "snap_id"], "yes_bid", ["series", "item", "status"])
     items = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("title"))
-    return latest.where(F.col("status").isin("active", "open")).join(items, "item")
+    return stored(latest.where(F.col("status").isin("active", "open")).join(items, "item"), "markets")
 
 
 def signals(spark, sf, markets):
     """All three signal sources for the given markets (ticker, series, title)."""
-    entities, words = news.record_velocity(spark, sf), news.article_velocity(spark, sf)
+    entities = stored(news.record_velocity(spark, sf), "entity-velocity")
+    words = stored(news.article_velocity(spark, sf), "keyword-velocity")
     articles = v.articles(spark, sf)
     routes = score.keyword_routes(articles, markets, articles.agg(F.max("sec")).scalar())
     return (
@@ -82,12 +84,12 @@ def signals(spark, sf, markets):
 
 @query("theme_bridge_join", with_ctes("SELECT * FROM theme_match", v.RECORDS, news.ENTITY_VELOCITY, v.BRIDGE, _THEMES))
 def theme_bridge_join(spark, sf):
-    return score.bridge_matches(v.bridge(spark), news.record_velocity(spark, sf))
+    return score.bridge_matches(v.bridge(spark), stored(news.record_velocity(spark, sf), "entity-velocity"))
 
 
 @query("person_title_match", with_ctes("SELECT * FROM person_match", v.SNAP, v.MSNAP, _TITLED, *_ENTITIES, _PERSONS))
 def person_title_match(spark, sf):
-    return score.person_matches(titled_markets(spark, sf), news.record_velocity(spark, sf))
+    return score.person_matches(titled_markets(spark, sf), stored(news.record_velocity(spark, sf), "entity-velocity"))
 
 
 @query("keyword_title_route", with_ctes("SELECT * FROM routes", v.SNAP, v.MSNAP, _TITLED, *_WORDS, _ROUTES))
@@ -133,5 +135,5 @@ FROM markets LEFT JOIN (
 def legacy_score(spark, sf):
     """The older score over theme signals only."""
     markets = moved_markets(spark, sf)
-    themes = score.theme_signals(markets.select("ticker", "series", "title"), v.bridge(spark), news.record_velocity(spark, sf))
+    themes = score.theme_signals(markets.select("ticker", "series", "title"), v.bridge(spark), stored(news.record_velocity(spark, sf), "entity-velocity"))
     return score.legacy_mispricing(markets, themes).select("ticker", fixed("mispricing_score", 4).alias("mispricing_score"))

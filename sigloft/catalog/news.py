@@ -20,10 +20,10 @@ def in_list(words) -> str:
 
 
 KEYWORDS = f"""
-article_words AS (
+article_words AS MATERIALIZED (
   SELECT feed_key, link, sec, sentiment_score AS tone, unnest(string_split(lower(regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g')), ' ')) AS keyword
   FROM articles),
-kw AS (SELECT * FROM article_words WHERE length(keyword) > 3 AND keyword NOT IN {in_list(fv.VELOCITY_STOPWORDS)} AND NOT regexp_matches(keyword, '^[0-9]')),
+kw AS MATERIALIZED (SELECT * FROM article_words WHERE length(keyword) > 3 AND keyword NOT IN {in_list(fv.VELOCITY_STOPWORDS)} AND NOT regexp_matches(keyword, '^[0-9]')),
 kw_anchor AS (SELECT max(sec) AS a FROM articles)"""
 
 
@@ -38,7 +38,7 @@ def _velocity_cte(name: str, source: str, keys: str, floor: int, anchor: str) ->
   SELECT {keys}, max(v15) AS vol_15m, max(v24) AS vol_24h, arg_max(t15, sec) AS tone_15m, arg_max(t24, sec) AS tone_24h
   FROM {name}_framed GROUP BY {keys}),
 {name}_base AS (SELECT {keys}, count(*) AS vol_90d FROM {source} WHERE sec >= ({anchor}) - 7776000 GROUP BY {keys}),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT p.*, coalesce(vol_90d, 0) AS vol_90d,
          CASE WHEN coalesce(vol_90d, 0) >= {floor} THEN least(10.0::DOUBLE, vol_15m / (vol_90d / 8640.0::DOUBLE)) ELSE 0 END AS vol_spike_multiplier
   FROM {name}_profile p LEFT JOIN {name}_base b USING ({keys}))"""
@@ -109,7 +109,8 @@ def source_velocity(spark, sf):
 def cross_source_divergence(spark, sf):
     """Spread and agreement of the feeds' mean tone, per language."""
     means = v.articles(spark, sf).groupBy("lang", "feed_key").agg(F.avg("sentiment_score").alias("tone_15m"))
-    return cross_source(means, "lang", "feed_key").select("lang", *[fixed(c, 6).alias(c) for c in ("tone_divergence", "tone_consensus")])
+    crossed = cross_source(means, "lang", "feed_key")
+    return crossed.select("lang", *[fixed(c, 6).alias(c) for c in ("tone_divergence", "tone_consensus")]).distinct()
 
 
 @query("list_clean_explode", with_ctes(

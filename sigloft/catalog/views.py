@@ -5,11 +5,11 @@ Derived prices, scores and tones are whole numbers over a power of two, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloft.functions import fixed_values as fv
-from sigloft.session import pin_utc
+from sigloft.session import pin_utc, spread
 from sigloft.sources.landed import fixed_rows
 
 EPOCH = 1704067200  # 2024-01-01
@@ -24,12 +24,16 @@ _TIMED = {
 }
 
 
+_LONG_TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; zone-less times are read as UTC instants."""
     reader = pin_utc(spark).read
     if name in _TIMED:
         reader = reader.schema(_TIMED[name])
-    return reader.parquet(f"{sf}/{name}.parquet")
+    rows = reader.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in _LONG_TEXTS else rows
 
 
 def hashed(key: str, factor: int, modulus: int, shift: int = 0) -> Column:
@@ -71,7 +75,7 @@ def snap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MSNAP = """
-msnap AS (
+msnap AS MATERIALIZED (
   SELECT 'S' || (item % 8) || '-' || item AS ticker, 'S' || (item % 8) AS series, item, snap_id, pos, sec, bid AS yes_bid,
          ask AS yes_ask, volume, status
   FROM (SELECT *, user_id % (SELECT count(*) FROM benchmark) AS item FROM snap))"""
@@ -124,7 +128,7 @@ record_tokens AS (
   SELECT doc_id, {EPOCH} + 97 * doc_id AS sec, ((53 * doc_id) % 161 - 80) / 8::DOUBLE AS tone,
          unnest(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' ')) AS w
   FROM documents),
-entity_mentions AS (
+entity_mentions AS MATERIALIZED (
   SELECT CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'person' WHEN length(w) >= 9 THEN 'theme'
               WHEN length(w) >= 7 THEN 'organization' ELSE 'location' END AS entity_type,
          CASE WHEN NOT regexp_matches(w, '^[A-Z]') AND length(w) >= 9 THEN upper(w) ELSE w END AS entity_name, doc_id, sec, tone

@@ -54,30 +54,35 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
     )
 
     def score(asks_pdf: pd.DataFrame, docs_pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c.split()[0]: [] for c in _SCHEMA.split(", ")})
-        if asks_pdf.empty or docs_pdf.empty:
-            return empty
-        q = np.stack(asks_pdf["vector"].to_numpy()).astype(np.float64)
-        d = np.stack(docs_pdf["vector"].to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
-        distance = np.floor((1.0 - (q @ d.T) / np.where(norms == 0, 1.0, norms)) * 1e9 + 0.5) / 1e9
-        ids, times = docs_pdf["doc_id"].to_numpy(), docs_pdf["doc_time"].to_numpy()
-        allowed = ids[None, :] != asks_pdf["query_id"].to_numpy()[:, None]
-        if window is not None:
-            age = asks_pdf["as_of"].to_numpy()[:, None] - times[None, :]
-            allowed &= (age >= 0) & (age <= window)
-        collections = docs_pdf["collection"].to_numpy()
-        parts = []
-        for name in pd.unique(collections):
-            member = np.flatnonzero(collections == name)
-            for row, query_id in enumerate(asks_pdf["query_id"]):
-                usable = member[allowed[row, member]]
-                best = usable[np.lexsort((ids[usable], distance[row, usable]))[:k]]
-                parts.append(pd.DataFrame({
-                    "query_id": query_id, "collection": name, "doc_id": ids[best], "doc_time": times[best],
-                    "distance": distance[row, best],
-                }))
-        return pd.concat(parts, ignore_index=True) if parts else empty
+        picked_q, picked_d = [], []
+        if not asks_pdf.empty and not docs_pdf.empty:
+            q = np.stack(asks_pdf["vector"].to_numpy()).astype(np.float64)
+            d = np.stack(docs_pdf["vector"].to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
+            distance = np.floor((1.0 - (q @ d.T) / np.where(norms == 0, 1.0, norms)) * 1e9 + 0.5) / 1e9
+            ids, times = docs_pdf["doc_id"].to_numpy(), docs_pdf["doc_time"].to_numpy()
+            allowed = ids[None, :] != asks_pdf["query_id"].to_numpy()[:, None]
+            if window is not None:
+                age = asks_pdf["as_of"].to_numpy()[:, None] - times[None, :]
+                allowed &= (age >= 0) & (age <= window)
+            codes, _ = pd.factorize(docs_pdf["collection"])
+            for code in np.unique(codes):
+                member = np.flatnonzero(codes == code)
+                for row in range(len(q)):
+                    usable = member[allowed[row, member]]
+                    best = usable[np.lexsort((ids[usable], distance[row, usable]))[:k]]
+                    picked_q.append(np.full(len(best), row))
+                    picked_d.append(best)
+        at_q = np.concatenate(picked_q) if picked_q else np.empty(0, dtype=np.int64)
+        at_d = np.concatenate(picked_d) if picked_d else np.empty(0, dtype=np.int64)
+        chosen = docs_pdf.iloc[at_d]
+        return pd.DataFrame({
+            "query_id": asks_pdf["query_id"].to_numpy()[at_q],
+            "collection": np.asarray(chosen["collection"], dtype=object),
+            "doc_id": chosen["doc_id"].to_numpy(),
+            "doc_time": chosen["doc_time"].to_numpy(),
+            "distance": distance[at_q, at_d] if len(at_q) else np.empty(0),
+        })
 
     scored = (
         ask_blocks.groupBy("_bucket", "_d", "_q")

@@ -12,7 +12,7 @@ from sigloft.operators.asof import asof_join
 from sigloft.operators.keyed import top_per_key
 from sigloft.operators.ordered import HOT_ROWS, running
 from sigloft.plans.exits import first_touch
-from sigloft.plans.sizing import cap_by_theme, kelly
+from sigloft.plans.sizing import cap_by_theme, with_kelly
 
 
 def usable_briefs(briefs: DataFrame, since: Column | None = None) -> DataFrame:
@@ -60,13 +60,13 @@ def signal_backtest(briefs: DataFrame, settled: DataFrame, live: DataFrame, bank
     per = F.when(known, F.when(won, 1.0 - entry).otherwise(-entry)).otherwise(mark - entry)
     shown = F.when(known, F.when(F.col("result") == "yes", 1.0).otherwise(0.0)).otherwise(mark)
     days = F.when(~known, (F.col("close_sec") - anchor_sec) / 86_400.0)
-    staged = joined.withColumns({
-        "outcome": outcome, "entry_price": entry, "current_price": shown, "pnl_per_contract": per,
-        "_k": kelly(F.col("confidence"), entry, bankroll, resolved, days),
-    }).withColumns({
+    priced = joined.withColumns({
+        "outcome": outcome, "entry_price": entry, "current_price": shown, "pnl_per_contract": per, "_days": days,
+    })
+    staged = with_kelly(priced, F.col("confidence"), F.col("entry_price"), bankroll, resolved, F.col("_days"), "_k").withColumns({
         "kelly_edge": F.col("_k.edge_detected"), "kelly_fraction": F.col("_k.kelly_fraction"),
         "suggested_bet_usd": F.col("_k.suggested_bet_usd"),
-    }).drop("_k", "live_bid", "close_sec", "result")
+    }).drop("_k", "_days", "live_bid", "close_sec", "result")
     capped = cap_by_theme(staged, bankroll)
     stake = F.when(F.col("kelly_fraction") > 0, F.col("capped_bet")).otherwise(F.lit(fv.FLAT_BET))
     size = F.when(F.col("entry_price") > 0, F.floor(stake / F.col("entry_price"))).otherwise(0)
@@ -91,7 +91,7 @@ def backtest_stats(rows: DataFrame) -> DataFrame:
 def sized_trades(briefs: DataFrame, bankroll: float) -> DataFrame:
     """Briefs with a Kelly edge as trades for :func:`first_touch` (proven calibration assumed)."""
     entry = entry_price(F.col("recommended_side"), F.col("odds"))
-    sized = briefs.withColumn("entry_price", entry).withColumn("_k", kelly(F.col("confidence"), F.col("entry_price"), bankroll, 50))
+    sized = with_kelly(briefs.withColumn("entry_price", entry), F.col("confidence"), F.col("entry_price"), bankroll, 50, name="_k")
     return sized.where(F.col("_k.edge_detected")).select(
         F.col("brief_id").alias("trade_id"), "ticker", F.col("recommended_side").alias("side"), "entry_price", "odds",
         "confidence", F.floor(F.col("_k.suggested_bet_usd") / F.col("entry_price")).alias("qty"),

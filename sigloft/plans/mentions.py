@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.text import first_number, headline_words, is_topic
-from sigloft.operators.velocity import cross_source, trailing_profile, with_baseline
+from sigloft.operators.velocity import cross_source, mention_velocity
 
 ENTITY_TYPES = {"persons": "person", "themes": "theme", "orgs": "organization", "locs": "location"}
 
@@ -36,30 +36,25 @@ def keyword_mentions(articles: DataFrame) -> DataFrame:
     )
 
 
-def _recent(df: DataFrame, anchor_sec: Column, seconds: int) -> DataFrame:
-    return df.where(F.col("sec") >= anchor_sec - seconds)
+def _last_days(df: DataFrame, anchor_sec: Column) -> DataFrame:
+    return df.where(F.col("sec") >= anchor_sec - 90 * 86_400)
 
 
 def entity_velocity(records: DataFrame, anchor_sec: Column) -> DataFrame:
-    """Frames run over the last day only; the 90-day side is a plain count of the same mentions."""
-    keys = ["entity_type", "entity_name"]
-    profile = trailing_profile(entity_mentions(_recent(records, anchor_sec, 86_400)), keys, "sec", "sec", "tone")
-    return with_baseline(profile, entity_mentions(_recent(records, anchor_sec, 90 * 86_400)), keys, "sec",
-                         fv.ENTITY_BASELINE_FLOOR)
+    """Frames over the last day, baseline over 90 days, both from one scan of the records."""
+    return mention_velocity(entity_mentions(_last_days(records, anchor_sec)), ["entity_type", "entity_name"], "sec", "sec",
+                            "tone", anchor_sec - 86_400, fv.ENTITY_BASELINE_FLOOR)
 
 
 def keyword_velocity(articles: DataFrame, anchor_sec: Column) -> DataFrame:
     """Velocity per (feed, keyword) with the cross-feed tone spread and consensus of the keyword."""
-    keys = ["feed_key", "keyword"]
-    profile = trailing_profile(keyword_mentions(_recent(articles, anchor_sec, 86_400)), keys, "sec", "link", "tone")
-    velocity = with_baseline(profile, keyword_mentions(_recent(articles, anchor_sec, 90 * 86_400)), keys, "link",
-                             fv.KEYWORD_BASELINE_FLOOR)
-    return velocity.join(cross_source(velocity, "keyword", "feed_key"), "keyword", "left")
+    velocity = mention_velocity(keyword_mentions(_last_days(articles, anchor_sec)), ["feed_key", "keyword"], "sec", "link",
+                                "tone", anchor_sec - 86_400, fv.KEYWORD_BASELINE_FLOOR)
+    return cross_source(velocity, "keyword", "feed_key")
 
 
 def source_velocity(articles: DataFrame, anchor_sec: Column) -> DataFrame:
     """The older per-feed form: mentions are whole articles."""
-    keys = ["feed_key"]
     seen = articles.where(F.col("sec").isNotNull()).withColumn("tone", F.col("sentiment_score"))
-    profile = trailing_profile(_recent(seen, anchor_sec, 86_400), keys, "sec", "link", "tone")
-    return with_baseline(profile, _recent(seen, anchor_sec, 90 * 86_400), keys, "link", fv.SOURCE_BASELINE_FLOOR)
+    return mention_velocity(_last_days(seen, anchor_sec), ["feed_key"], "sec", "link", "tone", anchor_sec - 86_400,
+                            fv.SOURCE_BASELINE_FLOOR)

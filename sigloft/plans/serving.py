@@ -11,7 +11,7 @@ from sigloft.functions import fixed_values as fv
 from sigloft.functions.prices import entry_price
 from sigloft.functions.text import side_from_verdict, verdict_is_usable
 from sigloft.operators.keyed import last_known_values, latest_per_key, top_per_key
-from sigloft.plans.sizing import cap_by_theme, kelly
+from sigloft.plans.sizing import cap_by_theme, with_kelly
 
 
 def resolved_markets(settled: DataFrame, briefs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def market_view(briefs: DataFrame, live: DataFrame, since: Column, anchor_sec: C
     price = entry_price(F.col("side"), F.coalesce("live_bid", "odds"))
     edged = joined.withColumn("side_price", price).where(F.col("confidence") >= F.col("side_price") + fv.MIN_EDGE)
     days = (F.col("close_sec") - anchor_sec) / 86_400.0
-    sized = edged.withColumn("kelly", kelly(F.col("confidence"), F.col("side_price"), bankroll, resolved, days))
+    sized = with_kelly(edged, F.col("confidence"), F.col("side_price"), bankroll, resolved, days)
     return cap_by_theme(sized.withColumn("suggested_bet_usd", F.col("kelly.suggested_bet_usd")), bankroll)
 
 

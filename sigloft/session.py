@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -45,3 +45,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = _LOCAL_SCRATCH.setdefault(context.applicationId, tempfile.mkdtemp(prefix="sigloft-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
+
+    Used where a costly result has several readers: it is computed once, its lineage ends here, and a lost executor costs
+    a re-read instead of a recomputation.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core work when a scan has fewer splits than cores but each row is expensive (long texts).
+
+    A scan that already fills the cores is left alone, so this adds no shuffle to large inputs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def read_drifting(spark: SparkSession, folder: str, schema: T.StructType, modifi
     for row in list_files(spark, folder, modified_after=modified_after).toLocalIterator():
         try:
             own = spark.read.parquet(row["path"]).schema
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             continue
         groups.setdefault(own.json(), (own, []))[1].append(row["path"])
     scans = [
