@@ -98,25 +98,23 @@ FROM (SELECT 1)""", v.SNAP, v.ARTICLES, v.TONES, v.BRIEFS,
     f"t AS (SELECT * FROM tones WHERE code LIKE '%i%' AND sec > (SELECT max(sec) FROM tones) - {_STATUS_SPAN})",
     "b AS (SELECT * FROM briefs WHERE ticker LIKE '%C3-%' AND verdict IS NOT NULL)"))
 def one_row_status(spark, sf):
-    """Quotes, news, events, last price and last verdict of one series side by side: five one-row aggregates joined on the series."""
+    """Quotes, news, events, last price and last verdict of one series side by side, each a one-row subquery."""
     def recent(rows):
         return rows.where(F.col("sec") > rows.agg(F.max("sec")).scalar() - _STATUS_SPAN)
 
-    series = F.lit("S3").alias("series")
-    quotes = recent(v.snap(spark, sf)).where(F.col("series") == "S3").agg(
-        series, F.max("sec").alias("latest_snapshot"), fixed(F.avg("ask") * 100, 1).alias("yes_price_cents"),
-        F.max_by("bid", F.struct("sec", "snap_id")).alias("last_bid"),
-    )
-    news = recent(v.articles(spark, sf)).where(F.lower("title").contains("tion")).agg(
-        series, F.count("*").alias("news_articles"), fixed(F.avg("sentiment_score"), 6).alias("avg_sentiment")
-    )
-    events = recent(v.tones(spark, sf)).where(F.col("code").contains("i")).agg(
-        series, F.count("*").alias("events"), fixed(F.avg(F.col("tone") / 100), 6).alias("avg_tone")
-    )
-    verdict = v.briefs(spark, sf).where(F.col("ticker").contains("C3-") & F.col("verdict").isNotNull()).agg(
-        series, F.max_by("verdict", F.struct("sec", "brief_id")).alias("final_verdict")
-    )
-    return quotes.join(news, "series", "left").join(events, "series", "left").join(verdict, "series", "left")
+    parts = {
+        "q": recent(v.snap(spark, sf)).where(F.col("series") == "S3").agg(F.struct(
+            F.max("sec").alias("latest_snapshot"), fixed(F.avg("ask") * 100, 1).alias("yes_price_cents"),
+            F.max_by("bid", F.struct("sec", "snap_id")).alias("last_bid"))),
+        "n": recent(v.articles(spark, sf)).where(F.lower("title").contains("tion")).agg(F.struct(
+            F.count("*").alias("news_articles"), fixed(F.avg("sentiment_score"), 6).alias("avg_sentiment"))),
+        "e": recent(v.tones(spark, sf)).where(F.col("code").contains("i")).agg(F.struct(
+            F.count("*").alias("events"), fixed(F.avg(F.col("tone") / 100), 6).alias("avg_tone"))),
+        "b": v.briefs(spark, sf).where(F.col("ticker").contains("C3-") & F.col("verdict").isNotNull()).agg(F.struct(
+            F.max_by("verdict", F.struct("sec", "brief_id")).alias("final_verdict"))),
+    }
+    row = spark.range(1).select(F.lit("S3").alias("series"), *[p.scalar().alias(n) for n, p in parts.items()])
+    return row.select("series", *[f"{n}.*" for n in parts])
 
 
 @query("title_fallback", with_ctes("""

@@ -1,10 +1,11 @@
 """Ordered work per key (running totals, row lags) that splits keys too large for one task.
 
 A plain window puts all rows of a key into one task. Here a key with more than ``hot_rows`` rows is cut along its order
-column into slots of about ``hot_rows`` rows; each slot is a window partition of its own, and a small summary per slot
-carries the state of the earlier slots forward. Keys below the limit keep a single slot, so they pay one aggregate and a
-broadcast join, not a second shuffle. The broadcast sides are bounded: at most ``rows / hot_rows`` hot keys and at most
-``rows / hot_rows + hot keys`` slots exist, whatever the key distribution.
+column into slots of about ``hot_rows`` rows, and a slot that is still crowded because the rows of the key come in bursts
+is cut once more on its own extent. Each slot is a window partition, and a small summary per slot carries the state of
+the earlier slots forward. Keys below the limit keep a single slot, so they pay one aggregate and a broadcast join, not a
+second shuffle. The broadcast sides are bounded whatever the key distribution: there are at most ``rows / hot_rows`` hot
+keys, fewer crowded slots, and at most a few times ``rows / hot_rows`` slots.
 """
 
 from __future__ import annotations
@@ -15,25 +16,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-_ALL = "_all_rows"
+CROWDED = 4
+_SUB = 1 << 31
+
+
+def _cut(position: str, n: str, low: str, high: str, hot_rows: int) -> Column:
+    """Index of the piece of [low, high] that holds the position, about ``hot_rows`` rows per piece."""
+    place = (F.col(position).cast("double") - F.col(low)) / (F.col(high) - F.col(low) + 1.0)
+    return F.floor(place * F.ceil(F.col(n) / hot_rows).cast("double"))
 
 
 def with_slots(df: DataFrame, keys: Sequence[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``_slot`` (never decreasing along ``position`` within a key) and ``_hot``."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(position).cast("double").alias("_lo"),
-             F.max(position).cast("double").alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-    )
-    pieces = F.ceil(F.col("_n") / hot_rows).cast("double")
-    place = (F.col(position).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1.0)
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_hot", F.col("_n").isNotNull())
-        .withColumn("_slot", F.when(F.col("_hot"), F.floor(place * pieces)).otherwise(F.lit(0)).cast("bigint"))
-        .drop("_n", "_lo", "_hi")
+    """Adds ``_slot`` (never decreasing along ``position`` within a key) and ``_hot``; without keys the table is one key.
+
+    Rows of one key and one position always share a slot.
+    """
+    def extent(tag: str) -> list[Column]:
+        low, high = F.min(position).cast("double"), F.max(position).cast("double")
+        return [F.count("*").alias(f"_n{tag}"), low.alias(f"_lo{tag}"), high.alias(f"_hi{tag}")]
+
+    if keys:
+        hot = df.groupBy(*keys).agg(*extent("1")).where(F.col("_n1") > hot_rows)
+        placed = df.join(F.broadcast(hot), list(keys), "left").withColumn("_hot", F.col("_n1").isNotNull())
+    else:
+        whole = df.agg(F.struct(*extent("1"))).scalar()
+        placed = df.withColumn("_w", whole).select("*", "_w.*").drop("_w").withColumn("_hot", F.col("_n1") > hot_rows)
+    coarse = placed.withColumn(
+        "_coarse", F.when(F.col("_hot"), _cut(position, "_n1", "_lo1", "_hi1", hot_rows)).otherwise(F.lit(0)).cast("bigint")
+    ).drop("_n1", "_lo1", "_hi1")
+    crowded = (
+        coarse.where("_hot").groupBy(*keys, "_coarse").agg(*extent("2")).where(F.col("_n2") > CROWDED * hot_rows)
     )
+    joined = coarse.join(F.broadcast(crowded), [*keys, "_coarse"], "left")
+    fine = F.when(F.col("_n2").isNotNull(), _cut(position, "_n2", "_lo2", "_hi2", hot_rows)).otherwise(F.lit(0))
+    return joined.withColumn("_slot", F.col("_coarse") * _SUB + fine.cast("bigint")).drop("_coarse", "_n2", "_lo2", "_hi2")
 
 
 def running(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[Column],
@@ -45,30 +61,27 @@ def running(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[C
     total. Without keys the whole table is one ordered sequence.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    by = list(keys) or [_ALL]
-    inputs = {f"_in_{n}": e for n, e in {**sums, **maxes}.items()}
-    base = df.withColumns({**({} if keys else {_ALL: F.lit(0)}), **inputs})
-    slotted = with_slots(base, by, position, hot_rows)
+    names = [*sums, *maxes]
+    slotted = with_slots(df.withColumns({f"_in_{n}": e for n, e in {**sums, **maxes}.items()}), keys, position, hot_rows)
 
-    local = Window.partitionBy(*by, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = [F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums] + [F.max(f"_in_{n}").alias(f"_t_{n}") for n in maxes]
-    carry = slotted.where("_hot").groupBy(*by, "_slot").agg(*totals).select(
-        *by, "_slot",
+    carry = slotted.where("_hot").groupBy(*keys, "_slot").agg(*totals).select(
+        *keys, "_slot",
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in maxes],
     )
     placed = slotted.withColumns({
         **{f"_l_{n}": F.sum(f"_in_{n}").over(local) for n in sums},
         **{f"_l_{n}": F.max(f"_in_{n}").over(local) for n in maxes},
-    }).join(F.broadcast(carry), [*by, "_slot"], "left")
+    }).join(F.broadcast(carry), [*keys, "_slot"], "left")
     done = placed.withColumns({
         **{n: F.when(F.col(f"_c_{n}").isNull(), F.col(f"_l_{n}")).otherwise(F.col(f"_c_{n}") + F.col(f"_l_{n}"))
            for n in sums},
         **{n: F.greatest(f"_c_{n}", f"_l_{n}") for n in maxes},
     })
-    names = [*sums, *maxes]
-    return done.drop("_slot", "_hot", _ALL, *[f"{p}{n}" for n in names for p in ("_in_", "_l_", "_c_")])
+    return done.drop("_slot", "_hot", *[f"{p}{n}" for n in names for p in ("_in_", "_l_", "_c_")])
 
 
 def lag_rows(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[Column], value: str,

@@ -28,27 +28,25 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
     With a window only documents in [as_of - window, as_of] count; without one all documents do. A document never
     answers a query of the same id.
     """
+    q_parts, d_parts = F.ceil(F.count("*") / query_block), F.ceil(F.count("*") / document_block)
     if window is None:
-        asks = queries.withColumn("_bucket", F.lit(0).cast("bigint"))
-        docs = documents.withColumn("_bucket", F.lit(0).cast("bigint"))
+        parts = {"_bucket": F.lit(0).cast("bigint"), "_q_parts": queries.agg(q_parts).scalar(), "_d_parts": documents.agg(d_parts).scalar()}
+        asks, docs = queries.withColumns(parts), documents.withColumns(parts)
     else:
         low, high = F.floor((F.col("as_of") - window) / window), F.floor(F.col("as_of") / window)
         asks = queries.withColumn("_bucket", F.explode(F.array_distinct(F.array(low, high))))
         docs = documents.withColumn("_bucket", F.floor(F.col("doc_time") / window))
-
-    asked = asks.groupBy("_bucket").agg(F.ceil(F.count("*") / query_block).alias("_q_parts"))
-    stocked = docs.groupBy("_bucket").agg(F.ceil(F.count("*") / document_block).alias("_d_parts"))
-    blocks = F.broadcast(asked.join(stocked, "_bucket"))  # one row per window length of the table's time span
+        asked, stocked = asks.groupBy("_bucket").agg(q_parts.alias("_q_parts")), docs.groupBy("_bucket").agg(d_parts.alias("_d_parts"))
+        blocks = F.broadcast(asked.join(stocked, "_bucket"))  # one row per window length of the table's time span
+        asks, docs = asks.join(blocks, "_bucket"), docs.join(blocks, "_bucket")
 
     ask_blocks = (
-        asks.join(blocks, "_bucket")
-        .withColumn("_q", F.pmod(F.xxhash64("query_id"), "_q_parts"))
+        asks.withColumn("_q", F.pmod(F.xxhash64("query_id"), "_q_parts"))
         .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_d_parts") - 1)))
         .select("_bucket", "_d", "_q", "query_id", "as_of", "vector")
     )
     doc_blocks = (
-        docs.join(blocks, "_bucket")
-        .withColumn("_d", F.pmod(F.xxhash64("collection", "doc_id"), "_d_parts"))
+        docs.withColumn("_d", F.pmod(F.xxhash64("collection", "doc_id"), "_d_parts"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_q_parts") - 1)))
         .select("_bucket", "_d", "_q", "collection", "doc_id", "doc_time", "vector")
     )

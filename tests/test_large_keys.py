@@ -33,6 +33,12 @@ def test_slots_follow_the_order_and_split_only_large_keys(spark, ticks):
     assert hot._slot.is_monotonic_increasing and hot._slot.nunique() > 4
 
 
+def test_a_burst_is_cut_again(spark):
+    burst = [("hot", 500_000 + 3000 * i, i) for i in range(900)] + [("hot", i * 1_000_000, 1000 + i) for i in range(300)]
+    got = with_slots(spark.createDataFrame(burst, "k string, t bigint, id bigint"), ["k"], "t", 20).toPandas().sort_values("t")
+    assert got._slot.is_monotonic_increasing and got.groupby("_slot").size().max() <= 80
+
+
 @pytest.mark.parametrize("limit", [20, 10_000])
 def test_running(spark, ticks, limit):
     got = running(spark.createDataFrame(ticks), ["k"], "t", [F.col("t"), F.col("id")],
