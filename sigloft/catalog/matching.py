@@ -10,7 +10,7 @@ from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.numeric import fixed
 from sigloft.plans import score
-from sigloft.session import stored
+from sigloft.session import stored, stored_together
 
 _TITLED = "titled AS MATERIALIZED (SELECT m.ticker, m.series, b.text AS title FROM (SELECT DISTINCT ticker, series, item FROM msnap) m JOIN benchmark b ON b.item_id = m.item)"
 _THEMES = """
@@ -67,18 +67,22 @@ def moved_markets(spark, sf, days: int = 30):
     recent = rows.where(F.col("sec") >= rows.agg(F.max("sec")).scalar() - days * 86_400)
     latest = score.latest_moves(recent, "ticker", ["sec", "snap_id"], "yes_bid", ["series", "item", "status"])
     items = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("title"))
-    return stored(latest.where(F.col("status").isin("active", "open")).join(items, "item"), "markets")
+    return latest.where(F.col("status").isin("active", "open")).join(items, "item")
 
 
-def signals(spark, sf, markets):
-    """All three signal sources for the given markets (ticker, series, title)."""
-    entities = stored(news.record_velocity(spark, sf), "entity-velocity")
-    words = stored(news.article_velocity(spark, sf), "keyword-velocity")
+def velocity_and(spark, sf, markets):
+    """Both velocity tables and the markets, each read several times below and therefore stored."""
+    return stored_together(entities=news.record_velocity(spark, sf), words=news.article_velocity(spark, sf), markets=markets)
+
+
+def signals(spark, sf, tables):
+    """All three signal sources for the stored markets (ticker, series, title)."""
+    markets, entities = tables["markets"].select("ticker", "series", "title"), tables["entities"]
     articles = v.articles(spark, sf)
     routes = score.keyword_routes(articles, markets, articles.agg(F.max("sec")).scalar())
     return (
         score.theme_signals(markets, v.bridge(spark), entities)
-        .union(score.person_signals(markets, entities)).union(score.keyword_signals(routes, words))
+        .union(score.person_signals(markets, entities)).union(score.keyword_signals(routes, tables["words"]))
     )
 
 
@@ -104,7 +108,7 @@ _ALL = (v.SNAP, v.MSNAP, _TITLED, *_ENTITIES, *_WORDS, v.BRIDGE, _THEMES, _PERSO
 @query("strongest_signal", with_ctes(
     f"SELECT ticker, {fx('max_spike_multiplier', 6)} AS max_spike_multiplier, {fx('sentiment_signal', 6)} AS sentiment_signal FROM strongest", *_ALL))
 def strongest_signal(spark, sf):
-    best = score.strongest_signal(signals(spark, sf, titled_markets(spark, sf)))
+    best = score.strongest_signal(signals(spark, sf, velocity_and(spark, sf, titled_markets(spark, sf))))
     return best.select("ticker", *[fixed(c, 6).alias(c) for c in ("max_spike_multiplier", "sentiment_signal")])
 
 
@@ -119,8 +123,8 @@ SELECT ticker, yes_bid, {fx('delta_15m', 6)} AS delta_15m, {fx('delta_1h', 6)} A
 FROM markets LEFT JOIN strongest USING (ticker)""", *_ALL, _MARKETS))
 def mispricing_score(spark, sf):
     """Every open market with its moves, strongest signal, score and flag."""
-    markets = moved_markets(spark, sf)
-    scored = score.mispricing(markets, signals(spark, sf, markets.select("ticker", "series", "title")))
+    tables = velocity_and(spark, sf, moved_markets(spark, sf))
+    scored = score.mispricing(tables["markets"], signals(spark, sf, tables))
     return scored.select(
         "ticker", "yes_bid", *[fixed(c, 6).alias(c) for c in ("delta_15m", "delta_1h", "delta_24h", "max_spike_multiplier", "sentiment_signal")],
         fixed("mispricing_score", 4).alias("mispricing_score"), "flagged_candidate",
@@ -134,6 +138,6 @@ FROM markets LEFT JOIN (
   GROUP BY t.ticker) USING (ticker)""", v.SNAP, v.MSNAP, _TITLED, *_ENTITIES, v.BRIDGE, _THEMES, _MARKETS))
 def legacy_score(spark, sf):
     """The older score over theme signals only."""
-    markets = moved_markets(spark, sf)
-    themes = score.theme_signals(markets.select("ticker", "series", "title"), v.bridge(spark), stored(news.record_velocity(spark, sf), "entity-velocity"))
-    return score.legacy_mispricing(markets, themes).select("ticker", fixed("mispricing_score", 4).alias("mispricing_score"))
+    tables = stored_together(entities=news.record_velocity(spark, sf), markets=moved_markets(spark, sf))
+    themes = score.theme_signals(tables["markets"].select("ticker", "series", "title"), v.bridge(spark), tables["entities"])
+    return score.legacy_mispricing(tables["markets"], themes).select("ticker", fixed("mispricing_score", 4).alias("mispricing_score"))

@@ -9,7 +9,7 @@ from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.numeric import fixed
 from sigloft.functions.text import (
-    first_date, first_number, record_sentence, scrub_number, scrub_text, sentiment_label, unpack_names, unpack_places,
+    first_date, first_number, record_sentence, runs_of, scrub_number, scrub_text, sentiment_label, unpack_names, unpack_places,
 )
 from sigloft.plans import enrich, mentions
 from sigloft.operators.velocity import cross_source
@@ -158,8 +158,8 @@ SELECT doc_id, {fx('s / sqrt(s * s + 15)', 6)} AS sentiment_score,
 FROM (SELECT doc_id, coalesce(s, 0) AS s FROM documents LEFT JOIN doc_sum USING (doc_id))""", _LEXICON))
 def lexicon_sentiment(spark, sf):
     """Documents scored with a word list (here: the benchmark words with a valence by rule)."""
-    words = F.explode(F.split(F.lower(F.regexp_replace("text", "[^a-zA-Z0-9 ]", " ")), " +"))
-    lexicon = v.table(spark, sf, "benchmark").select(words.alias("word")).where(F.col("word") != "").distinct().withColumn(
+    words = v.table(spark, sf, "benchmark").select(F.explode(runs_of(F.col("text"), "[a-zA-Z0-9]+")).alias("word"))
+    lexicon = words.select(F.lower("word").alias("word")).distinct().withColumn(
         "valence", ((F.ascii("word") * 7 + F.length("word") * 3) % 17 - 8) / 4
     )
     scored = enrich.lexicon_sentiment(v.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", lexicon)

@@ -9,10 +9,13 @@ from sigloft.catalog.backtests import BANKROLL
 from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.catalog.sqlparts import USABLE, kelly_sql, theme_sql
 from sigloft.functions.numeric import fixed
-from sigloft.functions.prices import confidence_blend
+from sigloft.functions.prices import confidence_blend, entry_price
+from sigloft.functions.text import answer_fields
 from sigloft.operators.keyed import top_per_key
 from sigloft.plans import serving as plan
+from sigloft.plans.backtest import model_is
 from sigloft.plans.orders import results_by_ticker
+from sigloft.plans.sizing import with_kelly
 from sigloft.sources.schemas import first_present
 
 _SPAN = 400 * 86_400
@@ -238,3 +241,48 @@ def optional_column(spark, sf):
 
     rows = v.table(spark, sf, "orders")
     return rows.select("o_orderkey", first_present(rows, ["rag_score"], "double").alias("rag_score"), first_present(rows, ["status", "o_orderstatus"]).alias("status"))
+
+
+@query("model_filter", with_ctes(f"""
+SELECT m AS model, count(*) AS briefs, {fx('avg(confidence)', 6)} AS avg_confidence FROM (
+  SELECT 'all' AS m, confidence FROM briefs UNION ALL SELECT 'production', confidence FROM briefs WHERE coalesce(replay_model, '') = ''
+  UNION ALL SELECT 'model-a', confidence FROM briefs WHERE replay_model = 'model-a') GROUP BY 1""", v.BRIEFS))
+def model_filter(spark, sf):
+    """Briefs of all models, of the live one and of one replay model, in one pass."""
+    wanted = F.array_compact(F.array(*[F.when(model_is(m), m) for m in ("all", "production", "model-a")]))
+    rows = v.briefs(spark, sf).select("confidence", F.explode(wanted).alias("model"))
+    return rows.groupBy("model").agg(F.count("*").alias("briefs"), fixed(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+_KT = kelly_sql("confidence", "price", BANKROLL, "50")
+
+
+@query("brief_totals", with_ctes(f"""
+SELECT count(*) AS briefs, count(*) FILTER (WHERE {_KT['edge']}) AS with_edge, {fx('avg(confidence) * 100', 4)} AS avg_confidence_pct,
+       {fx(f"sum(CASE WHEN {_KT['edge']} THEN {_KT['bet']} ELSE 0 END)", 2)} AS total_suggested
+FROM (SELECT *, CASE WHEN recommended_side = 'yes' THEN odds ELSE 1 - odds END AS price FROM briefs WHERE recommended_side IS NOT NULL)""", v.BRIEFS))
+def brief_totals(spark, sf):
+    """Dashboard head line of all briefs with a side."""
+    rows = v.briefs(spark, sf).where(F.col("recommended_side").isNotNull())
+    sized = with_kelly(rows, F.col("confidence"), entry_price(F.col("recommended_side"), F.col("odds")), BANKROLL, 50)
+    return sized.agg(
+        F.count("*").alias("briefs"), F.count_if("kelly.edge_detected").alias("with_edge"), fixed(F.avg("confidence") * 100, 4).alias("avg_confidence_pct"),
+        fixed(F.sum("kelly.suggested_bet_usd"), 2).alias("total_suggested"),
+    )
+
+
+@query("answer_defaults", """
+SELECT conv_id, turn, k NOT IN (4, 5) AS parsed, CASE WHEN k IN (4, 5) THEN 'Error: unreadable answer' WHEN k = 3 THEN '' ELSE role END AS verdict,
+       CASE k WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS side, CASE k WHEN 0 THEN (turn % 101) / 100 WHEN 1 THEN 0.72::DOUBLE ELSE 0.5 END AS confidence
+FROM (SELECT *, (conv_id + turn) % 6 AS k FROM conversations)""")
+def answer_defaults(spark, sf):
+    """Model answers read with their defaults: number, text, bad or missing percentage, broken JSON, plain text."""
+    k, role = (F.col("conv_id") + F.col("turn")) % 6, F.col("role")
+    answer = (
+        F.when(k == 0, F.to_json(F.struct(role.alias("verdict"), F.lit("YES ").alias("recommended_side"), (F.col("turn") % 101).alias("confidence_pct"))))
+        .when(k == 1, F.to_json(F.struct(role.alias("verdict"), F.lit("no").alias("recommended_side"), F.lit("72").alias("confidence_pct"))))
+        .when(k == 2, F.to_json(F.struct(role.alias("verdict"), F.lit("high").alias("confidence_pct"))))
+        .when(k == 3, F.lit("{}")).when(k == 4, F.concat(F.lit("{"), role)).otherwise(F.col("text"))
+    )
+    rows = v.table(spark, sf, "conversations").select("conv_id", "turn", answer_fields(answer).alias("a"))
+    return rows.select("conv_id", "turn", "a.*")

@@ -11,6 +11,7 @@ from sigloft.operators import keyed
 from sigloft.session import shared_folder
 from sigloft.sources import tables
 from sigloft.sources.landed import read_csvs
+from sigloft.sources.schemas import TRADE
 
 
 def _items(spark, sf):
@@ -147,3 +148,47 @@ def result_csv(spark, sf):
     rows.select("total", "o_orderstatus").write.csv(f"{base}/totals", header=True)
     back = read_csvs(spark, base)
     return back.groupBy("o_orderstatus").agg(F.max("n").cast("bigint").alias("n"), F.max("total").cast("double").alias("total"))
+
+
+@query("trade_ledger_csv", """
+SELECT ticker, side, sum(n) AS total_count, sum(n * price) AS total_risk, count(*) AS trades FROM (
+  SELECT 'C' || o_custkey AS ticker, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS side, o_orderkey % 40 + 1 AS n, ((7919 * o_orderkey) % 1023 + 1) / 1024::DOUBLE AS price
+  FROM orders UNION ALL SELECT 'C0', 'yes', 5, 0.5::DOUBLE) GROUP BY 1, 2""")
+def trade_ledger_csv(spark, sf):
+    """Trades kept as CSV: a ledger, one trade appended to it, read under the declared schema and summed per side."""
+    path = shared_folder(spark, "trades")
+    count, price = F.col("o_orderkey") % 40 + 1, v.hashed("o_orderkey", 7919, 1023, 1) / 1024
+    trades = v.table(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("timestamp"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"),
+        F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("side"), count.alias("count"), price.alias("price_dollars"),
+        (count * price).alias("total_risk_usd"), F.lit(None).cast("timestamp").alias("closed_at"),
+    )
+    trades.write.csv(path, header=True)
+    one = spark.range(1).select(F.timestamp_seconds(F.lit(1_700_000_000)).alias("timestamp"), F.lit("C0").alias("ticker"), F.lit("yes").alias("side"),
+                                F.lit(5).cast("bigint").alias("count"), F.lit(0.5).alias("price_dollars"), F.lit(2.5).alias("total_risk_usd"),
+                                F.lit(None).cast("timestamp").alias("closed_at"))
+    one.write.mode("append").csv(path, header=True)
+    back = spark.read.csv(path, header=True, schema=TRADE)
+    return back.groupBy("ticker", "side").agg(F.sum("count").alias("total_count"), F.sum("total_risk_usd").alias("total_risk"), F.count("*").alias("trades"))
+
+
+@query("compact_history", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS checksum FROM orders GROUP BY 1")
+def compact_history(spark, sf):
+    """A history of many small files rewritten as a few."""
+    base = shared_folder(spark, "small-files")
+    rows = _orders(spark, sf)
+    for status in ("F", "O", "P"):
+        tables.append(rows.where(F.col("o_orderstatus") == status).repartition(12), f"{base}/history")
+    tables.compact(spark, f"{base}/history", f"{base}/compacted", 2)
+    return spark.read.parquet(f"{base}/compacted").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("checksum"))
+
+
+@query("partitioned_append", """
+SELECT epoch_us(date_trunc('month', o_orderdate)) // 1000000 AS month_sec, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+def partitioned_append(spark, sf):
+    """A history partitioned by month; a date filter reads only its partitions."""
+    path = shared_folder(spark, "by-month")
+    month = F.unix_seconds(F.date_trunc("month", "o_orderdate"))
+    tables.append(v.table(spark, sf, "orders").select("o_orderkey", month.alias("month_sec")).repartition("month_sec"), path, ["month_sec"])
+    recent = tables.read_history(spark, path).where(F.col("month_sec") >= 883_612_800)
+    return recent.groupBy(F.col("month_sec").cast("bigint").alias("month_sec")).agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloft.functions import fixed_values as fv
+from sigloft.functions.text import runs_of
 from sigloft.session import pin_utc, spread
 from sigloft.sources.landed import fixed_rows
 
@@ -138,7 +139,7 @@ entity_mentions AS MATERIALIZED (
 
 def raw_records(spark: SparkSession, sf: str) -> DataFrame:
     """Document records as they land: packed 'name,offset;...' lists made of the words of the whole text."""
-    words = F.split(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), " ")
+    words = runs_of(F.col("text"), "[A-Za-z0-9]+")
 
     def packed(keep, show=lambda w: w, place: bool = False) -> Column:
         kept = F.filter(F.col("_w"), keep)

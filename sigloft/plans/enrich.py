@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.numeric import blank_to_null
 from sigloft.functions.text import (
-    contains_any, event_class, has_theme, pad_code, page_text, page_title, pick_text, sentiment_label, unpack_names,
+    contains_any, event_class, has_theme, pad_code, page_text, page_title, pick_text, runs_of, sentiment_label, unpack_names,
     unpack_places,
 )
 from sigloft.sources.schemas import first_present
@@ -88,8 +88,8 @@ def lexicon_sentiment(texts: DataFrame, row_id: str, text: str, lexicon: DataFra
 
     ``lexicon``: word, valence, one row per word. Repeated words of a text are counted before the lookup.
     """
-    words = F.explode(F.split(F.lower(F.regexp_replace(text, "[^a-zA-Z0-9 ]", " ")), " +"))
-    tokens = texts.select(row_id, words.alias("word")).where(F.col("word") != "")
+    words = F.explode(runs_of(F.col(text), "[a-zA-Z0-9]+"))
+    tokens = texts.select(row_id, words.alias("word")).withColumn("word", F.lower("word"))
     counted = tokens.groupBy(row_id, "word").agg(F.count("*").alias("_n"))
     total = counted.join(lexicon, "word").groupBy(row_id).agg(F.sum(F.col("_n") * F.col("valence")).alias("_s"))
     scored = texts.select(row_id).join(total, row_id, "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_together(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Stores several independent intermediates at the same time, so that small ones do not wait for large ones."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(zip(frames, pool.map(lambda name: stored(frames[name], name), frames)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives every core work when a scan has fewer splits than cores but each row is expensive (long texts).
 
