@@ -55,7 +55,7 @@ def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | No
                 stop_loss: float = fv.STOP_LOSS_ROI, from_entry: bool = True, fees: bool = False) -> DataFrame:
     """Closes each trade at the first snapshot that touches a threshold, else by settlement, else marks it open.
 
-    ``trades``: trade_id (one row each), ticker, side, entry_price, qty, entry_pos. ``snapshots``: ticker, pos, bid, ask.
+    ``trades``: trade_id, ticker (at most one trade each), side, entry_price, qty, entry_pos. ``snapshots``: ticker, pos, bid, ask.
     ``settled``: ticker, result. ``live``: ticker, live_bid, live_ask. Take-profit is tested before stop-loss within one
     snapshot and the exit is at the threshold price. Snapshots are folded per trade twice (first hit, then the best ROI up
     to it); both folds combine on the map side, so a trade with very many snapshots costs no large task.
@@ -65,11 +65,13 @@ def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | No
         seen = seen.where(F.col("pos") >= F.col("entry_pos"))
     walked = seen.withColumn("_roi", roi(side_bid(F.col("side"), F.col("bid"), F.col("ask")), F.col("entry_price")))
     won, lost = F.col("_roi") >= take_profit, F.col("_roi") <= -stop_loss
-    kind = F.when(won, "PROFIT_EXIT").when(lost, "STOP_EXIT")
-    hits = (
-        walked.where(won | lost).groupBy("trade_id")
-        .agg(F.min(F.struct(F.col("pos"), kind.alias("kind"))).alias("_hit"))
-        .select("trade_id", F.col("_hit.pos").alias("exit_pos"), F.col("_hit.kind").alias("_kind"))
+    # plain minima keep the fold in a hash aggregate; at one instant the take-profit comes first
+    touches = walked.where(won | lost).groupBy("trade_id").agg(
+        F.min(F.when(won, F.col("pos"))).alias("_won"), F.min(F.when(lost, F.col("pos"))).alias("_lost")
+    )
+    profit = F.col("_won").isNotNull() & (F.col("_lost").isNull() | (F.col("_won") <= F.col("_lost")))
+    hits = touches.select(
+        "trade_id", F.least("_won", "_lost").alias("exit_pos"), F.when(profit, "PROFIT_EXIT").otherwise("STOP_EXIT").alias("_kind")
     )
     peaks = (
         walked.select("trade_id", "pos", "_roi").join(hits, "trade_id", "left")
@@ -90,7 +92,7 @@ def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | No
     entry, qty, kind = F.col("entry_price"), F.col("qty"), F.col("_kind")
     right = F.col("result") == F.col("side")
     mark = side_bid(F.col("side"), F.col("live_bid"), F.col("live_ask"))
-    outcome = kind_or_settled = F.when(kind.isNotNull(), kind).when(
+    outcome = F.when(kind.isNotNull(), kind).when(
         F.col("result").isNotNull(), F.when(right, "SETTLED_WIN").otherwise("SETTLED_LOSS")
     ).otherwise("OPEN")
     price = (
@@ -99,7 +101,7 @@ def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | No
         .when(F.col("result").isNotNull(), F.when(right, 1.0).otherwise(0.0))
         .otherwise(fixed(mark, 4))
     )
-    worth = F.when(kind_or_settled == "OPEN", mark).otherwise(price)
+    worth = F.when(outcome == "OPEN", mark).otherwise(price)
     pnl = fixed((worth - entry) * qty, 2)
     if fees:
         charged = (fee_per_contract(entry) + fee_per_contract(price)) * qty

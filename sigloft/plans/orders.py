@@ -57,26 +57,27 @@ def resolve_fills(orders: DataFrame, ticks: DataFrame, timeout: int) -> DataFram
     """Resting orders against later quotes: filled at the first ask within the limit, expired at the first quote past
     the timeout, else still resting.
 
-    ``ticks``: ticker, pos, bid, ask. Positions and ``timeout`` in the same unit. The earliest deciding tick is a map-side
-    minimum per order, so long tick histories are never sorted.
+    ``ticks``: ticker, pos (unique together), bid, ask. Positions and ``timeout`` in the same unit. The first tick within
+    the limit and the first past the timeout are plain map-side minima per order, so long tick histories are never sorted.
     """
     open_ = orders.where(F.col("status") == "resting").select("order_id", "ticker", "side", "limit_price", "created_at")
-    ask = side_ask(F.col("side"), F.col("bid"), F.col("ask"))
-    met, late = ask <= F.col("limit_price"), F.col("pos") - F.col("created_at") > timeout
+    pos, ask = F.col("pos"), side_ask(F.col("side"), F.col("bid"), F.col("ask"))
+    met, late = ask <= F.col("limit_price"), pos - F.col("created_at") > timeout
     decided = (
-        open_.join(ticks, "ticker").where((F.col("pos") > F.col("created_at")) & (met | late)).groupBy("order_id")
-        .agg(F.min(F.struct(F.col("pos"), (~met).alias("expired"), ask.alias("ask"))).alias("_d"))
+        open_.join(ticks, "ticker").where((pos > F.col("created_at")) & (met | late)).groupBy("order_id")
+        .agg(F.min(F.when(met, pos)).alias("_met"), F.min(F.when(late & ~met, pos)).alias("_late"),
+             F.min_by(F.when(met, ask), F.when(met, pos)).alias("_ask"))
     )
     joined = orders.join(decided, "order_id", "left")
-    hit, expired = F.col("_d").isNotNull(), F.col("_d.expired")
-    filled = hit & ~expired
+    filled = F.col("_met").isNotNull() & (F.col("_late").isNull() | (F.col("_met") <= F.col("_late")))
+    expired = F.col("_late").isNotNull() & ~filled
     return joined.withColumns({
-        "status": F.when(filled, "filled").when(hit, "expired").otherwise(F.col("status")),
-        "filled_price": F.when(filled, fixed(F.col("_d.ask"), 4)).otherwise(F.col("filled_price")),
-        "filled_at": F.when(filled, F.col("_d.pos")).otherwise(F.col("filled_at")),
-        "closed_at": F.when(hit & expired, F.col("_d.pos")).otherwise(F.col("closed_at")),
-        "close_reason": F.when(hit & expired, "fill_timeout").otherwise(F.col("close_reason")),
-    }).drop("_d")
+        "status": F.when(filled, "filled").when(expired, "expired").otherwise(F.col("status")),
+        "filled_price": F.when(filled, fixed(F.col("_ask"), 4)).otherwise(F.col("filled_price")),
+        "filled_at": F.when(filled, F.col("_met")).otherwise(F.col("filled_at")),
+        "closed_at": F.when(expired, F.col("_late")).otherwise(F.col("closed_at")),
+        "close_reason": F.when(expired, "fill_timeout").otherwise(F.col("close_reason")),
+    }).drop("_met", "_late", "_ask")
 
 
 def results_by_ticker(settled: DataFrame) -> DataFrame:
