@@ -14,6 +14,7 @@ from sigloft.plans import backtest as plan
 from sigloft.plans.exits import first_touch
 from sigloft.plans.orders import results_by_ticker
 from sigloft.plans.serving import resolved_markets
+from sigloft.session import stored
 
 BANKROLL = 1000.0
 
@@ -134,7 +135,7 @@ def first_touch_exit(spark, sf):
 
 def touched_realistic(spark, sf):
     history = _history(spark, sf)
-    fresh = plan.without_stale_entries(_trades(spark, sf), history, 3_600_000_000)
+    fresh = stored(plan.without_stale_entries(_trades(spark, sf), history, 3_600_000_000), "trades")
     return first_touch(fresh, history, v.user_settled(spark, sf), v.user_live(spark, sf), from_entry=True, fees=True)
 
 

@@ -9,6 +9,7 @@ from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.functions.numeric import fixed
 from sigloft.operators.asof import asof_join, asof_offsets
 from sigloft.plans import study as plan
+from sigloft.session import stored
 from sigloft.sources.landed import fixed_rows
 
 _NINETY_DAYS = 90 * 86_400
@@ -99,9 +100,9 @@ def mapped_spikes(spark, sf):
 
 
 def study(spark, sf):
-    events = plan.one_event_per_series_time(mapped_spikes(spark, sf)).select(
+    events = stored(plan.one_event_per_series_time(mapped_spikes(spark, sf)).select(
         F.concat_ws("-", F.col("spike_id").cast("string"), "series").alias("event_id"), "spike_id", "series", "sec"
-    )
+    ), "study-events")
     prices = v.ticks(spark, sf).select("series", "sec", F.col("snap_id").alias("row_id"), "bid")
     return plan.event_study(events, prices)
 
