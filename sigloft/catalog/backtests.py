@@ -79,7 +79,7 @@ def backtest_stats(spark, sf):
 _KU = kelly_sql("confidence", "entry_price", BANKROLL, "50")
 TRADES = f"""
 user_best AS (SELECT *, {_SIDE_PRICE} AS entry_price FROM user_briefs QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY confidence DESC, sec DESC, brief_id DESC) = 1),
-all_trades AS (SELECT brief_id AS trade_id, ticker, recommended_side AS side, entry_price, odds, floor({_KU['bet']} / entry_price) AS qty, pos AS entry_pos
+all_trades AS (SELECT brief_id AS trade_id, ticker, recommended_side AS side, entry_price, odds, CAST(floor({_KU['bet']} / entry_price) AS BIGINT) AS qty, pos AS entry_pos
   FROM user_best WHERE {_KU['edge']})"""
 _NEAR = """
 nearest AS (
@@ -164,7 +164,7 @@ def strategy_stats(spark, sf):
 # -- upper bound ------------------------------------------------------------------------------------------------------
 ORACLE = f"""
 trades AS (
-  SELECT snap_id AS trade_id, ticker, side, entry_price, bid AS odds, greatest(1, floor({BANKROLL * fv.TRADE_CAP}::DOUBLE / entry_price)) AS qty, pos AS entry_pos FROM (
+  SELECT snap_id AS trade_id, ticker, side, entry_price, bid AS odds, CAST(greatest(1, floor({BANKROLL * fv.TRADE_CAP}::DOUBLE / entry_price)) AS BIGINT) AS qty, pos AS entry_pos FROM (
     SELECT s.*, r.result AS side, CASE WHEN r.result = 'yes' THEN s.bid ELSE 1 - s.ask END AS entry_price
     FROM snap s JOIN user_settled r ON r.ticker = s.ticker WHERE s.bid BETWEEN 0.25 AND 0.75
     QUALIFY row_number() OVER (PARTITION BY s.ticker ORDER BY s.pos, s.snap_id) = 1)

@@ -14,6 +14,7 @@ from sigloft.plans import orders as plan
 from sigloft.plans.exits import exit_decision, exit_order
 from sigloft.plans.ledger import cost_basis as basis, fill_price, position_ledger as build_ledger, positions
 from sigloft.plans.sizing import cap_by_theme, with_kelly
+from sigloft.session import stored
 
 _LEFT = "(brief_id % 20)"
 _KB = kelly_sql("confidence", "price", BANKROLL, "(brief_id % 60)", _LEFT)
@@ -110,13 +111,13 @@ decided AS (
 decisions AS (
   SELECT ticker, side, qty, entry_price, trigger, CASE trigger WHEN 'take_profit' THEN 'SELL_PROFIT' WHEN 'profit_lock' THEN 'SELL_PROFIT' WHEN 'stop_loss' THEN 'SELL_LOSS'
     WHEN 'absolute_stop' THEN 'SELL_LOSS' WHEN 'thesis_flip' THEN 'SELL_FLIP' WHEN 'time_decay' THEN 'SELL_TIMEOUT' ELSE 'HOLD' END AS action,
-    CASE trigger WHEN 'take_profit' THEN 4 WHEN 'profit_lock' THEN 4 WHEN 'stop_loss' THEN 5 WHEN 'absolute_stop' THEN 5 WHEN 'thesis_flip' THEN 3 WHEN 'time_decay' THEN 2 ELSE 0 END AS urgency,
+    CASE trigger WHEN 'take_profit' THEN 4::BIGINT WHEN 'profit_lock' THEN 4 WHEN 'stop_loss' THEN 5 WHEN 'absolute_stop' THEN 5 WHEN 'thesis_flip' THEN 3 WHEN 'time_decay' THEN 2 ELSE 0 END AS urgency,
     {fx('mark')} AS suggested_exit_price, {fx(f'{_GAIN} * qty')} AS unrealized_pnl, {fx('capture')} AS capture_pct, {fx('roi')} AS roi_pct FROM decided)"""
 _DECISION = ["action", "trigger", "urgency", "suggested_exit_price", "unrealized_pnl", "capture_pct", "roi_pct"]
 
 
-def decisions(spark, sf):
-    held = ledger_rows(spark, sf).select("ticker", "side", "qty", "entry_price")
+def decisions(spark, sf, ledger):
+    held = ledger.select("ticker", "side", "qty", "entry_price")
     anchor = v.briefs_anchor(spark, sf)
     recent = v.briefs(spark, sf).where(F.col("sec") >= anchor - _YEAR)
     today = latest_per_key(recent, ["ticker"], "sec", "brief_id").select("ticker", F.col("recommended_side").alias("brief_side"), "verdict")
@@ -129,7 +130,7 @@ def decisions(spark, sf):
 @query("exit_decisions", with_ctes("SELECT * FROM decisions", v.BRIEFS, v.SETTLED, v.FILLS, LEDGER, EXITS))
 def exit_decisions(spark, sf):
     """Six exit triggers over all open positions with a live quote."""
-    return decisions(spark, sf)
+    return decisions(spark, sf, ledger_rows(spark, sf))
 
 
 @query("exit_worklist", with_ctes("""
@@ -137,8 +138,9 @@ SELECT d.ticker, d.side, d.action, d.urgency, d.unrealized_pnl, l.entry_pos, l.c
 ORDER BY CASE WHEN d.action = 'HOLD' THEN 1 ELSE 0 END, d.urgency DESC, d.unrealized_pnl DESC, d.ticker, d.side LIMIT 100""", v.BRIEFS, v.SETTLED, v.FILLS, LEDGER, EXITS))
 def exit_worklist(spark, sf):
     """The hundred most pressing exits beside their ledger rows."""
-    ledger = ledger_rows(spark, sf).select("ticker", "side", "entry_pos", "cost_basis", "brief_id")
-    joined = decisions(spark, sf).join(ledger, ["ticker", "side"], "left")
+    ledger = stored(ledger_rows(spark, sf), "ledger")
+    entries = ledger.select("ticker", "side", "entry_pos", "cost_basis", "brief_id")
+    joined = decisions(spark, sf, ledger).join(entries, ["ticker", "side"], "left")
     return joined.orderBy(*exit_order()).limit(100).select("ticker", "side", "action", "urgency", "unrealized_pnl", "entry_pos", "cost_basis", "brief_id")
 
 
@@ -312,7 +314,7 @@ def paper_rows(spark, sf):
     return plan.paper_positions(trades, v.settled(spark, sf), v.live(spark, sf))
 
 
-_RANK = "CASE shown WHEN 'SL_HIT' THEN 0 WHEN 'CLOSED' THEN 1 WHEN 'TP_READY' THEN 2 WHEN 'OPEN' THEN 3 WHEN 'SETTLED_WIN' THEN 4 WHEN 'SETTLED_LOSS' THEN 5 ELSE 9 END"
+_RANK = "CASE shown WHEN 'SL_HIT' THEN 0::BIGINT WHEN 'CLOSED' THEN 1 WHEN 'TP_READY' THEN 2 WHEN 'OPEN' THEN 3 WHEN 'SETTLED_WIN' THEN 4 WHEN 'SETTLED_LOSS' THEN 5 ELSE 9 END"
 
 
 @query("paper_positions", with_ctes(f"""

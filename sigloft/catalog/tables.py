@@ -127,7 +127,7 @@ def schema_evolution(spark, sf):
 
 @query("keyed_update", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'closed' ELSE o_orderstatus END AS status,
-       CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 1700000000 END AS closed_at FROM orders""")
+       CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 1700000000::BIGINT END AS closed_at FROM orders""")
 def keyed_update(spark, sf):
     """Rows that meet a condition are closed in a new version; the old version stays readable until vacuumed."""
     path = shared_folder(spark, "update")
@@ -151,7 +151,7 @@ def result_csv(spark, sf):
 
 
 @query("trade_ledger_csv", """
-SELECT ticker, side, sum(n) AS total_count, sum(n * price) AS total_risk, count(*) AS trades FROM (
+SELECT ticker, side, CAST(sum(n) AS BIGINT) AS total_count, sum(n * price) AS total_risk, count(*) AS trades FROM (
   SELECT 'C' || o_custkey AS ticker, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS side, o_orderkey % 40 + 1 AS n, ((7919 * o_orderkey) % 1023 + 1) / 1024::DOUBLE AS price
   FROM orders UNION ALL SELECT 'C0', 'yes', 5, 0.5::DOUBLE) GROUP BY 1, 2""")
 def trade_ledger_csv(spark, sf):

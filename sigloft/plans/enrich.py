@@ -86,15 +86,14 @@ def clean_records(records: DataFrame) -> DataFrame:
 def lexicon_sentiment(texts: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """row_id, score, label: summed word valence s as s / sqrt(s^2 + 15).
 
-    ``lexicon``: word, valence, one row per word. Repeated words of a text are counted before the lookup.
+    ``lexicon``: word, valence, one row per word. One scan and one shuffle: all words of a text are in one partition, so
+    their valences are summed on the map side, and texts without any known word stay in through the outer steps.
     """
-    words = F.explode(runs_of(F.col(text), "[a-zA-Z0-9]+"))
-    tokens = texts.select(row_id, words.alias("word")).withColumn("word", F.lower("word"))
-    counted = tokens.groupBy(row_id, "word").agg(F.count("*").alias("_n"))
-    total = counted.join(lexicon, "word").groupBy(row_id).agg(F.sum(F.col("_n") * F.col("valence")).alias("_s"))
-    scored = texts.select(row_id).join(total, row_id, "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    words = texts.select(row_id, F.explode_outer(runs_of(F.col(text), "[a-zA-Z0-9]+")).alias("word"))
+    valued = words.withColumn("word", F.lower("word")).join(lexicon, "word", "left")
+    total = valued.groupBy(row_id).agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"))
     score = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15.0)
-    return scored.select(row_id, score.alias("sentiment_score"), sentiment_label(score).alias("sentiment_label"))
+    return total.select(row_id, score.alias("sentiment_score"), sentiment_label(score).alias("sentiment_label"))
 
 
 def article_text(articles: DataFrame) -> DataFrame:

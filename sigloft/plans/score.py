@@ -12,6 +12,7 @@ from sigloft.functions.text import headline_words, is_topic
 from sigloft.operators.contains import contains_join
 from sigloft.operators.keyed import top_per_key
 from sigloft.operators.ordered import HOT_ROWS, lag_rows
+from sigloft.session import stored
 
 #: row lags at a 15-minute cadence
 LAGS = {"15m": 1, "1h": 4, "24h": 96}
@@ -94,12 +95,16 @@ def person_signals(markets: DataFrame, velocity: DataFrame) -> DataFrame:
 
 
 def keyword_routes(articles: DataFrame, markets: DataFrame, anchor_sec: Column) -> DataFrame:
-    """ticker, feed_key, keyword: last-day headline words that occur inside a market title."""
-    words = (
+    """ticker, feed_key, keyword: last-day headline words that occur inside a market title.
+
+    The distinct words are read several times by the substring join, so they are stored once.
+    """
+    words = stored(
         articles.where((F.col("sec") >= anchor_sec - 86_400) & F.col("title").isNotNull())
         .select("feed_key", F.explode(headline_words(F.col("title"))).alias("keyword"))
         .where(is_topic(F.col("keyword"), fv.ROUTING_STOPWORDS, digits_lead=True))
-        .distinct()
+        .distinct(),
+        "route-words",
     )
     titles = markets.select("ticker", F.lower("title").alias("_title"))
     hits = contains_join(titles, ["ticker"], "_title", words, "keyword", shortest=4)

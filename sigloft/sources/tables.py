@@ -78,7 +78,7 @@ def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], newest: Se
 def append_once(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]) -> None:
     """Re-running the same batch adds nothing, and late rows of another batch are still added."""
     try:
-        seen = spark.read.parquet(path).select(*keys).distinct()
+        seen = spark.read.parquet(path).select(*keys)
     except AnalysisException:
         append(batch, path)
         return

@@ -75,7 +75,7 @@ def drain_unseen(stream: DataFrame, key: str, newest: Sequence[str], folder: str
     spark = stream.sparkSession
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(spark, folder, batch_id, batch.schema).select(key).distinct()
+        seen = _earlier(spark, folder, batch_id, batch.schema).select(key)
         _store(latest_per_key(batch, [key], *newest).join(seen, key, "left_anti"), folder, batch_id)
 
     drain(stream, checkpoint, take)
