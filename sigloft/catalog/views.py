@@ -149,7 +149,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
         )
         return F.array_join(F.transform(kept, block), ";")
 
-    upper = lambda w: w.rlike("^[A-Z]")
+    upper = lambda w: F.ascii(w).between(65, 90)
     return table(spark, sf, "documents").withColumn("_w", words).select(
         F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("GKGRECORDID"),
         F.concat(F.lit("2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("01")).alias("DATE"),
