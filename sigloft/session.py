@@ -44,7 +44,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = _LOCAL_SCRATCH.setdefault(context.applicationId, tempfile.mkdtemp(prefix="sigloft-"))
+        if context.applicationId not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="sigloft-")
+        base = _LOCAL_SCRATCH[context.applicationId]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
