@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import sentencepieces, simhash_dedup, token_counts
+from sigloft.llm import secret_scans, sentencepieces, simhash_dedup, token_counts
 from sigloft.llm.common import table
+from sigloft.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,40 @@ def sentencepiece_round_trips(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_token_counts")
 def counted_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def _secret_sql() -> str:
+    kinds = "\nUNION ALL ".join(
+        f"SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS whole, "
+        f"regexp_extract_all(text, '{p}', {r.group}) AS part, string_split_regex(text, '{p}') AS gaps FROM texts"
+        for i, r in enumerate(secret_scans.RULES)
+        for p in [r.pattern.replace("'", "''").replace('\\"', '"')]
+    )
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    cut AS ({kinds}),
+    matches AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM cut),
+    spans AS (
+        SELECT doc_id, rank, kind, length(whole[i]) AS size,
+            list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM matches WHERE length(part[i]) >= least
+    ),
+    found AS (
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+            count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank) AS spans
+        FROM spans GROUP BY doc_id
+    )
+    SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts t LEFT JOIN found f ON t.doc_id = f.doc_id
+    """
+
+
+@query("op4_secret_scans", _secret_sql())
+def secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scans.findings(table(spark, sf, "documents"), shared_folder(spark, "blob-ledger"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secret_scans.RULES]
+    listed = secret_scans.listed(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
