@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import secret_scans, sentencepieces, simhash_dedup, token_counts
+from sigloft.llm import secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
 from sigloft.session import shared_folder
 
@@ -83,3 +83,19 @@ def secrets(spark: SparkSession, sf: str) -> DataFrame:
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secret_scans.RULES]
     listed = secret_scans.listed(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+l AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= {warc.LEAST} GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN p.page_id < l.last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN p.page_id < l.last THEN l.last END AS refers_to
+FROM p LEFT JOIN l ON p.payload_digest = l.payload_digest AND p.payload_bytes >= {warc.LEAST}
+"""
+
+
+@query("op10_warc", _WARC_SQL)
+def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    files = warc.write_archive(table(spark, sf, "pages"), folder)
+    return warc.read_archive(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
