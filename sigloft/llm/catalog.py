@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import doc_fingerprints, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
-from sigloft.session import shared_folder
+from sigloft.session import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,10 @@ def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     files = warc.write_archive(table(spark, sf, "pages"), folder)
     return warc.read_archive(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_doc_fingerprints")
+def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
+    done = stored(doc_fingerprints.compared_with_edits(table(spark, sf, "documents")), "fingerprints")
+    near = doc_fingerprints.near_counts(done)
+    return done.join(near, "fingerprint", "left").select(*done.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
