@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import doc_fingerprints, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import doc_fingerprints, quality, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
 from sigloft.session import shared_folder, stored
 
@@ -106,3 +106,8 @@ def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
     done = stored(doc_fingerprints.compared_with_edits(table(spark, sf, "documents")), "fingerprints")
     near = doc_fingerprints.near_counts(done)
     return done.join(near, "fingerprint", "left").select(*done.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+@query("op1_quality_classifier")
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
