@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import doc_fingerprints, quality, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import doc_fingerprints, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
 from sigloft.session import shared_folder, stored
 
@@ -111,3 +111,15 @@ def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_quality_classifier")
 def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_pii")
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = sanitise.searched(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in sanitise.KINDS]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"))
