@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import doc_fingerprints, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import decontaminate, doc_fingerprints, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
 from sigloft.session import shared_folder, stored
 
@@ -123,3 +123,8 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"))
+
+
+@query("op2_benchmark_decontamination")
+def benchmark_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
