@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import decontaminate, doc_fingerprints, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import decontaminate, doc_fingerprints, fuzzy_passages, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
 from sigloft.llm.common import table
 from sigloft.session import shared_folder, stored
 
@@ -128,3 +128,8 @@ def personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_benchmark_decontamination")
 def benchmark_matches(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_fuzzy_passages")
+def repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return fuzzy_passages.passages(table(spark, sf, "documents"))
