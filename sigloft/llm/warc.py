@@ -53,13 +53,15 @@ def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary over a bounded sample of the payloads; b"" if there are too few to learn from."""
+    """A dictionary over a bounded sample of the payloads, a smaller one for few payloads; b"" if there are too few to learn from."""
     sample = pages.filter("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("html").alias("h"))
     payloads = [r.html.encode() for r in sample.orderBy("h", "html").limit(SAMPLES).collect()]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, payloads, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    for size in (DICTIONARY_BYTES, DICTIONARY_BYTES // 8, DICTIONARY_BYTES // 64):
+        try:
+            return zstandard.train_dictionary(size, payloads, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
 
 
 def record(page_id: int | None, url: str | None, kind: str, payload: bytes, n: int, digest: str, owner: int | None) -> bytes:
@@ -88,7 +90,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, file_bytes:
             for page_id, url, html, length, digest, owner in zip(*(batch[c] for c in ("page_id", "url", "html", "n", "digest", "owner"))):
                 if out is None:
                     name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst"
-                    out, n, size = store.open_output_stream(f"{base}/{name}"), 0, 0
+                    out, n, size = store.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                     if learned:
                         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(learned)) + learned)
                 page_id, owner = (None if pd.isna(x) else int(x) for x in (page_id, owner))
@@ -170,7 +172,7 @@ def read_archive(files: DataFrame, folder: str, with_payload: bool = False) -> D
             for name in batch["file"]:
                 rows: list[tuple] = []
                 size = 0
-                with store.open_input_stream(f"{base}/{name}") as stream:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for r in parse(stream):
                         head, _, payload = r["block"].partition(b"\r\n\r\n")
                         digest = base64.b32decode(r["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
