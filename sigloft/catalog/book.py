@@ -135,13 +135,13 @@ def exit_decisions(spark, sf):
 
 @query("exit_worklist", with_ctes("""
 SELECT d.ticker, d.side, d.action, d.urgency, d.unrealized_pnl, l.entry_pos, l.cost_basis, l.brief_id FROM decisions d LEFT JOIN ledger l ON l.ticker = d.ticker AND l.side = d.side
-ORDER BY CASE WHEN d.action = 'HOLD' THEN 1 ELSE 0 END, d.urgency DESC, d.unrealized_pnl DESC, d.ticker, d.side LIMIT 100""", v.BRIEFS, v.SETTLED, v.FILLS, LEDGER, EXITS))
+ORDER BY CASE WHEN d.action = 'HOLD' THEN 1 ELSE 0 END, d.urgency DESC, d.unrealized_pnl DESC, d.ticker, d.side""", v.BRIEFS, v.SETTLED, v.FILLS, LEDGER, EXITS))
 def exit_worklist(spark, sf):
-    """The hundred most pressing exits beside their ledger rows."""
+    """All exits beside their ledger rows, the most pressing first."""
     ledger = stored(ledger_rows(spark, sf), "ledger")
     entries = ledger.select("ticker", "side", "entry_pos", "cost_basis", "brief_id")
     joined = decisions(spark, sf, ledger).join(entries, ["ticker", "side"], "left")
-    return joined.orderBy(*exit_order()).limit(100).select("ticker", "side", "action", "urgency", "unrealized_pnl", "entry_pos", "cost_basis", "brief_id")
+    return joined.orderBy(*exit_order()).select("ticker", "side", "action", "urgency", "unrealized_pnl", "entry_pos", "cost_basis", "brief_id")
 
 
 # -- paper orders -----------------------------------------------------------------------------------------------------

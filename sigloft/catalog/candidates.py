@@ -133,14 +133,11 @@ def daily_spend(spark, sf):
 
 
 @query("held_tickers", with_ctes("""
-SELECT DISTINCT ticker FROM (SELECT DISTINCT ticker FROM fills WHERE action = 'buy' AND pos > (SELECT max(pos) FROM fills) - 86400 * 200
-  UNION ALL SELECT ticker FROM briefs WHERE brief_id % 7 <> 0 AND sec > (SELECT anchor FROM briefs_anchor) - 86400 * 100)""", v.BRIEFS, v.FILLS))
+SELECT ticker FROM fills WHERE action = 'buy' UNION SELECT ticker FROM briefs WHERE brief_id % 7 <> 0""", v.BRIEFS, v.FILLS))
 def held_tickers(spark, sf):
     """Held by the ledger or by a trade that is not closed."""
-    fills = v.fills(spark, sf)
-    ledger = fills.where((F.col("action") == "buy") & (F.col("pos") > fills.agg(F.max("pos")).scalar() - 86_400 * 200))
-    recent = v.briefs(spark, sf).where(F.col("sec") > v.briefs_anchor(spark, sf) - 86_400 * 100)
-    trades = recent.select("ticker", F.when(F.col("brief_id") % 7 == 0, F.col("sec")).alias("closed_at"))
+    ledger = v.fills(spark, sf).where(F.col("action") == "buy")
+    trades = v.briefs(spark, sf).select("ticker", F.when(F.col("brief_id") % 7 == 0, F.col("sec")).alias("closed_at"))
     return plan.held_tickers(ledger, trades)
 
 

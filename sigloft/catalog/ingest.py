@@ -321,13 +321,13 @@ def drifting_files(spark, sf):
 
 @query("recent_files", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
 def recent_files(spark, sf):
-    """Three snapshots land one after the other beside ``latest.parquet``; the newest two files are read."""
+    """Three snapshots land one after the other beside ``latest.parquet``; the newest two are read."""
     base = shared_folder(spark, "landing")
     rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     for status in ("F", "O", "P"):
-        rows.where(F.col("o_orderstatus") == status).coalesce(1).write.parquet(f"{base}/{status}")
+        rows.where(F.col("o_orderstatus") == status).write.parquet(f"{base}/{status}")
     rows.limit(0).write.parquet(f"{base}/latest.parquet")
-    newest = spark.read.parquet(*landed.newest_files(spark, base, 2, "part-*.parquet"))
+    newest = spark.read.parquet(*landed.newest_folders(spark, base, 2, "part-*.parquet"))
     return newest.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 

@@ -85,12 +85,12 @@ def _articles(spark, sf):
 
 _MARK = f"(SELECT min(sec) + (max(sec) - min(sec)) // 3 FROM articles)"
 _FEED = f"""
-feed AS (SELECT * FROM articles WHERE sec >= {_MARK} AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY sec, link LIMIT 4000)"""
+feed AS (SELECT * FROM articles WHERE sec >= {_MARK} AND doc_id NOT IN (SELECT doc_id FROM labels))"""
 
 
 @query("embed_feed", with_ctes("SELECT link, sec FROM feed", v.ARTICLES, _FEED))
 def embed_feed(spark, sf):
-    """The oldest articles behind the watermark that are not embedded yet (labelled documents are)."""
+    """All articles behind the watermark that are not embedded yet (labelled documents are)."""
     return _feed(spark, sf).select("link", "sec")
 
 
@@ -98,15 +98,15 @@ def _feed(spark, sf):
     rows = _articles(spark, sf)
     done = v.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("link"))
     times = v.articles(spark, sf).agg((F.min("sec") + F.floor((F.max("sec") - F.min("sec")) / 3)).cast("bigint"))
-    return plan.embed_feed(rows, done, times.scalar(), 4000)
+    return plan.embed_feed(rows, done, times.scalar())
 
 
 @query("doc_sentences", with_ctes("""
-SELECT 'news_' || link AS id, md5(d) AS document_md5, md5((('Article ' || link)[1:2000] || ' | ' || title[1:2000])[1:2000]) AS model_input_md5, sec AS ingested_timestamp,
+SELECT 'news_' || link AS id, w AS "window", md5(d) AS document_md5, md5(substr(d, w * 2000 + 1, 2000)) AS model_input_md5, sec AS ingested_timestamp,
        CASE WHEN doc_id % 4 <> 0 THEN sec - 60 ELSE sec END AS published_timestamp, source, sentiment_score AS sentiment
-FROM (SELECT *, 'Article ' || link || ' | ' || title AS d FROM articles)""", v.ARTICLES))
+FROM (SELECT *, unnest(range(greatest(1, (length(d) + 1999) // 2000))) AS w FROM (SELECT *, 'Article ' || link || ' | ' || title AS d FROM articles))""", v.ARTICLES))
 def doc_sentences(spark, sf):
-    """Every article as a document to embed: id, whole text, model input, times, source, sentiment."""
+    """Every article as the windows to embed: id, window, text, times, source, sentiment."""
     rows = plan.embed_documents(_articles(spark, sf), "news")
-    return rows.select("id", F.md5("document").alias("document_md5"), F.md5("model_input").alias("model_input_md5"), "ingested_timestamp",
+    return rows.select("id", "window", "document_md5", F.md5("model_input").alias("model_input_md5"), "ingested_timestamp",
                        "published_timestamp", "source", "sentiment")

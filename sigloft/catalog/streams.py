@@ -54,24 +54,30 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{base}/out").select("content")
 
 
-def _landed(spark, sf, base: str, parts):
-    """The events landed as one file per part, in this order."""
-    rows = v.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    for i, types in enumerate(parts):
-        rows.where(F.col("event_type").isin(*types)).coalesce(1).write.mode("append").parquet(f"{base}/landed")
-    return jobs.open_stream(spark, f"{base}/landed", _EVENTS, files_per_batch=1)
+_PARTS = (("click", "view"), ("purchase", "error"), ("signup",))
+_PART = "CASE WHEN event_type IN ('click', 'view') THEN 0 WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 2 END"
 
 
-_PARTS = (("click", "view"), ("purchase", "error"), ("signup",))
+def _in_parts(spark, sf, base: str, take):
+    """The events land part after part, in as many files as Spark makes of each; ``take`` drains what is new as one micro-batch."""
+    rows = v.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    for types in _PARTS:
+        rows.where(F.col("event_type").isin(*types)).write.mode("append").parquet(f"{base}/landed")
+        result = take(jobs.open_stream(spark, f"{base}/landed", _EVENTS))
+    return result
 
 
-@query("stream_unseen", "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 UNION ALL "
-       "SELECT user_id, min(event_id) FROM events WHERE event_type IN ('purchase', 'error') AND user_id NOT IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view')) GROUP BY 1")
+@query("stream_unseen", f"""
+SELECT user_id, min(event_id) AS event_id FROM (SELECT *, {_PART} AS part FROM events QUALIFY part = min(part) OVER (PARTITION BY user_id)) GROUP BY 1""")
 def stream_unseen(spark, sf):
     """Users never stored before, over three micro-batches, without a memory limit."""
     base = shared_folder(spark, "unseen")
-    stream = _landed(spark, sf, base, _PARTS).select("user_id", "event_id", (-F.col("event_id")).alias("first"))
-    return jobs.drain_unseen(stream, "user_id", ["first"], f"{base}/out", f"{base}/checkpoint").select("user_id", "event_id")
+
+    def take(stream):
+        first = stream.select("user_id", "event_id", (-F.col("event_id")).alias("first"))
+        return jobs.drain_unseen(first, "user_id", ["first"], f"{base}/out", f"{base}/checkpoint")
+
+    return _in_parts(spark, sf, base, take).select("user_id", "event_id")
 
 
 @query("stream_upsert", """
@@ -79,13 +85,13 @@ SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVE
 def stream_upsert(spark, sf):
     """Latest event per user kept over three micro-batches."""
     base = shared_folder(spark, "upsert")
-    stream = _landed(spark, sf, base, _PARTS)
-    current = jobs.drain_upserts(stream, ["user_id"], ["ts", "event_id"], f"{base}/current", f"{base}/history", f"{base}/checkpoint")
+    current = _in_parts(spark, sf, base, lambda stream: jobs.drain_upserts(
+        stream, ["user_id"], ["ts", "event_id"], f"{base}/current", f"{base}/history", f"{base}/checkpoint"))
     return current.select("user_id", "event_id", "event_type", "value")
 
 
-@query("stream_late_rows", """
-WITH p AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 0 WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 2 END AS part FROM events),
+@query("stream_late_rows", f"""
+WITH p AS (SELECT *, {_PART} AS part FROM events),
 m0 AS (SELECT user_id, max(ts) AS mark FROM p WHERE part = 0 GROUP BY 1),
 m1 AS (SELECT user_id, max(ts) AS mark FROM p WHERE part IN (0, 1) GROUP BY 1),
 j AS (SELECT p.*, CASE part WHEN 1 THEN m0.mark WHEN 2 THEN m1.mark END AS mark FROM p LEFT JOIN m0 USING (user_id) LEFT JOIN m1 USING (user_id))
@@ -93,7 +99,8 @@ SELECT event_type, count(*) FILTER (WHERE mark IS NULL OR ts > mark) AS fresh, c
 def stream_late_rows(spark, sf):
     """Rows behind the watermark of their user are taken, late ones kept aside."""
     base = shared_folder(spark, "late")
-    fresh, late = jobs.drain_by_source(_landed(spark, sf, base, _PARTS), "user_id", "ts", f"{base}/fresh", f"{base}/late", f"{base}/checkpoint")
+    fresh, late = _in_parts(spark, sf, base, lambda stream: jobs.drain_by_source(
+        stream, "user_id", "ts", f"{base}/fresh", f"{base}/late", f"{base}/marks", f"{base}/checkpoint"))
     tagged = fresh.select("event_type", F.lit(1).alias("f")).union(late.select("event_type", F.lit(0)))
     return tagged.groupBy("event_type").agg(F.count_if(F.col("f") == 1).alias("fresh"), F.count_if(F.col("f") == 0).alias("late"))
 

@@ -115,13 +115,13 @@ def snapshot_and_history(spark, sf):
 
 
 @query("schema_evolution", """
-SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS note FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS note FROM orders""")
 def schema_evolution(spark, sf):
     """A history whose later batch has one more column."""
     path = shared_folder(spark, "evolving")
     rows = v.table(spark, sf, "orders")
     tables.append(rows.where(F.col("o_orderstatus") == "F").select("o_orderkey"), path)
-    tables.append(rows.where(F.col("o_orderstatus") == "O").select("o_orderkey", F.col("o_orderpriority").alias("note")), path)
+    tables.append(rows.where(F.col("o_orderstatus") != "F").select("o_orderkey", F.col("o_orderpriority").alias("note")), path)
     return tables.read_history(spark, path).select("o_orderkey", "note")
 
 

@@ -51,22 +51,27 @@ def point_in_time_context(queries: DataFrame, documents: DataFrame, k: int = 5,
     return near.where(F.col("similarity") >= floor)
 
 
-def embed_feed(articles: DataFrame, done: DataFrame, watermark: Column, max_rows: int) -> DataFrame:
-    """The oldest rows not embedded yet, at most ``max_rows``.
+def embed_feed(articles: DataFrame, done: DataFrame, watermark: Column) -> DataFrame:
+    """All rows not embedded yet.
 
     The watermark is the newest time already taken; rows of exactly that time are still considered and the ids already
     done are taken out, so a cut between rows of equal time loses nothing.
     """
-    pending = articles.where(F.col("sec") >= watermark).join(done.select("link"), "link", "left_anti")
-    return pending.orderBy("sec", "link").limit(max_rows)
+    return articles.where(F.col("sec") >= watermark).join(done.select("link"), "link", "left_anti")
 
 
 def embed_documents(feed: DataFrame, collection: str, max_chars: int = fv.MODEL_INPUT_CHARS) -> DataFrame:
-    """Id, whole text, the part a model of limited input takes, and metadata; the publish time falls back to ingest."""
+    """One row per window of the text: id, window number, window, md5 of the whole text, metadata.
+
+    A model of limited input takes ``max_chars`` characters, so the whole text is cut into consecutive windows of that length; an
+    empty text is one empty window. The publish time falls back to ingest.
+    """
     document = joined_text(F.col("title"), F.col("full_text"))
-    return feed.select(
-        F.concat_ws("_", F.lit(collection), F.col("link")).alias("id"), document.alias("document"),
-        F.substring(joined_text(F.substring("title", 1, max_chars), F.substring("full_text", 1, max_chars)), 1, max_chars).alias("model_input"),
+    last = F.greatest(F.ceil(F.length("_document") / max_chars) - 1, F.lit(0))
+    windows = feed.withColumn("_document", document).withColumn("_window", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return windows.select(
+        F.concat_ws("_", F.lit(collection), F.col("link")).alias("id"), F.col("_window").alias("window"), F.md5("_document").alias("document_md5"),
+        F.substr("_document", (F.col("_window") * max_chars + 1).cast("int"), F.lit(max_chars)).alias("model_input"),
         F.col("sec").alias("ingested_timestamp"), F.coalesce("published_sec", "sec").alias("published_timestamp"),
         "source", F.coalesce("sentiment_score", F.lit(0.0)).alias("sentiment"),
     )

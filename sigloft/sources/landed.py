@@ -60,6 +60,13 @@ def newest_files(spark: SparkSession, folder: str, n: int, pattern: str = "*.par
     return [r["path"] for r in top.collect()]
 
 
+def newest_folders(spark: SparkSession, folder: str, n: int, pattern: str = "*.parquet") -> list[str]:
+    """Folders of the n snapshots written last, each of any number of files; n is a small constant of the caller."""
+    files = list_files(spark, folder, pattern).select("modified", F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("snapshot"))
+    top = files.groupBy("snapshot").agg(F.max("modified").alias("modified")).orderBy(F.col("modified").desc(), F.col("snapshot").desc())
+    return [r["snapshot"] for r in top.limit(n).collect()]
+
+
 def newer_than(df: DataFrame, moment: str, watermark) -> DataFrame:
     """Rows strictly behind the watermark instant; no watermark keeps all rows."""
     return df if watermark is None else df.where(F.col(moment) > watermark)

@@ -97,19 +97,24 @@ def drain_upserts(stream: DataFrame, keys: Sequence[str], newest: Sequence[str],
 
 
 # -- watermark per source ---------------------------------------------------------------------------------------------
-def drain_by_source(stream: DataFrame, source: str, moment: str, fresh: str, late: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+def drain_by_source(stream: DataFrame, source: str, moment: str, fresh: str, late: str, marks: str,
+                    checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Rows behind the watermark of their source are taken, the others go to a side table instead of being dropped.
 
-    The watermark of a source is the newest time it has in the sink from earlier batches.
+    The watermark of a source is the newest time taken from it by earlier batches. It is kept in a table of one row per source, of
+    which each batch reads the last state and writes the next, so the sink is not read again.
     """
     spark = stream.sparkSession
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        marks = _earlier(spark, fresh, batch_id, batch.schema).groupBy(source).agg(F.max(moment).alias("_mark"))
-        marked = batch.join(marks, source, "left")
+        state = T.StructType([batch.schema[source], T.StructField("_mark", batch.schema[moment].dataType)])
+        known = _earlier(spark, marks, batch_id, state).where(F.col("batch") == batch_id - 1).select(source, "_mark")
+        marked = batch.join(known, source, "left")
         is_fresh = F.col("_mark").isNull() | (F.col(moment) > F.col("_mark"))
         _store(marked.where(~is_fresh).drop("_mark"), late, batch_id)
         _store(marked.where(is_fresh).drop("_mark"), fresh, batch_id)
+        taken = spark.read.schema(batch.schema).parquet(f"{fresh}/batch={batch_id}").select(source, F.col(moment).alias("_mark"))
+        _store(known.union(taken).groupBy(source).agg(F.max("_mark").alias("_mark")), marks, batch_id)
 
     drain(stream, checkpoint, take)
     return spark.read.parquet(fresh).drop("batch"), spark.read.parquet(late).drop("batch")
