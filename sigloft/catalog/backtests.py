@@ -224,5 +224,5 @@ SELECT min(equity - peak) AS max_drawdown_usd, {fx('min(CASE WHEN peak > 0 THEN
   SELECT equity, max(equity) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS peak, o_orderkey FROM (
     SELECT o_orderdate, o_orderkey, sum(pnl) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS equity FROM pnls))""", PNL))
 def max_drawdown(spark, sf):
-    rows = plan.max_drawdown(trade_rows(spark, sf), "sec", "o_orderkey", hot_rows=10_000)
+    rows = plan.max_drawdown(trade_rows(spark, sf), "sec", "o_orderkey")
     return rows.withColumn("max_drawdown", fixed("max_drawdown", 6))

@@ -123,7 +123,7 @@ FROM articles""", v.ARTICLES))
 def running_counts(spark, sf):
     """Articles of a feed counted from the newest back."""
     rows = v.articles(spark, sf).select("feed_key", "link", "doc_id", (-F.col("sec")).alias("_back"))
-    counted = running(rows, ["feed_key"], "_back", [F.col("_back"), F.col("doc_id").desc()], sums={"article_rank": F.lit(1).cast("bigint")})
+    counted = running(rows, ["feed_key"], [F.col("_back"), F.col("doc_id").desc()], sums={"article_rank": F.lit(1).cast("bigint")})
     return counted.select("feed_key", "link", "article_rank")
 
 

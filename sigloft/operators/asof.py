@@ -1,8 +1,8 @@
 """As-of joins: for every left row the right row of the same key that is nearest in time.
 
 Both sides are laid on one time line per key and a running ``last(right, ignorenulls)`` is taken, so no left/right pair
-is ever built and then thrown away. Large keys are cut into slots (see :mod:`ordered`); the last right row of every slot
-is carried to the slots after it.
+is ever built and then thrown away. The line is cut into slots that follow the data (see :mod:`ordered`); the last right
+row of a key in a slot is carried to the slots after it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloft.operators.ordered import HOT_ROWS, with_slots
+from sigloft.operators.ordered import earlier_slots, in_slots, with_carry
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
               right_id: str, take: Sequence[str], tolerance: int | None = None, direction: str = "backward",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              slots: int | None = None) -> DataFrame:
     """Left rows plus ``take`` and ``matched_at`` of the matched right row, null without a match.
 
     Times are whole numbers (microseconds or seconds) and ``tolerance`` is in the same unit, bounds included.
@@ -30,7 +30,10 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     match = F.struct(F.col(right_time).alias("matched_at"), F.col(right_id).alias("_id"), *[F.col(c) for c in take])
     marks = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_pos"), match.alias("_r"))
     asks = left.select(*keys, F.col(left_time).alias("_pos"), F.struct(*left.columns).alias("_l"))
-    slotted = with_slots(marks.unionByName(asks, allowMissingColumns=True), keys, "_pos", hot_rows)
+    # At one instant right rows come first, or last where only the rows ahead count; equal asks are told apart by their content.
+    is_ask = F.col("_l").isNotNull()
+    order = [F.col("_pos"), is_ask.desc() if direction == "forward" else is_ask.asc(), F.col("_r._id"), F.xxhash64("_l")]
+    slotted = in_slots(marks.unionByName(asks, allowMissingColumns=True), keys, order, slots)
     line = slotted
 
     found: dict[str, Column] = {}
@@ -43,19 +46,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
                      F.col("_r._id").asc() if back else F.col("_r._id").desc())
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        outside = (
-            Window.partitionBy(*keys)
-            .orderBy(F.col("_slot").asc() if back else F.col("_slot").desc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
         edge = F.max("_r") if back else F.min("_r")
-        carry = (
-            slotted.where(F.col("_hot"))
-            .groupBy(*keys, "_slot").agg(edge.alias("_edge"))
-            .select(*keys, "_slot", F.last("_edge", ignorenulls=True).over(outside).alias(f"_carry_{side}"))
+        carry = slotted.groupBy(*keys, "_slot").agg(edge.alias("_edge")).select(
+            *keys, "_slot", F.last("_edge", ignorenulls=True).over(earlier_slots(keys, not back)).alias(f"_carry_{side}")
         )
         line = line.withColumn(f"_local_{side}", F.last("_r", ignorenulls=True).over(local))
-        line = line.join(F.broadcast(carry), [*keys, "_slot"], "left")
+        line = with_carry(line, keys, carry, [f"_carry_{side}"])
         found[side] = F.coalesce(f"_local_{side}", f"_carry_{side}")
 
     asked = line.where(F.col("_l").isNotNull())
@@ -74,7 +70,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
 def asof_offsets(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, left_time: str, right_time: str,
                  right_id: str, value: str, offsets: dict[str, int], tolerance: int | None = None,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 slots: int | None = None) -> DataFrame:
     """The right value at several time offsets from each left row, one output column per named offset.
 
     One backward as-of join over the exploded offsets, folded back to one row per ``left_id``.
@@ -83,7 +79,7 @@ def asof_offsets(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id
     asks = left.select(*keys, left_id, left_time, F.explode(shifts).alias("_s")).select(
         *keys, left_id, F.col("_s.name").alias("_name"), (F.col(left_time) + F.col("_s.by")).alias("_at")
     )
-    hits = asof_join(asks, right, keys, "_at", right_time, right_id, [value], tolerance, "backward", hot_rows)
+    hits = asof_join(asks, right, keys, "_at", right_time, right_id, [value], tolerance, "backward", slots)
     folded = hits.groupBy(left_id).agg(*[F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in offsets])
     return left.join(folded, left_id, "left")
 

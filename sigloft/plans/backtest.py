@@ -10,7 +10,7 @@ from sigloft.functions.numeric import fixed
 from sigloft.functions.prices import contracts, entry_price
 from sigloft.operators.asof import asof_join
 from sigloft.operators.keyed import top_per_key
-from sigloft.operators.ordered import HOT_ROWS, running
+from sigloft.operators.ordered import drawdown_curve
 from sigloft.plans.exits import first_touch
 from sigloft.plans.sizing import cap_by_theme, with_kelly
 
@@ -99,12 +99,12 @@ def sized_trades(briefs: DataFrame, bankroll: float) -> DataFrame:
     )
 
 
-def without_stale_entries(trades: DataFrame, snapshots: DataFrame, tolerance: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def without_stale_entries(trades: DataFrame, snapshots: DataFrame, tolerance: int, slots: int | None = None) -> DataFrame:
     """Drops trades whose stated YES price is off by more than 10 cents from the snapshot nearest to the entry.
 
     Only snapshots closer than ``tolerance`` count (strictly), otherwise the trade is kept.
     """
-    near = asof_join(trades, snapshots, ["ticker"], "entry_pos", "pos", "snap_id", ["bid"], tolerance - 1, "nearest", hot_rows)
+    near = asof_join(trades, snapshots, ["ticker"], "entry_pos", "pos", "snap_id", ["bid"], tolerance - 1, "nearest", slots)
     stale = F.col("matched_at").isNotNull() & (F.abs(F.col("bid") - F.col("odds")) > 0.10)
     return near.where(~stale).drop("matched_at", "bid")
 
@@ -172,11 +172,9 @@ def sharpe(trades: DataFrame, day: str) -> DataFrame:
     )
 
 
-def max_drawdown(trades: DataFrame, position: str, row_id: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def max_drawdown(trades: DataFrame, position: str, row_id: str, slots: int | None = None) -> DataFrame:
     """Largest fall of the cumulative P&L below its running peak, absolute and relative to a positive peak."""
-    order = [F.col(position), F.col(row_id)]
-    curve = running(trades.select(position, row_id, "pnl"), [], position, order, sums={"equity": F.col("pnl")}, hot_rows=hot_rows)
-    peaked = running(curve, [], position, order, maxes={"peak": F.col("equity")}, hot_rows=hot_rows)
+    peaked = drawdown_curve(trades.select(position, row_id, "pnl"), [F.col(position), F.col(row_id)], "pnl", slots)
     fall = F.col("equity") - F.col("peak")
     return peaked.agg(
         F.min(fall).alias("max_drawdown_usd"),

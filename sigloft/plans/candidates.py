@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.prices import price_before, series_of
 from sigloft.operators.keyed import latest_per_key, top_per_key
-from sigloft.operators.ordered import HOT_ROWS, running
+from sigloft.operators.ordered import running
 
 
 def open_scored(scores: DataFrame, live: DataFrame, anchor: Column, lookback_hours: int = 48,
@@ -72,10 +72,10 @@ def ranked_candidates(rows: DataFrame, per_series: int = fv.SERIES_LIMIT, limit:
 
 
 def within_budget(calls: DataFrame, day: str, position: str, row_id: str, cost: str,
-                  budget: float = fv.DAILY_BUDGET, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  budget: float = fv.DAILY_BUDGET, slots: int | None = None) -> DataFrame:
     """Calls made while the spend of the day so far was below the budget; adds ``spent_before``."""
-    spent = running(calls, [day], position, [F.col(position), F.col(row_id)], sums={"_spent": F.col(cost)},
-                    hot_rows=hot_rows)
+    spent = running(calls, [day], [F.col(position), F.col(row_id)], sums={"_spent": F.col(cost)},
+                    slots=slots)
     return spent.withColumn("spent_before", F.col("_spent") - F.col(cost)).where(F.col("spent_before") < budget).drop("_spent")
 
 

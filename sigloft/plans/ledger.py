@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sigloft.functions.numeric import fixed, ratio
 from sigloft.operators.asof import asof_join
-from sigloft.operators.ordered import HOT_ROWS
 
 
 def fill_price(side: Column, yes_dollars: Column, no_dollars: Column, yes_cents: Column, no_cents: Column) -> Column:
@@ -35,7 +34,7 @@ def positions(fills: DataFrame) -> DataFrame:
 
 
 def position_ledger(fills: DataFrame, briefs: DataFrame, tolerance: int, brief_columns: list[str],
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    slots: int | None = None) -> DataFrame:
     """One row per (ticker, side): quantity, weighted entry price, first fill, cost, and the last brief before it.
 
     ``fills``: ticker, side, action, count, price, pos. ``briefs``: ticker, pos, brief_id and ``brief_columns``. Times and
@@ -52,5 +51,5 @@ def position_ledger(fills: DataFrame, briefs: DataFrame, tolerance: int, brief_c
                          fixed(average * F.col("qty"), 4).alias("cost_basis"))
     named = briefs.withColumn("_brief", F.col("brief_id"))
     matched = asof_join(priced, named, ["ticker"], "entry_pos", "pos", "_brief", ["brief_id", *brief_columns], tolerance,
-                        "backward", hot_rows)
+                        "backward", slots)
     return matched.drop("matched_at")

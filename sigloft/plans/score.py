@@ -11,7 +11,7 @@ from sigloft.functions.prices import anchored_score, change_since, legacy_score,
 from sigloft.functions.text import headline_words, is_topic
 from sigloft.operators.contains import contains_join
 from sigloft.operators.keyed import top_per_key
-from sigloft.operators.ordered import HOT_ROWS, lag_rows
+from sigloft.operators.ordered import lag_rows
 from sigloft.session import stored
 
 #: row lags at a 15-minute cadence
@@ -19,10 +19,10 @@ LAGS = {"15m": 1, "1h": 4, "24h": 96}
 
 
 def all_moves(snapshots: DataFrame, key: str, position: str, row_id: str, price: str,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              slots: int | None = None) -> DataFrame:
     """Relative move of every snapshot against 1, 4 and 96 rows earlier."""
-    lagged = lag_rows(snapshots, [key], position, [F.col(position), F.col(row_id)], price,
-                      {f"_p_{n}": k for n, k in LAGS.items()}, hot_rows)
+    lagged = lag_rows(snapshots, [key], [F.col(position), F.col(row_id)], price,
+                      {f"_p_{n}": k for n, k in LAGS.items()}, slots)
     return lagged.withColumns({
         f"delta_{n}": change_since(F.col(price), F.col(f"_p_{n}")) for n in LAGS
     }).drop(*[f"_p_{n}" for n in LAGS])

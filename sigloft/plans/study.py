@@ -9,7 +9,6 @@ from sigloft.functions.numeric import blank_to_null
 from sigloft.operators.asof import asof_offsets
 from sigloft.operators.contains import contains_join
 from sigloft.operators.keyed import top_per_key
-from sigloft.operators.ordered import HOT_ROWS
 
 #: seconds from the event
 OFFSETS = {"price_t0": 0, "price_before": -900, "price_4h": 4 * 3600, "price_12h": 12 * 3600}
@@ -33,12 +32,12 @@ def one_event_per_series_time(mapped: DataFrame) -> DataFrame:
     return top_per_key(mapped, ["series", "sec"], [F.col("vol_spike").desc(), F.col("spike_id")])
 
 
-def event_study(events: DataFrame, prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def event_study(events: DataFrame, prices: DataFrame, slots: int | None = None) -> DataFrame:
     """Price at the event, 15 minutes before, 4 and 12 hours after (each the last known one), moves and flags.
 
     ``events``: event_id, series, sec. ``prices``: series, sec, row_id, bid. Events without a price at their time drop out.
     """
-    around = asof_offsets(events, prices, ["series"], "event_id", "sec", "sec", "row_id", "bid", OFFSETS, hot_rows=hot_rows)
+    around = asof_offsets(events, prices, ["series"], "event_id", "sec", "sec", "row_id", "bid", OFFSETS, slots=slots)
     moved = F.when(F.col("price_before").isNotNull(), F.abs(F.col("price_t0") - F.col("price_before"))).otherwise(0.0)
     return around.where(F.col("price_t0").isNotNull()).withColumns({
         "delta_15m": moved,

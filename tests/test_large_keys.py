@@ -11,7 +11,7 @@ from sigloft.operators.allocate import capped_allocation
 from sigloft.operators.asof import asof_join, asof_offsets, interval_join
 from sigloft.operators.contains import contains_join
 from sigloft.operators.keyed import dedup_keeping_null_keys, duplicate_report, last_known_values, top_per_key
-from sigloft.operators.ordered import lag_rows, running, with_slots
+from sigloft.operators.ordered import drawdown_curve, in_slots, lag_rows, running
 from sigloft.operators.vectors import nearest_documents
 from sigloft.operators.velocity import mention_velocity
 
@@ -26,23 +26,25 @@ def ticks():
     return pd.DataFrame(rows, columns=["k", "t", "id", "x"])
 
 
-def test_slots_follow_the_order_and_split_only_large_keys(spark, ticks):
-    got = with_slots(spark.createDataFrame(ticks), ["k"], "t", 50).toPandas()
-    assert set(got[got.k != "hot"].groupby("k").filter(lambda g: len(g) <= 50)._slot) <= {0}
-    hot = got[got.k == "hot"].sort_values("t")
-    assert hot._slot.is_monotonic_increasing and hot._slot.nunique() > 4
+def _sizes(df, slots):
+    got = in_slots(df, ["k"], [F.col("t"), F.col("id")], slots).toPandas().sort_values(["k", "t", "id"])
+    assert got._slot.is_monotonic_increasing and len(got) == df.count()
+    return got.groupby("_slot").size()
 
 
-def test_a_burst_is_cut_again(spark):
-    burst = [("hot", 500_000 + 3000 * i, i) for i in range(900)] + [("hot", i * 1_000_000, 1000 + i) for i in range(300)]
-    got = with_slots(spark.createDataFrame(burst, "k string, t bigint, id bigint"), ["k"], "t", 20).toPandas().sort_values("t")
-    assert got._slot.is_monotonic_increasing and got.groupby("_slot").size().max() <= 80
+@pytest.mark.parametrize("moment", ["id % 2", "id + 500000"])
+def test_slots_follow_the_data(spark, moment):
+    """200,000 rows of one key at two instants, or at as many in a row, beside one row far before and one far after."""
+    rows = spark.range(200_000).select(F.lit("hot").alias("k"), F.expr(moment).alias("t"), "id")
+    far = spark.createDataFrame([("hot", -10**12, -1), ("hot", 10**12, -2), ("a", 1, -3), ("z", 1, -4)], "k string, t bigint, id bigint")
+    sizes = _sizes(rows.union(far), 40)
+    assert len(sizes) > 20 and sizes.max() <= 4 * 200_000 / 40
 
 
-@pytest.mark.parametrize("limit", [20, 10_000])
+@pytest.mark.parametrize("limit", [30, 1])
 def test_running(spark, ticks, limit):
-    got = running(spark.createDataFrame(ticks), ["k"], "t", [F.col("t"), F.col("id")],
-                  sums={"total": F.col("x"), "n": F.lit(1)}, maxes={"top": F.col("x")}, hot_rows=limit).toPandas()
+    got = running(spark.createDataFrame(ticks), ["k"], [F.col("t"), F.col("id")],
+                  sums={"total": F.col("x"), "n": F.lit(1)}, maxes={"top": F.col("x")}, slots=limit).toPandas()
     want = ticks.sort_values(["k", "t", "id"])
     want["total"], want["n"], want["top"] = want.groupby("k").x.cumsum(), want.groupby("k").cumcount() + 1, want.groupby("k").x.cummax()
     pd.testing.assert_frame_equal(
@@ -50,9 +52,18 @@ def test_running(spark, ticks, limit):
         want.sort_values("id")[["id", "total", "n", "top"]].reset_index(drop=True), check_dtype=False)
 
 
+@pytest.mark.parametrize("limit", [30, 1])
+def test_drawdown(spark, limit):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"t": rng.integers(0, 50, 400), "id": range(400), "pnl": rng.integers(-64, 60, 400) / 64.0})
+    got = drawdown_curve(spark.createDataFrame(rows), [F.col("t"), F.col("id")], "pnl", limit).toPandas().sort_values(["t", "id"])
+    equity = rows.sort_values(["t", "id"]).pnl.cumsum().to_numpy()
+    assert np.array_equal(got.equity.to_numpy(), equity) and np.array_equal(got.peak.to_numpy(), np.maximum.accumulate(equity))
+
+
 @pytest.mark.parametrize("limit", [20, 10_000])
 def test_lag_rows(spark, ticks, limit):
-    got = lag_rows(spark.createDataFrame(ticks), ["k"], "t", [F.col("t"), F.col("id")], "x", {"p1": 1, "p7": 7}, limit).toPandas()
+    got = lag_rows(spark.createDataFrame(ticks), ["k"], [F.col("t"), F.col("id")], "x", {"p1": 1, "p7": 7}, slots=12, chunk_rows=limit).toPandas()
     want = ticks.sort_values(["k", "t", "id"])
     want["p1"], want["p7"] = want.groupby("k").x.shift(1), want.groupby("k").x.shift(7)
     pd.testing.assert_frame_equal(got.sort_values("id")[["id", "p1", "p7"]].reset_index(drop=True),
@@ -77,7 +88,7 @@ def _brute_asof(left, right, direction, tolerance):
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
-@pytest.mark.parametrize("limit,tolerance", [(15, None), (15, 3), (10_000, 3)])
+@pytest.mark.parametrize("limit,tolerance", [(30, None), (30, 3), (1, 3)])
 def test_asof(spark, ticks, direction, limit, tolerance):
     left, right = ticks[ticks.id % 4 == 0], ticks[(ticks.id % 4 != 0) & (ticks.t % 5 != 0)]
     marks = spark.createDataFrame(right).withColumn("m", F.col("id"))
@@ -89,7 +100,7 @@ def test_asof(spark, ticks, direction, limit, tolerance):
 def test_asof_offsets(spark, ticks):
     left, right = ticks[ticks.id % 4 == 0], ticks[ticks.id % 4 != 0]
     marks = spark.createDataFrame(right).select("k", "t", F.col("id").alias("rid"), F.col("x").alias("v"))
-    got = asof_offsets(spark.createDataFrame(left), marks, ["k"], "id", "t", "t", "rid", "v", {"now": 0, "later": 40}, hot_rows=15).toPandas()
+    got = asof_offsets(spark.createDataFrame(left), marks, ["k"], "id", "t", "t", "rid", "v", {"now": 0, "later": 40}, slots=30).toPandas()
     values = dict(zip(right.id, right.x))
     for name, by in (("now", 0), ("later", 40)):
         want = _brute_asof(left.assign(t=left.t + by), right, "backward", None)
