@@ -222,9 +222,9 @@ order_marks AS (
 shown_orders AS (SELECT *, CASE WHEN status IN ('filled', 'closed') THEN {fx('(now - filled_price) * count', 2)} END AS pnl FROM order_marks)"""
 
 
-def resting_orders(spark, sf):
-    """The first brief of each market as a resting order at the price it names."""
-    first = top_per_key(v.user_briefs(spark, sf), ["ticker"], [F.col("pos"), F.col("brief_id")])
+def resting_orders(spark, sf, per_market: int = 1):
+    """The first briefs of each market as resting orders at the price they name."""
+    first = top_per_key(v.user_briefs(spark, sf), ["ticker"], [F.col("pos"), F.col("brief_id")], per_market)
     price = F.when(F.col("recommended_side") == "yes", F.col("odds")).otherwise(1 - F.col("odds"))
     return first.select(
         F.col("brief_id").alias("order_id"), F.when(F.col("user_id") % 2 == 0, "sentiment").otherwise("brief").alias("arm"), "ticker",

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from sigloft.catalog import book, views as v
 from sigloft.catalog.registry import query, with_ctes
 from sigloft.functions.numeric import fixed
-from sigloft.session import pin_utc, shared_folder
+from sigloft.session import pin_utc, shared_folder, stateful_session
 from sigloft.sources.schemas import _struct
 from sigloft.streaming import jobs
 from sigloft.streaming.order_state import decide_orders
@@ -105,13 +105,16 @@ def stream_late_rows(spark, sf):
     return tagged.groupBy("event_type").agg(F.count_if(F.col("f") == 1).alias("fresh"), F.count_if(F.col("f") == 0).alias("late"))
 
 
+_TWO_ORDERS = book.USER_ORDERS.replace("ORDER BY pos, brief_id) = 1)", "ORDER BY pos, brief_id) <= 2)")
+
+
 @query("stream_order_state", with_ctes(
     "SELECT order_id::VARCHAR AS order_id, ticker, status, filled_price AS price, coalesce(filled_at, closed_at) AS at FROM resolved_orders WHERE status <> 'resting'",
-    v.SNAP, v.USER_BRIEFS, book.USER_ORDERS))
+    v.SNAP, v.USER_BRIEFS, _TWO_ORDERS))
 def stream_order_state(spark, sf):
-    """Resting orders as state, decided by the stream of quotes."""
+    """Two resting orders per market as state, decided by the stream of quotes."""
     base = shared_folder(spark, "order-state")
-    orders = book.resting_orders(spark, sf).withColumn("order_id", F.col("order_id").cast("string"))
+    orders = book.resting_orders(stateful_session(spark), sf, 2).withColumn("order_id", F.col("order_id").cast("string"))
     value = F.least(F.lit(1003.0), F.greatest(F.lit(10.0), F.floor(F.col("value") * 8).cast("double")))
     stream = _stream(spark, sf, "events", _EVENTS).where(F.col("event_type") != "signup").select(
         F.concat(F.lit("S"), (F.col("user_id") % 20).cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("ticker"),

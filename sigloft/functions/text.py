@@ -266,16 +266,3 @@ def answer_fields(answer: Column) -> Column:
         F.when(readable_json, F.lower(F.trim(get("recommended_side")))).alias("side"),
         (percent / 100.0).alias("confidence"),
     )
-
-
-def vader_score(text: Column) -> Column:
-    """The full rule-based score in Arrow batches, where the ``vaderSentiment`` package is installed; see
-    :func:`sigloft.plans.enrich.lexicon_sentiment` for the built-in form."""
-    from vaderSentiment.vaderSentiment import SentimentIntensityAnalyzer
-
-    @pandas_udf("double")
-    def compound(texts: pd.Series) -> pd.Series:
-        analyzer = SentimentIntensityAnalyzer()
-        return texts.fillna("").map(lambda t: float(analyzer.polarity_scores(t)["compound"]) if t.strip() else 0.0)
-
-    return compound(text)

@@ -66,11 +66,9 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
             codes, _ = pd.factorize(docs_pdf["collection"])
             for code in np.unique(codes):
                 member = np.flatnonzero(codes == code)
-                for row in range(len(q)):
-                    usable = member[allowed[row, member]]
-                    best = usable[np.lexsort((ids[usable], distance[row, usable]))[:k]]
-                    picked_q.append(np.full(len(best), row))
-                    picked_d.append(best)
+                rows, best = _least(np.where(allowed[:, member], distance[:, member], np.inf), ids[member], k)
+                picked_q.append(rows)
+                picked_d.append(member[best])
         at_q = np.concatenate(picked_q) if picked_q else np.empty(0, dtype=np.int64)
         at_d = np.concatenate(picked_d) if picked_d else np.empty(0, dtype=np.int64)
         chosen = docs_pdf.iloc[at_d]
@@ -90,6 +88,22 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
     return top_per_key(scored, ["query_id", "collection"], [F.col("distance"), F.col("doc_id")], k)
 
 
+def _least(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least finite distances of each row, ties by id; more only where the k-th is tied.
+
+    One partial selection for the whole block finds each row's k-th distance; only what is not above it is ordered.
+    """
+    if distance.shape[1] > k:
+        limit = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero((distance <= limit) & np.isfinite(distance))
+    else:
+        rows, columns = np.nonzero(np.isfinite(distance))
+    order = np.lexsort((ids[columns], distance[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
+
 def similarity(distance):
     """1 / (1 + distance)."""
     return F.lit(1.0) / (F.lit(1.0) + distance)

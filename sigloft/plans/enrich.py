@@ -30,7 +30,7 @@ def enrich_events(events: DataFrame, event_codes: DataFrame, countries: DataFram
                   actor_types: DataFrame | None = None, nationalities: DataFrame | None = None) -> DataFrame:
     """Events with readable labels for code, class, places, actor type and nationality.
 
-    All lookups are fixed code lists with one row per code, so they are broadcast and cannot multiply rows. The country
+    All lookups are code lists with one row per code, so they cannot multiply rows; Spark broadcasts those that it knows to be small. The country
     list is used in several roles; nationality codes are three letters long and need a list of their own, without which
     those labels stay null.
     """
@@ -43,7 +43,7 @@ def enrich_events(events: DataFrame, event_codes: DataFrame, countries: DataFram
             return df.withColumn(label, F.lit(None).cast("string"))
         code, text = table.columns
         named = table.select(F.col(code).alias(key), F.col(text).alias(label))
-        return df.join(F.broadcast(named), key, "left")
+        return df.join(named, key, "left")
 
     for table, key, label in (
         (event_codes, "EventCode", "event_description"), (classes, "class_code", "quad_description"),
@@ -86,12 +86,13 @@ def clean_records(records: DataFrame) -> DataFrame:
 def lexicon_sentiment(texts: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """row_id, score, label: summed word valence s as s / sqrt(s^2 + 15).
 
-    ``lexicon``: word, valence, one row per word. One scan and one shuffle: all words of a text are in one partition, so
-    their valences are summed on the map side, and texts without any known word stay in through the outer steps.
+    ``lexicon``: word, valence, one row per word. Words are counted per text before they meet the lexicon, and unknown ones go there;
+    texts without any known word come back with the sum 0.
     """
-    words = texts.select(row_id, F.explode_outer(runs_of(F.col(text), "[a-zA-Z0-9]+")).alias("word"))
-    valued = words.withColumn("word", F.lower("word")).join(lexicon, "word", "left")
-    total = valued.groupBy(row_id).agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"))
+    words = texts.select(row_id, F.explode(runs_of(F.col(text), "[a-zA-Z0-9]+")).alias("word"))
+    counted = words.groupBy(row_id, F.lower("word").alias("word")).agg(F.count("*").alias("_n"))
+    sums = counted.join(lexicon, "word").groupBy(row_id).agg(F.sum(F.col("_n") * F.col("valence")).alias("_v"))
+    total = texts.select(row_id).join(sums, row_id, "left").withColumn("_s", F.coalesce("_v", F.lit(0.0)))
     score = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15.0)
     return total.select(row_id, score.alias("sentiment_score"), sentiment_label(score).alias("sentiment_label"))
 

@@ -34,6 +34,14 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """Keyed state lives in RocksDB, on disk, so that it may outgrow the memory of an executor."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor must be able to reach.
 

@@ -76,7 +76,8 @@ def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], newest: Se
 
 
 def append_once(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]) -> None:
-    """Re-running the same batch adds nothing, and late rows of another batch are still added."""
+    """Each key once, also within the batch; re-running the same batch adds nothing, and late rows of another are still added."""
+    batch = batch.dropDuplicates(list(keys))
     try:
         seen = spark.read.parquet(path).select(*keys)
     except AnalysisException:

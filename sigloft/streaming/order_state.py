@@ -7,18 +7,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = "ticker string, order_id string, status string, price double, at bigint"
-_ORDER = "order_id string, side string, limit_price double, created_at bigint"
+OUTPUT = "order_id string, ticker string, status string, price double, at bigint"
+_ORDER = "ticker string, side string, limit_price double, created_at bigint"
 
 
 def decide_orders(orders: DataFrame, quotes: DataFrame, timeout: int) -> DataFrame:
-    """Streams ``quotes`` (ticker, pos, bid, ask) against ``orders`` (one resting order per ticker) and emits each
+    """Streams ``quotes`` (ticker, pos, bid, ask) against ``orders`` (any number of resting orders per ticker) and emits each
     decision once: filled at the ask of the first quote within the limit, expired at the first quote past the timeout.
 
-    An order is state seeded from the order table and is cleared when decided, so the state holds open orders only. The
-    quotes of a ticker are read chunk by chunk and reduced to the earliest deciding one; none are gathered. Quotes of one
-    ticker must arrive in time order across batches; inside a batch they may be in any order.
+    Each quote meets the orders of its ticker, and the state is keyed by order, so orders of one ticker don't disturb each other. An
+    order is state seeded from the order table and is cleared when decided, so the state holds open orders only. The quotes of an
+    order are read chunk by chunk and reduced to the earliest deciding one; none are gathered. Quotes of one ticker must arrive in
+    time order across batches; inside a batch they may be in any order. The session needs the RocksDB state store
+    (``stateful_session``).
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,12 +31,12 @@ def decide_orders(orders: DataFrame, quotes: DataFrame, timeout: int) -> DataFra
 
         def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
             first = initialState.iloc[0]
-            self.order.update((first["order_id"], first["side"], float(first["limit_price"]), int(first["created_at"])))
+            self.order.update((first["ticker"], first["side"], float(first["limit_price"]), int(first["created_at"])))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             if not self.order.exists():
                 return
-            order_id, side, limit, created = self.order.get()
+            ticker, side, limit, created = self.order.get()
             best = None
             for chunk in rows:
                 ask = chunk["ask"] if side == "yes" else 1.0 - chunk["bid"]
@@ -50,15 +51,15 @@ def decide_orders(orders: DataFrame, quotes: DataFrame, timeout: int) -> DataFra
             self.order.clear()
             filled = best[1] <= limit
             yield pd.DataFrame({
-                "ticker": [key[0]], "order_id": [order_id], "status": ["filled" if filled else "expired"],
+                "order_id": [key[0]], "ticker": [ticker], "status": ["filled" if filled else "expired"],
                 "price": [best[1] if filled else None], "at": [best[0]],
             })
 
         def close(self) -> None:
             pass
 
-    quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return quotes.groupBy("ticker").transformWithStateInPandas(
+    met = quotes.join(orders.select("ticker", "order_id"), "ticker").select("order_id", "pos", "bid", "ask")
+    return met.groupBy("order_id").transformWithStateInPandas(
         statefulProcessor=RestingOrder(), outputStructType=OUTPUT, outputMode="Append", timeMode="None",
-        initialState=orders.select("ticker", "order_id", "side", "limit_price", "created_at").groupBy("ticker"),
+        initialState=orders.select("order_id", "ticker", "side", "limit_price", "created_at").groupBy("order_id"),
     )

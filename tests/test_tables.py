@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sigloft.session import shared_folder
+from sigloft.session import shared_folder, stateful_session
 from sigloft.sources import landed, schemas, tables
 from sigloft.streaming import jobs
+from sigloft.streaming.order_state import decide_orders
 
 
 def test_versions_merge_and_vacuum(spark):
@@ -72,3 +73,23 @@ def test_stream_run_again_adds_nothing_and_takes_new_files(spark):
     land(("a", 2), ("c", 1))
     assert {(r.k, r.t) for r in run().collect()} == {("a", 3), ("b", 2), ("c", 1)}
     assert spark.read.parquet(f"{base}/hist").count() == 5
+
+
+def test_append_once_takes_a_repeat_of_the_batch_once(spark):
+    path = shared_folder(spark, "once")
+    batch = spark.createDataFrame([(1,), (1,), (2,)], "k bigint")
+    for _ in range(2):
+        tables.append_once(spark, path, batch, ["k"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_all_orders_of_a_ticker_are_decided(spark):
+    base = shared_folder(spark, "orders")
+    orders = spark.createDataFrame([("a", "1", "yes", 0.5, 0), ("a", "2", "no", 0.7, 0), ("a", "3", "yes", 0.1, 0), ("b", "4", "yes", 0.5, 0)],
+                                   "ticker string, order_id string, side string, limit_price double, created_at bigint")
+    schema = schemas._struct("ticker string, pos bigint, bid double, ask double")
+    spark.createDataFrame([("a", 5, 0.4, 0.45), ("a", 9, 0.3, 0.6), ("a", 200, 0.3, 0.6)], schema).write.parquet(f"{base}/in")
+    decided = decide_orders(orders, jobs.open_stream(stateful_session(spark), f"{base}/in", schema), 100)
+    jobs.drain(decided, f"{base}/cp", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
+    got = {(r.order_id, r.status, r.at) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {("1", "filled", 5), ("2", "filled", 5), ("3", "expired", 200)}
