@@ -79,10 +79,10 @@ def signals(spark, sf, tables):
     """All three signal sources for the stored markets (ticker, series, title)."""
     markets, entities = tables["markets"].select("ticker", "series", "title"), tables["entities"]
     articles = v.articles(spark, sf)
-    routes = score.keyword_routes(articles, markets, articles.agg(F.max("sec")).scalar())
+    words = score.route_words(articles, articles.agg(F.max("sec")).scalar())
     return (
         score.theme_signals(markets, v.bridge(spark), entities)
-        .union(score.person_signals(markets, entities)).union(score.keyword_signals(routes, tables["words"]))
+        .union(score.person_signals(markets, entities)).union(score.keyword_signals(words, markets, tables["words"]))
     )
 
 

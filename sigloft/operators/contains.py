@@ -1,9 +1,9 @@
 """Substring join: which of many names occur inside which texts, without comparing every text with every name.
 
-Every name has a seed (its first characters). Each text is cut at each position; the seed found there says which name
-lengths are possible, and the substring of such a length is looked up among the names with an equi-join. The work grows
-with the text length and the number of true matches, not with texts x names. Both lookups are against rows that are
-unique per seed or name, so a very frequent seed only enlarges the probe side, which AQE can split.
+Every name has a seed (its first characters). The seeds at all positions of a text are looked up first, as short rows without the text;
+where one is known, and only there, the pieces of the lengths that names with this seed have are cut out of the text and looked up among
+the names. The work grows with the text length and the number of seeds met, whatever the longest name. Both lookups are against
+rows that are unique per seed or name, so a very frequent seed only enlarges the probe side, which AQE can split.
 """
 
 from __future__ import annotations
@@ -27,22 +27,17 @@ def contains_join(texts: DataFrame, text_key: Sequence[str], text: str, names: D
         names.where(F.length(name) >= shortest).select(*on, F.col(name).alias("_name")).distinct()
         .withColumn("_seed", F.substring("_name", 1, SEED))
     )
-    longest = wanted.agg(F.max(F.length("_name"))).scalar()
     sizes = wanted.groupBy(*on, "_seed").agg(F.collect_set(F.length("_name")).alias("_sizes"))
-    cuts = (
-        texts.where(F.length(text) >= shortest).select(*on, *text_key, F.col(text).alias("_text"))
-        .withColumn("_longest", longest)
-        .select(*on, *text_key, F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("_text")), lambda i: F.substr("_text", i, F.col("_longest"))
-        )).alias("_cut"))
-    )
+    keys = [*on, *text_key]
+    known = texts.where(F.length(text) >= shortest).select(*keys, F.col(text).alias("_text"))
+    places = known.select(*keys, F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("_text")), lambda i: F.substr("_text", i, F.lit(SEED))
+    )).alias("_at", "_cut"))
     seeds = F.array(*[F.substring("_cut", 1, n) for n in range(shortest, SEED + 1)])
-    seeded = cuts.withColumn("_seed", F.explode(F.array_distinct(seeds)))
+    met = places.withColumn("_seed", F.explode(F.array_distinct(seeds))).join(sizes, [*on, "_seed"]).select(*keys, "_at", F.explode("_sizes").alias("_size"))
     probes = (
-        seeded.join(sizes, [*on, "_seed"])
-        .withColumn("_size", F.explode("_sizes"))
-        .where(F.length("_cut") >= F.col("_size"))
-        .select(*on, *text_key, F.substr("_cut", F.lit(1), F.col("_size")).alias("_name"))
+        met.distinct().join(known, keys).where(F.length("_text") >= F.col("_at") + F.col("_size"))
+        .select(*keys, F.substr("_text", F.col("_at") + 1, F.col("_size")).alias("_name"))
         .distinct()
     )
     return probes.join(wanted.drop("_seed"), [*on, "_name"]).withColumnRenamed("_name", name)

@@ -68,13 +68,20 @@ def bridge_matches(bridge: DataFrame, velocity: DataFrame) -> DataFrame:
     )
 
 
+def _strongest(signals: DataFrame, key: str) -> DataFrame:
+    """Per key the signal with the highest spike; on equal spikes the stronger, then the more positive tone."""
+    order = [F.col("vol_spike_multiplier").desc(), F.abs("norm_sentiment").desc_nulls_last(),
+             F.col("norm_sentiment").desc_nulls_last()]
+    return top_per_key(signals, [key], order).select(key, "vol_spike_multiplier", "norm_sentiment")
+
+
 def theme_signals(markets: DataFrame, bridge: DataFrame, velocity: DataFrame) -> DataFrame:
+    """The strongest signal of each market's series; the order of signals does not depend on the market, so one row per series joins."""
     spikes = velocity.select("entity_type", "entity_name", "vol_spike_multiplier",
                              tone_to_unit(F.col("tone_15m")).alias("norm_sentiment"))
+    best = _strongest(bridge_matches(bridge, velocity).join(spikes, ["entity_type", "entity_name"]), "series_ticker")
     return (
-        bridge_matches(bridge, velocity)
-        .join(spikes, ["entity_type", "entity_name"])
-        .join(markets.select("ticker", F.col("series").alias("series_ticker")), "series_ticker")
+        best.join(markets.select("ticker", F.col("series").alias("series_ticker")), "series_ticker")
         .select("ticker", "vol_spike_multiplier", "norm_sentiment")
     )
 
@@ -89,38 +96,44 @@ def person_signals(markets: DataFrame, velocity: DataFrame) -> DataFrame:
     spikes = velocity.where(F.col("entity_type") == "person").select(
         "entity_name", "vol_spike_multiplier", tone_to_unit(F.col("tone_15m")).alias("norm_sentiment")
     )
-    return person_matches(markets, velocity).join(spikes, "entity_name").select(
+    return person_matches(markets, velocity).join(_strongest(spikes, "entity_name"), "entity_name").select(
         "ticker", "vol_spike_multiplier", "norm_sentiment"
     )
 
 
-def keyword_routes(articles: DataFrame, markets: DataFrame, anchor_sec: Column) -> DataFrame:
-    """ticker, feed_key, keyword: last-day headline words that occur inside a market title.
-
-    The distinct words are read several times by the substring join, so they are stored once.
-    """
-    words = stored(
+def route_words(articles: DataFrame, anchor_sec: Column) -> DataFrame:
+    """feed_key, keyword: last-day headline words; read several times by the substring join, so they are stored once."""
+    return stored(
         articles.where((F.col("sec") >= anchor_sec - 86_400) & F.col("title").isNotNull())
         .select("feed_key", F.explode(headline_words(F.col("title"))).alias("keyword"))
         .where(is_topic(F.col("keyword"), fv.ROUTING_STOPWORDS, digits_lead=True))
         .distinct(),
         "route-words",
     )
+
+
+def keyword_hits(words: DataFrame, markets: DataFrame) -> DataFrame:
+    """ticker, keyword: the words that occur inside a market title."""
     titles = markets.select("ticker", F.lower("title").alias("_title"))
-    hits = contains_join(titles, ["ticker"], "_title", words, "keyword", shortest=4)
-    return hits.join(words, "keyword").select("ticker", "feed_key", "keyword")
+    return contains_join(titles, ["ticker"], "_title", words, "keyword", shortest=4)
 
 
-def keyword_signals(routes: DataFrame, velocity: DataFrame) -> DataFrame:
+def keyword_routes(articles: DataFrame, markets: DataFrame, anchor_sec: Column) -> DataFrame:
+    """ticker, feed_key, keyword: last-day headline words that occur inside a market title."""
+    words = route_words(articles, anchor_sec)
+    return keyword_hits(words, markets).join(words, "keyword").select("ticker", "feed_key", "keyword")
+
+
+def keyword_signals(words: DataFrame, markets: DataFrame, velocity: DataFrame) -> DataFrame:
+    """The strongest signal of each word over its feeds, for the markets whose title has the word."""
     spikes = velocity.select("feed_key", "keyword", "vol_spike_multiplier", F.col("tone_15m").alias("norm_sentiment"))
-    return routes.join(spikes, ["feed_key", "keyword"]).select("ticker", "vol_spike_multiplier", "norm_sentiment")
+    best = _strongest(words.join(spikes, ["feed_key", "keyword"]), "keyword")
+    return keyword_hits(words, markets).join(best, "keyword").select("ticker", "vol_spike_multiplier", "norm_sentiment")
 
 
 def strongest_signal(signals: DataFrame) -> DataFrame:
-    """Per ticker the signal with the highest spike; on equal spikes the stronger, then the more positive tone."""
-    order = [F.col("vol_spike_multiplier").desc(), F.abs("norm_sentiment").desc_nulls_last(),
-             F.col("norm_sentiment").desc_nulls_last()]
-    return top_per_key(signals, ["ticker"], order).select(
+    """Per ticker its strongest signal."""
+    return _strongest(signals, "ticker").select(
         "ticker", F.col("vol_spike_multiplier").alias("max_spike_multiplier"),
         F.col("norm_sentiment").alias("sentiment_signal"),
     )
