@@ -345,3 +345,44 @@ def feed_watermarks(spark, sf):
     fields = T.StructType([f for f in schemas.ARTICLE.fields if f.name in ("title", "link", "ingested_at")])
     fresh = landed.read_feeds(spark, base, fields, landed.source_watermarks(done, "feed_key", "ingested_at"))
     return fresh.groupBy(F.regexp_replace("feed_key", "^feed=", "").alias("feed_key")).agg(F.count("*").alias("fresh"))
+
+
+@query("union_by_name_files", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders")
+def union_by_name_files(spark, sf):
+    """Files whose columns differ, read as one table."""
+    base = shared_folder(spark, "by-name")
+    rows = v.table(spark, sf, "orders")
+    rows.where(F.col("o_orderstatus") == "F").select("o_orderkey").write.parquet(f"{base}/a")
+    rows.where(F.col("o_orderstatus") != "F").select("o_orderpriority", "o_orderkey").write.parquet(f"{base}/b")
+    return landed.read_union_by_name(spark, f"{base}/*").select("o_orderkey", "o_orderpriority")
+
+
+@query("behind_watermark", """
+SELECT event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0) - INTERVAL 5 DAY GROUP BY 1""")
+def behind_watermark(spark, sf):
+    """Events strictly behind one global instant, here five days before the newest purchase taken."""
+    events = v.table(spark, sf, "events")
+    taken = events.where((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0))
+    fresh = landed.newer_than(events, "ts", taken.agg(F.max("ts") - F.expr("INTERVAL 5 DAY")).scalar())
+    return fresh.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("code_list_csv", "SELECT CAST(p_size AS VARCHAR) AS code, min(p_type) AS label FROM part GROUP BY 1")
+def code_list_csv(spark, sf):
+    """A reference list kept as CSV, one row per code."""
+    path = shared_folder(spark, "codes")
+    v.table(spark, sf, "part").select(F.col("p_size").cast("string").alias("code"), F.col("p_type").alias("label")).write.csv(path, header=True)
+    return landed.read_code_list(spark, path, "code", "label")
+
+
+@query("emptiness_probe", """
+SELECT status, count(*) > 0 AS has_rows FROM (VALUES ('F'), ('O'), ('P'), ('none')) s(status) JOIN orders ON o_orderstatus = status GROUP BY 1
+UNION ALL SELECT 'none', false""")
+def emptiness_probe(spark, sf):
+    """Whether any order has a status, by the first row found of each."""
+    orders = v.table(spark, sf, "orders")
+    found = None
+    for status in ("F", "O", "P", "none"):
+        probe = orders.where(F.col("o_orderstatus") == status).limit(1).agg(F.lit(status).alias("status"), (F.count("*") > 0).alias("has_rows"))
+        found = probe if found is None else found.union(probe)
+    return found

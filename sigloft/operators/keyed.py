@@ -1,7 +1,8 @@
 """Latest, best and top-k rows per key.
 
 All of them are ``row_number() <= k`` with k below Spark's group-limit threshold, so every map task keeps at most k rows
-per key before the shuffle. A key that holds a third of the table costs its reducer k rows per map task, no more.
+per key before the shuffle. A key that holds a third of the table costs its reducer k rows per map task, no more. A larger k
+is cut twice: first per key and a salt of the row's content, then per key over what is left.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1000
+SALTS = 64
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], k: int = 1,
                 rank: str | None = None) -> DataFrame:
     """The first k rows per key. ``order`` must end in a unique column so that the result is determined."""
-    if k >= GROUP_LIMIT:
-        raise ValueError(f"k must stay below {GROUP_LIMIT}: a larger k is not cut before the shuffle")
     name = rank or "_rank"
+    if k >= GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]), F.lit(SALTS))
+        part = Window.partitionBy(*keys, salt).orderBy(*order)
+        df = df.withColumn("_part", F.row_number().over(part)).where(F.col("_part") <= k).drop("_part")
     w = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     return top if rank else top.drop(name)

@@ -117,9 +117,11 @@ def fixed_rows(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str
 
 
 def read_csvs(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """CSV files with headers of their own, united by column name; types are inferred per file."""
+    """CSV files with headers of their own, united by column name; types are inferred per file. No file: no rows, no columns."""
     paths = [r["path"] for r in list_files(spark, folder, pattern, skip=()).orderBy("path").collect()]
     frames = [spark.read.csv(p, header=True, inferSchema=True, enforceSchema=False) for p in paths]
+    if not frames:
+        return spark.createDataFrame([], T.StructType([]))
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
@@ -139,6 +141,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("SOURCEURL", F.col("DocumentIdentifier"))
 
 
+def malformed_lines(spark: SparkSession, path: str, columns: int = len(fv.RECORD_COLUMNS)) -> DataFrame:
+    """The lines that :func:`read_records` leaves out, for counting and repair."""
+    return spark.read.text(path).where(F.size(F.split("value", "\t")) != columns)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

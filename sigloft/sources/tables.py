@@ -7,8 +7,10 @@ replace; its signature does not depend on the format.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,17 +105,20 @@ def update_where(spark: SparkSession, path: str, condition: Column, changes: dic
     return overwrite(updated, path)
 
 
-def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Deletes all but the newest ``keep`` versions and returns the deleted folders."""
+def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than: float = 0.0) -> list[str]:
+    """Deletes versions that still exist, except the newest ``keep`` and those written in the last ``older_than`` seconds.
+
+    Returns the deleted folders. A reader of an old version is safe for as long as ``older_than``.
+    """
     version = current_version(spark, path) or 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(conf)
+    store, base = fs.FileSystem.from_uri(path)
     gone = []
-    for v in range(1, version - keep + 1):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/v={v:06d}")
-        if files.exists(folder) and files.delete(folder, True):
-            gone.append(f"v={v:06d}")
+    for info in sorted(store.get_file_info(fs.FileSelector(base, allow_not_found=True)), key=lambda x: x.base_name):
+        if not (info.base_name.startswith("v=") and int(info.base_name[2:]) <= version - keep):
+            continue
+        if info.mtime_ns is None or time.time() - info.mtime_ns / 1e9 >= older_than:
+            store.delete_dir(info.path)
+            gone.append(info.base_name)
     return gone
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sigloft.operators.keyed import top_per_key
 from sigloft.session import shared_folder, stateful_session
 from sigloft.sources import landed, schemas, tables
 from sigloft.streaming import jobs
@@ -93,3 +94,18 @@ def test_all_orders_of_a_ticker_are_decided(spark):
     jobs.drain(decided, f"{base}/cp", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
     got = {(r.order_id, r.status, r.at) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {("1", "filled", 5), ("2", "filled", 5), ("3", "expired", 200)}
+
+
+def test_a_large_k_is_cut_twice(spark):
+    rows = spark.range(5000).select(F.lit("hot").alias("k"), "id")
+    top = top_per_key(rows, ["k"], [F.col("id").desc()], 1200)
+    assert sorted(r.id for r in top.collect()) == list(range(3800, 5000))
+    assert str(top._jdf.queryExecution().optimizedPlan().toString()).count("row_number()") >= 2
+
+
+def test_malformed_lines_are_kept_apart(spark):
+    base = shared_folder(spark, "bad")
+    good = "\t".join(f"v{i}" for i in range(27))
+    spark.createDataFrame([(good,), ("too\tfew",)], "value string").write.text(base)
+    assert [r.value for r in landed.malformed_lines(spark, base).collect()] == ["too\tfew"]
+    assert landed.read_records(spark, base).where("SOURCEURL is not null").count() == 1 and landed.read_csvs(spark, base).count() == 0
