@@ -7,7 +7,7 @@ features are the mean of its words' vectors and the mean agreement of neighbours
 sample: at most TRAINING labelled rows, the first by hash of the id. Part of them sets the temperature that makes the
 probabilities honest.
 
-Null and empty texts have zero features and still get a score. Rows with a null id are scored; without any usable label (or only one
+Null and empty texts have no features and get the score of an average document. Rows with a null id are scored; without any usable label (or only one
 value of it) every score is the share of label 1, or 0.5. Rows of labels with a null or that name no document are not used; of repeated
 labels of a document each counts. Repeated rows give one row each, empty tables none. Other columns are not read.
 """
@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloft.llm.common import id_and_text
+from sigloft.llm.common import below, id_and_text
 from sigloft.session import stored
 
 VOCABULARY, DIMENSIONS, ENTRIES = 1 << 14, 48, 4
 HIDDEN, TRAINING, CALIBRATION, EPOCHS, SEED = 32, 20_000, 0.2, 60, 7
+#: Means of three kinds and a number; means over few tokens are drawn towards the average by so many tokens.
+FEATURES, DRAWN = 3 * DIMENSIONS + 1, 16
 #: Rows of the table that one message of a task to the next step carries.
 BLOCK = 1 << 11
 #: Tokens that are worked on at once.
@@ -116,9 +118,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pool(found: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A document's features from its tokens: means of their context and index vectors, and of the agreement of neighbours."""
+    """A document's features from its tokens: means of their context and index vectors and of the agreement of neighbours, and the
+    number of tokens."""
     if not len(found):
-        return np.zeros(3 * DIMENSIONS, np.float32)
+        return np.zeros(FEATURES, np.float32)
     sums = np.zeros(3 * DIMENSIONS)
     for i in range(0, len(found), CHUNK):
         a, b = found[i : i + CHUNK], found[i + 1 : i + 1 + CHUNK]
@@ -126,7 +129,7 @@ def pool(found: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
         sums[:DIMENSIONS] += vectors[a].sum(axis=0)
         sums[DIMENSIONS : 2 * DIMENSIONS] += mine.sum(axis=0)
         sums[2 * DIMENSIONS :] += (mine[: len(b)] * own[b]).sum(axis=0)
-    return (sums / len(found)).astype(np.float32)
+    return np.append(sums / len(found), len(found)).astype(np.float32)
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,7 +147,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_co
 
 
 class Network:
-    """A two-layer network: scaled features, a hidden layer, one probability."""
+    """A two-layer network: scaled features, a hidden layer, one probability. The last feature is the number of tokens."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         random = np.random.default_rng(SEED)
@@ -157,9 +160,9 @@ class Network:
         fit = order[len(held) :]
         if not 0 < y[fit].mean() < 1:
             held, fit = order[:0], order
-        self.middle, self.scale = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-6
+        self.middle, self.scale = x[fit, :-1].mean(axis=0), x[fit, :-1].std(axis=0) + 1e-6
         z = self.scaled(x)
-        self.w = [random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), random.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+        self.w = [random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1] - 1, HIDDEN)), np.zeros(HIDDEN), random.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         self.temperature = 1.0
         self._train(z[fit], y[fit], random)
         if len(held):
@@ -169,7 +172,7 @@ class Network:
             self.temperature = float(temperatures[int(np.argmin(loss))])
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.middle) / self.scale, -8, 8)
+        return np.clip((x[:, :-1] - self.middle) / self.scale, -8, 8) * (x[:, -1:] / (x[:, -1:] + DRAWN))
 
     def logits(self, z: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.w
@@ -208,13 +211,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = stored(pooled(docs, word_vectors(docs, text_col), id_col, text_col), "features")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    # A little over the sample passes by its hash, so that few rows meet where the first are chosen.
+    known = known.filter(below(F.col("h"), TRAINING + TRAINING // 4, known.count()))
     sample = features.join(known, "doc_id").orderBy("h", "doc_id", "label", "features").limit(TRAINING).select("features", "label").collect()
-    x = np.frombuffer(b"".join(bytes(r.features) for r in sample), np.float32).reshape(-1, 3 * DIMENSIONS)
+    x = np.frombuffer(b"".join(bytes(r.features) for r in sample), np.float32).reshape(-1, FEATURES)
     network = Network(x.astype(np.float64), np.array([r.label > 0 for r in sample], np.float64))
 
     @F.pandas_udf("double")
     def score(packed: pd.Series) -> pd.Series:
-        rows = np.frombuffer(b"".join(packed), np.float32).reshape(-1, 3 * DIMENSIONS)
+        rows = np.frombuffer(b"".join(packed), np.float32).reshape(-1, FEATURES)
         return pd.Series(network.probability(rows.astype(np.float64)))
 
     out = features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("features").alias("score"))

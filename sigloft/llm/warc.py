@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloft.llm.common import whole_text
+from sigloft.llm.common import below, whole_text
 from sigloft.session import stored
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and the profile of a revisit.
@@ -54,8 +54,10 @@ def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary over a bounded sample of the payloads, a smaller one for few payloads; b"" if there are too few to learn from."""
-    sample = pages.filter("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("html").alias("h"))
-    payloads = [r.html.encode() for r in sample.orderBy("h", "html").limit(SAMPLES).collect()]
+    texts = pages.filter("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("html").alias("h"))
+    # About twice the sample passes by its hash, each payload once, so that few rows meet where the first are chosen.
+    some = texts.filter(below(F.col("h"), 2 * SAMPLES, texts.count())).dropDuplicates(["h"])
+    payloads = [r.html.encode() for r in some.orderBy("h").limit(SAMPLES).collect()]
     for size in (DICTIONARY_BYTES, DICTIONARY_BYTES // 8, DICTIONARY_BYTES // 64):
         try:
             return zstandard.train_dictionary(size, payloads, level=LEVEL).as_bytes()

@@ -213,6 +213,7 @@ def test_network_is_calibrated():
     random_ = np.random.default_rng(3)
     x = random_.normal(size=(6000, 5))
     y = (random_.random(6000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    x = np.hstack([x, np.full((6000, 1), 1000.0)])
     network = quality.Network(x[:5000], y[:5000])
     p = network.probability(x[5000:])
     for low in np.arange(0, 1, 0.25):
