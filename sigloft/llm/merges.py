@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-#: Bound of the tables that remember words and pairs; they are emptied when full.
-REMEMBERED = 400_000
+#: Bounds of the tables that remember words, and pairs and steps; they are emptied when full.
+REMEMBERED, PAIRS = 1_000_000, 1_600_000
 
 
 class Remembered(dict):
@@ -28,6 +28,16 @@ class Remembered(dict):
             self[key] = value
         return value
 
+    def prepare(self, keys: set) -> None:
+        """Works out the new ones of many keys in order, so that neighbours share what they begin with."""
+        new = [k for k in keys if k not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(keys)
+        for k in sorted(new):
+            if len(k) <= self.longest:
+                self[k] = self.work(k)
+
 
 class PairEncoding:
     """Tokens over strings or bytes.
@@ -40,11 +50,44 @@ class PairEncoding:
         self.rank, self.merges = rank, merges
         self.texts = [*symbols, *rank]
         self.first_merged = len(symbols)
-        #: Each end of a token: its number if it is a token itself, else -1.
-        self.ends = {t[i:]: -1 for t in rank for i in range(len(t))}
-        self.ends.update((t, i) for i, t in enumerate(self.texts))
+        self._automaton()
         self.last_merge = Remembered(self._last_merge)
-        self.apart = Remembered(self._apart, 4 * REMEMBERED)
+        self.made = Remembered(lambda token: self.last_merge[self.texts[token]] is not None)
+        self.apart = Remembered(self._apart, PAIRS)
+        self.following = Remembered(self._following, PAIRS)
+        self.word, self.states, self.last, self.counts = self.texts[0][:0], [0], [-1], [0]
+
+    def _automaton(self) -> None:
+        """States are the beginnings of tokens; each knows the tokens that end there, the shortest first, as (number, size)."""
+        self.next: list[dict[int, int]] = [{}]
+        self.ending: list[tuple] = [()]
+        for number, text in enumerate(self.texts):
+            state = 0
+            for symbol in map(ord, text) if isinstance(text, str) else text:
+                if symbol not in self.next[state]:
+                    self.next[state][symbol] = len(self.next)
+                    self.next.append({})
+                    self.ending.append(())
+                state = self.next[state][symbol]
+            self.ending[state] = ((number, len(text)),)
+        self.back, level = [0] * len(self.next), list(self.next[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                self.ending[state] = self.ending[self.back[state]] + self.ending[state]
+                for symbol, child in self.next[state].items():
+                    back = self.back[state]
+                    while back and symbol not in self.next[back]:
+                        back = self.back[back]
+                    self.back[child] = self.next[back].get(symbol, 0)
+                    deeper.append(child)
+            level = deeper
+
+    def _following(self, key: int) -> int:
+        state, symbol = key >> 21, key & 0x1FFFFF
+        while state and symbol not in self.next[state]:
+            state = self.back[state]
+        return self.next[state].get(symbol, 0)
 
     def joined(self, left, right) -> int | None:
         """The priority of merging two neighbours; None if they don't merge."""
@@ -94,20 +137,33 @@ class PairEncoding:
                 due, right = b + 1, last_merge[right][0]
 
     def prefixes(self, word: Sequence) -> tuple[list[int], list[int]]:
-        """For each prefix of a word, from the empty one on, the number of its last token (-1: none) and how many tokens it has."""
-        last, counts = [-1], [0]
-        ends, apart, size = self.ends, self.apart, len(self.texts)
-        for j in range(1, len(word) + 1):
-            for i in range(j - 1, -1, -1):
-                token = ends.get(word[i:j])
-                if token is None:
-                    raise ValueError("a prefix has no segmentation")
-                if token >= 0 and (apart[last[i] * size + token] if i else self.last_merge[word[:j]] is not None):
+        """For each prefix of a word, from the empty one on, the number of its last token (-1: none) and how many tokens it has.
+
+        The table of the word before is kept as far as both begin alike; the lists are good until the next call.
+        """
+        before, same, size = self.word, 0, len(self.texts)
+        for x, y in zip(before, word):
+            if x != y:
+                break
+            same += 1
+        states, last, counts = self.states, self.last, self.counts
+        del states[same + 1 :], last[same + 1 :], counts[same + 1 :]
+        self.word = word[:same]
+        rest, state = word[same:], states[-1]
+        apart, following, ending = self.apart, self.following, self.ending
+        for j, symbol in enumerate(map(ord, rest) if isinstance(word, str) else rest, same + 1):
+            state = following[state << 21 | symbol]
+            for token, length in ending[state]:
+                i = j - length
+                if apart[last[i] * size + token] if i else self.made[token]:
+                    states.append(state)
                     last.append(token)
                     counts.append(counts[i] + 1)
                     break
             else:
+                self.word = word[: j - 1]
                 raise ValueError("a prefix has no segmentation")
+        self.word = word
         return last, counts
 
     def tokens(self, word: Sequence) -> list[int]:

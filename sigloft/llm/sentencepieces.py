@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloft.llm.common import id_and_text
+from sigloft.llm.common import id_and_text, portions
 from sigloft.llm.merges import PairEncoding, Remembered
 
 SPACE = "▁"
@@ -93,7 +93,7 @@ class PieceTransducer:
         self.symbols = {c for p in normal for c in p}
         self.lattice = PairEncoding(sorted(self.symbols), {p: order[s] for p, (s, _) in normal.items() if len(p) > 1})
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.path = Remembered(self._path, longest=SHORT).__getitem__
+        self.paths = Remembered(self._path, longest=SHORT)
         self.shown = ["" if k in (CONTROL, UNKNOWN) else p.replace(SPACE, " ") for p, k in zip(self.pieces, kinds)]
 
     def _fallback(self, symbol: str) -> list[int]:
@@ -112,10 +112,19 @@ class PieceTransducer:
                 out += [self.number[name]] if name in self.number else self._fallback(name)
         return tuple(out)
 
+    def _units(self, text: str) -> list[str]:
+        return self.units.findall(self.prefix + text.replace(" ", SPACE)) if text else []
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.path, self.units.findall(self.prefix + text.replace(" ", SPACE)))))
+        return list(chain.from_iterable(map(self.paths.__getitem__, self._units(text))))
+
+    def encode_all(self, texts: pd.Series) -> Iterator[list[int]]:
+        """The piece numbers of each text; the new units of a bounded stretch of texts are worked out together."""
+        for part in portions(texts):
+            found = list(map(self._units, part))
+            self.paths.prepare(set().union(*found))
+            for units in found:
+                yield list(chain.from_iterable(map(self.paths.__getitem__, units)))
 
     def decode(self, ids: list[int]) -> str:
         of_byte, shown = self.of_byte, self.shown
@@ -142,12 +151,12 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """``doc_id, ids``: the piece numbers of each text. ``model``: a path that every executor can read."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = transducer(model)
         for batch in texts:
-            yield batch.map(lambda t: np.array(machine.encode(t), np.int32))
+            yield pd.Series([np.array(ids, np.int32) for ids in machine.encode_all(batch)])
 
-    return id_and_text(docs, id_col, text_col).select("doc_id", ids("text").alias("ids"))
+    return id_and_text(docs, id_col, text_col).select("doc_id", encode("text").alias("ids"))
 
 
 def decoded(pieces: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -173,8 +182,7 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         machine = transducer(model)
         for batch in texts:
             rows = []
-            for text in batch:
-                ids = machine.encode(text)
+            for text, ids in zip(batch, machine.encode_all(batch)):
                 fallen = 0 if machine.of_byte.keys().isdisjoint(ids) else sum(map(machine.of_byte.__contains__, ids))
                 rows.append((len(ids), fallen, hashlib.sha256(array("i", ids).tobytes()).hexdigest(), machine.decode(ids) == text.replace(SPACE, " ")))
             yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
