@@ -1,17 +1,17 @@
 """Benchmark decontamination by an embedding of edit distance and bit-sampling hashing.
 
-Texts and items are sequences of lower-cased words, without signs at their ends. A random walk over a sequence writes the word under its pointer and moves on or stays,
-as a random function of the step and the word tells; two sequences at edit distance k get rows of writings that differ in a number of
-places bounded in k (Chakraborty, Goldenberg, Koucky). A table samples a few places of the walk of one random function; windows of a text
-whose samples all agree with an item's are candidates. The number of tables is set so that, at the allowed number of edits, a simulation
-over the items themselves reaches the target recall. Items of over LONGEST words are searched in pieces of about that size, each a match of its own.
-Candidates are verified: the exact edit distance of the whole item to the best
-stretch of the text may be at most MOST_EDITS of its words.
+Texts and items are sequences of lower-cased words, without signs at their ends. A random walk over a sequence writes the word under its
+pointer and moves on or stays, as a random function of the step and the word tells; two sequences at edit distance k get rows of writings
+that differ in a number of places bounded in k (Chakraborty, Goldenberg, Koucky). A table samples a few places of the walk of one random
+function; windows of a text whose samples all agree with an item's are candidates. The number of tables is set so that, at the allowed
+number of edits, a simulation over the items themselves reaches the target recall. Items of over LONGEST words are searched in pieces of
+about that size, each a match of its own. Candidates are verified: the exact edit distance of the whole item to the best stretch of the
+text may be at most MOST_EDITS of its words.
 
 Windows have the sizes of the items, in classes within a factor of GROWTH; an item is looked up by its first words, as many as its class
 has. A window is walked only if enough pairs of neighbouring words in it are neighbours in any item: an edit undoes two pairs at most and
-moves one out of the window, so one with fewer has more edits to every item than are allowed, and this leaves out no match. Items are worked on in blocks of bounded size, each block against all texts, so what is sent to the tasks is
-bounded however large the benchmark is.
+moves one out of the window, so one with fewer has more edits to every item than are allowed, and this leaves out no match. Items are
+worked on in blocks of bounded size, each block against all texts, so what is sent to the tasks is bounded however large the benchmark is.
 
 Null texts are empty. Items with fewer than SHORTEST words, null ones among them, have no match, for they would mark clean texts;
 repeated items are each reported by their id, equal rows once. Rows with a null id are reported under a null id, repeated rows once each.

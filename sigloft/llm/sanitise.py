@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloft.llm.common import WORD, id_and_text
+from sigloft.llm.common import WORD, id_and_text, portions
 from sigloft.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, DISCLOSURE, SHORTEST = 6, 3, 0.8, 3
 #: Bits of the filter of candidate terms that every task gets, and how many of them a term sets.
 FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+#: Words whose number a task remembers.
+REMEMBERED = 400_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -151,21 +154,20 @@ def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.unpackbits(passing).astype(bool)
+        # Each word's number, 0 for words that are too short or don't pass.
         numbers: dict[str, int] = {}
         for batch in batches:
-            totals: dict[int, int] = {}
-            for text in batch["text"]:
-                for word in set(WORD.findall(text.lower())):
-                    if len(word) >= SHORTEST:
-                        number = numbers.get(word)
-                        if number is None:
-                            if len(numbers) > 400_000:
-                                numbers.clear()
-                            number = _number(word)
-                            # Words that don't pass are remembered as 0.
-                            number = numbers[word] = number if held[_bits(np.array([number], np.int64)).ravel()].all() else 0
-                        if number:
-                            totals[number] = totals.get(number, 0) + 1
+            totals: Counter[int] = Counter()
+            for part in portions(batch["text"]):
+                words = [set(WORD.findall(text.lower())) for text in part]
+                every = set().union(*words)
+                if len(numbers) + len(every) > REMEMBERED:
+                    numbers.clear()
+                new = [w for w in every if w not in numbers]
+                found = np.fromiter((_number(w) if len(w) >= SHORTEST else 0 for w in new), np.int64, len(new))
+                numbers.update(zip(new, np.where(held[_bits(found)].all(axis=0), found, 0).tolist()))
+                for here in words:
+                    totals.update(filter(None, map(numbers.get, here)))
             yield pd.DataFrame({"term": np.fromiter(totals, np.int64, len(totals)), "df": np.fromiter(totals.values(), np.int64, len(totals))})
 
     return docs.select("text").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
