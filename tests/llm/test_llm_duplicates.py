@@ -150,3 +150,34 @@ def test_passages(spark):
     assert (r.start_word, r.other_start, r.edits) == (70, 20, len(fuzzy) - len(changed)) and r.end_word == 70 + len(changed)
     assert (pairs[7, 6].start_word, pairs[7, 6].end_word) == (0, 120)
     assert fuzzy_passages.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_longest_stretch():
+    pick = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(pick.integers(1, 9))
+        length = pick.integers(1, 30, 2 * n - 1)
+        gain = fuzzy_passages.EDITS * length
+        gain[1::2] -= pick.integers(0, 20, n - 1)
+        first, last = fuzzy_passages._longest(gain, length)
+        sizes = {(i, j): length[2 * i : 2 * j + 1].sum() for i in range(n) for j in range(i, n) if gain[2 * i : 2 * j + 1].sum() >= -1e-9}
+        assert sizes[first, last] == max(sizes.values())
+
+
+def test_several_passages_of_a_pair(spark):
+    pick = random.Random(9)
+    own = lambda n: prose(pick, n, 10**6)
+    rows, wanted = [], {}
+    for i in range(0, 60, 2):
+        head, tail, around = own(100), own(pick.choice((60, 100))), pick.choice((0, 70))
+        between = (own(pick.choice((60, 100, 200))), own(pick.choice((0, 60, 100))))
+        texts = [own(around) + head + x + tail + own(around) for x in between]
+        rows += [(i + k, " ".join(t)) for k, t in enumerate(texts)]
+        starts = [(around, around + 100), *((around + 100 + len(x), around + 100 + len(x) + len(tail)) for x in between)]
+        wanted[i] = {(starts[0], starts[0]), (starts[2], starts[1])}
+    got = fuzzy_passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, spans in wanted.items():
+        of = [r for r in got if r.doc_id == i + 1]
+        covered = [set().union(*(range(r[a], r[b]) for r in of)) for a, b in (("start_word", "end_word"), ("other_start", "other_end"))]
+        assert all(set(range(*own)) <= covered[0] and set(range(*other)) <= covered[1] for own, other in spans), (i, of)
+        assert all(r.other_id == i and r.edits <= fuzzy_passages.EDITS * max(r.end_word - r.start_word, r.other_end - r.other_start) for r in of)
