@@ -181,3 +181,19 @@ def test_several_passages_of_a_pair(spark):
         covered = [set().union(*(range(r[a], r[b]) for r in of)) for a, b in (("start_word", "end_word"), ("other_start", "other_end"))]
         assert all(set(range(*own)) <= covered[0] and set(range(*other)) <= covered[1] for own, other in spans), (i, of)
         assert all(r.other_id == i and r.edits <= fuzzy_passages.EDITS * max(r.end_word - r.start_word, r.other_end - r.other_start) for r in of)
+
+
+def test_passage_twice_in_a_document(spark):
+    pick = random.Random(10)
+    own = lambda n: prose(pick, n, 10**6)
+    shared, parts = own(70), own(80)
+    texts = {
+        1: own(40) + shared + own(30), 2: own(60) + shared + own(90) + shared + own(10), 3: own(30) + shared + own(50) + shared + own(50) + shared,
+        4: own(20) + parts + own(30), 5: own(10) + parts[40:] + own(70) + parts[:40] + own(30) + parts + own(5), 6: ["to"] * 300, 7: own(30) + ["to"] * 200,
+    }
+    got = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    spans = {i: {(r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got if r.doc_id == i} for i in texts}
+    assert spans[2] == {(60, 130, 1, 40, 110), (220, 290, 1, 40, 110)}
+    assert spans[3] >= {(a, a + 70, 1, 40, 110) for a in (30, 150, 270)}
+    assert spans[5] == {(190, 270, 4, 20, 100)} and not spans[1] and not spans[4]
+    assert (30, 230, 6) in {x[:3] for x in spans[7]}
