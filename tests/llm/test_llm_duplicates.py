@@ -197,3 +197,27 @@ def test_passage_twice_in_a_document(spark):
     assert spans[3] >= {(a, a + 70, 1, 40, 110) for a in (30, 150, 270)}
     assert spans[5] == {(190, 270, 4, 20, 100)} and not spans[1] and not spans[4]
     assert (30, 230, 6) in {x[:3] for x in spans[7]}
+
+
+def test_recall(spark):
+    pick = random.Random(11)
+    own = lambda n: prose(pick, n, 10**9)
+    rows, of = [], {}
+    for n in (50, 65, 80, 100):
+        for percent in (0, 5, 10, 15, 20):
+            for _ in range(100):
+                passage = own(n)
+                copy = list(passage)
+                for at in sorted(pick.sample(range(1, n - 1), n * percent // 100), reverse=True):
+                    gone, new = pick.choice(((1, 1), (1, 0), (0, 1)))
+                    copy[at : at + gone] = own(new)
+                if len(copy) < fuzzy_passages.LEAST:
+                    continue
+                i = len(rows)
+                # Brute force: the planted stretches are a passage by the edit distance of the whole.
+                if fuzzy_passages._distance(np.array([hash(w) for w in passage]), np.array([hash(w) for w in copy])) <= fuzzy_passages.EDITS * max(n, len(copy)):
+                    rows += [(i, " ".join(own(70) + passage + own(40))), (i + 1, " ".join(own(30) + copy + own(80)))]
+                    of[i + 1] = (n, percent)
+    found = {r.doc_id for r in fuzzy_passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.other_id == r.doc_id - 1}
+    share = {x: np.mean([d in found for d in of if of[d] == x]) for x in set(of.values())}
+    assert all(share[x] == 1 if x[1] == 0 else share[x] >= 0.95 for x in share)
