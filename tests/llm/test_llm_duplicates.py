@@ -221,3 +221,17 @@ def test_recall(spark):
     found = {r.doc_id for r in fuzzy_passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.other_id == r.doc_id - 1}
     share = {x: np.mean([d in found for d in of if of[d] == x]) for x in set(of.values())}
     assert all(share[x] == 1 if x[1] == 0 else share[x] >= 0.95 for x in share)
+
+
+def test_passages_of_frequent_lines(spark):
+    pick = random.Random(12)
+    own = lambda n: prose(pick, n, 10**6)
+    lines, halves, twice = [own(12) for _ in range(5)], [own(30) for _ in range(2)], [own(12) for _ in range(6)]
+    texts = {i: own(40) + line + own(50) for i, line in enumerate(lines + halves + twice)}
+    made = [sum(x, []) for x in (lines, halves, twice)]
+    texts |= {100: own(30) + made[0] + own(60), 200: own(90) + made[0] + own(7), 110: made[1] + own(70), 210: own(20) + made[1]}
+    texts |= {120: own(10) + made[2] + own(40), 220: own(25) + made[2] + own(80) + made[2], 300: made[0], 310: own(9) + lines[3] + own(50)}
+    got = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got if r.edits == 0}
+    assert spans >= {(200, 90, 150, 100, 30, 90), (300, 0, 60, 100, 30, 90), (210, 20, 80, 110, 0, 60), (220, 25, 97, 120, 10, 82), (220, 177, 249, 120, 10, 82)}
+    assert {r.doc_id for r in got} == {200, 300, 210, 220}
