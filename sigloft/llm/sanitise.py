@@ -1,20 +1,19 @@
 """Personal data, and the terms that give it away.
 
 Patterns find e-mail and IP addresses, card and phone numbers. Terms beside them can reveal them as well: for an entity c and a term t,
-the corpus gives how often t stands within WINDOW words of c against how often it stands anywhere. The pointwise mutual information
+the corpus gives in how many documents t stands together with c against in how many it stands anywhere. The pointwise mutual information
 PMI(c; t) = log2(p(c, t) / (p(c) p(t))) is the information about c that t gives away; a term that gives away at least DISCLOSURE of all
-there is, -log2 p(c), is a risk wherever it stands beside c. Probabilities are over the documents of the whole corpus, and a pair must be
+there is, -log2 p(c), is a risk, and each of its occurrences is marked in every document that has c. Probabilities are over the documents of the whole corpus, and a pair must be
 seen in SUPPORT different documents. A risky term with a more general form known to the generaliser is replaced by that form, the
-others are removed.
+others are removed (`sanitised_texts`).
 
-Spans of risky terms are added to those of the patterns, with the kind ``term``; parts of a pattern's span are no terms. Null texts are
-empty. Rows with a null id are searched like others and reported under a null id; beside an entity they count as one document, as do rows
+Only entities of SUPPORT documents can have such terms, so the words of documents without one are not paired. Spans of risky terms are added to those of the patterns, with the kind ``term``; parts of a pattern's span are no terms. Null texts are
+empty. Rows with a null id are searched like others and reported under a null id; with an entity they count as one document, as do rows
 of one id. Repeated rows give one row each. Empty tables give none. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from sigloft.llm.common import WORD, id_and_text, portions
 from sigloft.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSURE, SHORTEST = 6, 3, 0.8, 3
+SUPPORT, DISCLOSURE, SHORTEST = 3, 0.8, 3
 #: Bits of the filter of candidate terms that every task gets, and how many of them a term sets.
 FILTER_BITS, FILTER_HASHES = 1 << 23, 4
 #: Words whose number a task remembers.
@@ -86,36 +85,30 @@ def _number(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of each term within ``window`` words of each entity, of lower-cased words outside all spans."""
-    out: list[tuple[int, int, int, int]] = []
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The numbers of the different entities of a text."""
+    return [_number(x) for x in dict.fromkeys(f"{kind}:{text[a:b].lower()}" for kind, a, b in spans)]
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """The numbers, starts and ends of all lower-cased words of a text outside all spans."""
     taken = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in taken]
-    merged_end = np.maximum.accumulate([b for _, b in taken]).tolist()
-
-    def outside(a: int, b: int) -> bool:
-        i = bisect.bisect_left(starts, b)
-        return i == 0 or merged_end[i - 1] <= a
-
-    for kind, a, b in spans:
-        entity = _number(f"{kind}:{text[a:b].lower()}")
-        before = _words_before(text, a, window)
-        after = [m.span() for m, _ in zip(WORD.finditer(text, b), range(window))]
-        for s, e in before + after:
-            if e - s >= SHORTEST and outside(s, e):
-                out.append((entity, _number(text[s:e].lower()), s, e))
-    return out
-
-
-def _words_before(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    """The last ``n`` words before a place; the stretch looked at grows until it holds them."""
-    size = 256
-    while True:
-        low = max(0, at - size)
-        found = [m.span() for m in WORD.finditer(text, low, at)]
-        if low == 0 or len(found) > n:
-            return found[-n:]
-        size *= 4
+    numbers: dict[str, int] = {}
+    terms, starts, ends = [], [], []
+    at = reach = 0
+    for m in WORD.finditer(text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if e - s >= SHORTEST and reach <= s:
+            word = m.group().lower()
+            if word not in numbers:
+                numbers[word] = _number(word)
+            terms.append(numbers[word])
+            starts.append(s)
+            ends.append(e)
+    return terms, starts, ends
 
 
 def _bits(terms: np.ndarray) -> np.ndarray:
@@ -174,7 +167,7 @@ def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
 
 
 def risky_terms(docs: DataFrame, beside: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``entity, term, pmi`` of the pairs that disclose too much; ``beside``: ``doc_id, entity, term`` of all contexts."""
+    """``entity, term, pmi`` of the pairs that disclose too much; ``beside``: ``doc_id, entity, term`` of all documents with an entity."""
     n = docs.count()
     here = beside.select("doc_id", "entity", "term").distinct()
     entities = beside.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
@@ -186,30 +179,68 @@ def risky_terms(docs: DataFrame, beside: DataFrame, support: int = SUPPORT, disc
     return joined.withColumn("pmi", pmi).filter((F.col("pmi") > 0) & (F.col("pmi") >= disclosure * information)).select("entity", "term", "pmi")
 
 
-def searched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``doc_id, base, terms`` for every row: the patterns' spans and the spans of risky terms, as arrays of (kind, start, end)."""
-    docs = id_and_text(docs, id_col, text_col)
+def _searched(docs: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """``doc_id, content, base, terms`` for every row; ``docs``: doc_id, text. The id and the text's hash tie a row's spans together, as ids may repeat."""
     kind = "array<struct<kind:string,start:int,end:int>>"
 
-    @F.pandas_udf(f"base {kind}, beside array<struct<entity:bigint,term:bigint,start:int,end:int>>")
+    @F.pandas_udf(f"base {kind}, entities array<bigint>, words array<bigint>, starts array<int>, ends array<int>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             base = [base_spans(t) for t in batch]
-            beside = [contexts(t, s) if s else [] for t, s in zip(batch, base)]
+            words = [terms_of(t, s) if s else ([], [], []) for t, s in zip(batch, base)]
             yield pd.DataFrame({
                 "base": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in base],
-                "beside": [[dict(zip(("entity", "term", "start", "end"), x)) for x in s] for s in beside],
+                "entities": [entities(t, s) for t, s in zip(batch, base)],
+                **{c: [w[i] for w in words] for i, c in enumerate(("words", "starts", "ends"))},
             })
 
-    # The id and the text's hash tie a row's spans together again, as ids may repeat.
     found = stored(docs.select("doc_id", F.xxhash64("text").alias("content"), search("text").alias("s")).select("doc_id", "content", "s.*"), "spans")
-    beside = found.filter(F.size("beside") > 0).select("doc_id", "content", F.explode("beside").alias("b")).select("doc_id", "content", "b.*")
+    owners = found.select("doc_id", "content", F.explode("entities").alias("entity")).distinct()
+    frequent = owners.select("doc_id", "entity").distinct().groupBy("entity").count().filter(F.col("count") >= support).select("entity")
+    owners = owners.join(frequent, "entity").groupBy("doc_id", "content").agg(F.collect_set("entity").alias("owned"))
+    f, o = found.filter(F.size("words") > 0).dropDuplicates(["doc_id", "content"]).alias("f"), owners.alias("o")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
+    whole = f.join(o, same("f", "o")).select("f.doc_id", "f.content", "o.owned", F.explode(F.arrays_zip("f.words", "f.starts", "f.ends")).alias("w"))
+    beside = whole.select("doc_id", "content", F.explode("owned").alias("entity"), F.col("w.words").alias("term"), F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
+    beside = stored(beside, "beside")
     risky = risky_terms(docs, beside, support, disclosure)
     spans = beside.join(risky, ["entity", "term"]).select("doc_id", "content", "start", "end").distinct()
     terms = spans.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    f, t = found.alias("f"), terms.alias("t")
-    whole = f.join(t, F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.content") == F.col("t.content")), "left")
-    return whole.select("f.doc_id", "f.base", F.coalesce("t.terms", F.array().cast(kind)).alias("terms"))
+    whole = found.alias("f").join(terms.alias("t"), same("f", "t"), "left")
+    return whole.select("f.doc_id", "f.content", "f.base", F.coalesce("t.terms", F.array().cast(kind)).alias("terms"))
+
+
+def searched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``doc_id, base, terms`` for every row: the patterns' spans and the spans of risky terms, as arrays of (kind, start, end)."""
+    return _searched(id_and_text(docs, id_col, text_col), support, disclosure).drop("content")
+
+
+def sanitised_texts(
+    docs: DataFrame, general: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE,
+) -> DataFrame:
+    """``doc_id, text`` for every row, sanitised; ``general``: ``term, general`` of lower-cased terms and their more general forms, the first by value."""
+    docs = id_and_text(docs, id_col, text_col)
+    found = _searched(docs, support, disclosure).filter("size(base) > 0").dropDuplicates(["doc_id", "content"])
+    rows = docs.withColumn("content", F.xxhash64("text")).alias("d").join(
+        found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.content") == F.col("f.content")), "left"
+    )
+    rows = stored(rows.select("d.doc_id", "d.text", "d.content", "f.base", "f.terms"), "texts")
+
+    @F.pandas_udf("array<string>")
+    def named(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([sorted({t[s["start"] : s["end"]].lower() for s in x}) for t, x in zip(texts, terms)])
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, spans: pd.Series, forms: pd.Series) -> pd.Series:
+        listed = lambda x: [(s["kind"], s["start"], s["end"]) for s in x]
+        return pd.Series([t if s is None else sanitised(t, listed(s), {} if g is None else {x["term"]: x["general"] for x in g}) for t, s, g in zip(texts, spans, forms)])
+
+    forms = rows.sparkSession.createDataFrame([], "term string, general string") if general is None else general
+    forms = forms.filter("term IS NOT NULL AND general IS NOT NULL").groupBy("term").agg(F.min("general").alias("general"))
+    words = rows.filter("size(terms) > 0").dropDuplicates(["doc_id", "content"]).select("doc_id", "content", F.explode(named("text", "terms")).alias("term"))
+    known = words.join(forms, "term").groupBy("doc_id", "content").agg(F.collect_list(F.struct("term", "general")).alias("forms")).alias("k")
+    whole = rows.alias("r").join(known, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.content") == F.col("k.content")), "left")
+    return whole.select("r.doc_id", cleaned("r.text", F.concat("r.base", "r.terms"), "k.forms").alias("text"))
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]], general: dict[str, str] | None = None) -> str:

@@ -102,6 +102,30 @@ def test_disclosing_terms(spark):
     assert sanitise.searched(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    pick = random.Random(6)
+    far = lambda n: " ".join(f"v{pick.randrange(10**9)}" for _ in range(n))
+    rows = [(i, f"common words {far(20)} here") for i in range(60)]
+    rows += [(100 + i, f"Nickname {far(40)} bob@mail.example {far(30)} nickname, colleague common words {far(9)}") for i in range(4)]
+    rows += [(200, f"nickname {far(5)}"), (201, None), (None, "common words"), (202, f"{far(3)} eve@mail.example nickname")]
+    docs = spark.createDataFrame(rows + [rows[60]], "doc_id long, text string")
+    got = sanitise.searched(docs, disclosure=0.7).collect()
+    for r in got:
+        text = dict(rows)[r.doc_id] or ""
+        words = [m.span() for m in re.finditer("[Nn]ickname|colleague", text)] if r.doc_id in range(100, 104) else []
+        assert [(s.start, s.end) for s in r.terms] == words
+    assert len(got) == len(rows) + 1
+    general = spark.createDataFrame([("nickname", "somebody"), ("unknown", "x"), (None, "y")], "term string, general string")
+    out = sanitise.sanitised_texts(docs, general, disclosure=0.7).collect()
+    assert len(out) == len(rows) + 1
+    for r in out:
+        text = dict(rows)[r.doc_id] or ""
+        if r.doc_id in range(100, 104):
+            text = re.sub("[Nn]ickname", "somebody", text).replace("colleague", "").replace("bob@mail.example", "[email]")
+        assert r.text == text.replace("eve@mail.example", "[email]")
+    assert sanitise.sanitised_texts(docs.limit(0)).count() == 0 and "[email]" in {r.doc_id: r.text for r in sanitise.sanitised_texts(docs).collect()}[100]
+
+
 def brute_edits(item: list, text: list) -> int:
     before = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
