@@ -235,3 +235,13 @@ def test_passages_of_frequent_lines(spark):
     spans = {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got if r.edits == 0}
     assert spans >= {(200, 90, 150, 100, 30, 90), (300, 0, 60, 100, 30, 90), (210, 20, 80, 110, 0, 60), (220, 25, 97, 120, 10, 82), (220, 177, 249, 120, 10, 82)}
     assert {r.doc_id for r in got} == {200, 300, 210, 220}
+
+
+def test_passage_of_overlapping_frequent_stretches(spark):
+    pick = random.Random(13)
+    own = lambda n: prose(pick, n, 10**6)
+    passage = own(90)
+    texts = {i: own(40) + passage[a : a + 30] + own(50) for i, a in enumerate(range(0, 61, 15))}
+    texts |= {100: own(30) + passage + own(60), 200: own(70) + passage + own(20)}
+    got = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got} == {(200, 70, 160, 100, 30, 120)}
