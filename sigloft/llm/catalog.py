@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloft.llm import decontaminate, doc_fingerprints, fuzzy_passages, quality, sanitise, secret_scans, sentencepieces, simhash_dedup, token_counts, warc
+from sigloft.llm import (
+    bpe_codec, conversations, decontaminate, doc_fingerprints, fuzzy_passages, quality, sanitise, secret_scans, sentencepieces, simhash_dedup,
+    spelling_variants, token_counts, warc,
+)
 from sigloft.llm.common import table
 from sigloft.session import shared_folder, stored
 
@@ -133,3 +136,61 @@ def benchmark_matches(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_fuzzy_passages")
 def repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy_passages.passages(table(spark, sf, "documents"))
+
+
+_CRC_STEP = "xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])"
+#: SQL has no CRC-32: the table of its polynomial and one step for each byte; letters up to U+00FF have one or two bytes.
+_VARIANTS_SQL = f"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+),
+texts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM texts WHERE length(run) >= 6 GROUP BY ALL
+),
+hashed AS (
+    SELECT run, times, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::UBIGINT] ELSE [(192 | (unicode(s) >> 6))::UBIGINT, (128 | (unicode(s) & 63))::UBIGINT] END))),
+        lambda c, b: {_CRC_STEP}), 4294967295::UBIGINT) AS h
+    FROM runs, crc
+),
+words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, times FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+),
+cut AS (SELECT word, n, i, word[1:i - 1] AS front, word[i + 1:] AS back FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.front = b.front AND a.back = b.back AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON b.word = a.front || a.back
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.front || a.back
+),
+near AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM pairs GROUP BY word),
+formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+    FROM words w LEFT JOIN near USING (word)),
+walk AS (
+    SELECT word, coalesce(form, word) AS root FROM formed
+    UNION SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, w.root, n, n_near, form_n FROM formed f
+JOIN (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)) w ON w.word = f.word
+"""
+
+
+@query("op11_spelling_variants", _VARIANTS_SQL)
+def grouped_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling_variants.counted(spelling_variants.damaged_words(table(spark, sf, "documents"), 199, 6), 6, 5)
+    return spelling_variants.variant_groups(words, 5, 6)
+
+
+@query("op12_bpe")
+def bpe_round_trips(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_codec.round_trips(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op13_conversation_repair")
+def repaired_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return conversations.structure_repairs(conversations.damaged(rows), rows)

@@ -25,7 +25,7 @@ def test_plan(spark, name):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages(spark):
