@@ -1,24 +1,26 @@
-"""Byte-pair encoding and decoding with a segment tree over the ranks of neighbouring pairs.
+"""Byte-pair encoding and decoding with segment trees over the ranks of neighbouring pairs.
 
 A vocabulary file's splitting pattern cuts a text into pieces that merges never cross. A piece starts as its bytes. Each pair of
 neighbours is a leaf with the rank of its merge and its place, a leaf without a merge is infinite, and each inner node holds the lesser
 of its two children, so the root names the leftmost of the pairs of lowest rank. A merge changes three leaves: its own, that of the part
-it swallows, and that of the pair before; each is carried up while nodes change. A piece of n bytes costs n log n steps whatever it is
-made of, so one word of some million letters is no special case. Pieces seen before are remembered in a table bounded by bytes.
+it swallows, and that of the pair before; each is carried up to the root. A piece of n bytes costs n log n steps whatever it is made of,
+so one word of some million letters is no special case.
+
+Texts are worked through in stretches of bounded length, each text whole. The different pieces of a stretch are merged side by side: the
+trees of pieces of one size class stand in one array, a column each, and every step takes the root of each and merges there, until no tree
+has a pair left. Long pieces have a tree of their own. Nothing is kept from stretch to stretch, so memory is bounded by a stretch or text.
 
 Null texts are empty and have no tokens. The vocabulary's added tokens are one token each where their string stands in a text, as the
-library has it by default; decoding writes them out. Texts are worked through in stretches of bounded length, each whole. Repeated rows
-and ids give one row each, empty tables none; only the named columns are read. A vocabulary file that asks for another splitting or any
-normalising is refused.
+library has it by default; decoding writes them out. Repeated rows and ids give one row each, empty tables none; only the named columns
+are read. A vocabulary file that asks for another splitting or any normalising is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,14 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloft.llm.common import Memo, id_and_text, portions
+from sigloft.llm.common import id_and_text, portions
 from sigloft.llm.token_counts import PATTERN, byte_of_char
 
 #: Leaves are rank << PLACE | place.
 PLACE = 40
 NEVER = 1 << 80
-#: Bytes that the table of pieces of one Python worker may take.
-REMEMBERED = 64 << 20
+#: The same for trees side by side.
+PLACE_BITS, OPEN_END = 16, np.int64(1 << 62)
+#: Pieces of more bytes have a tree of their own; trees that stand in one array at once.
+SHORT, SIDE_BY_SIDE = 64, 1 << 15
 
 
 class PairTree:
@@ -88,6 +92,70 @@ class PairTree:
         return out
 
 
+class PairTable:
+    """Which two parts merge, with what rank and into what, over arrays."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], vocabulary: int):
+        ordered = sorted((a * vocabulary + b, rank, made) for (a, b), (rank, made) in merges.items())
+        self.vocabulary = vocabulary
+        self.pairs, self.ranks, made = (np.array(c, np.int64) for c in zip(*ordered))
+        self.made = np.zeros(int(self.ranks.max()) + 1, np.int32)
+        self.made[self.ranks] = made
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, places: np.ndarray | int) -> np.ndarray:
+        """rank << PLACE_BITS | place of each pair, OPEN_END where two parts don't merge."""
+        pairs = left.astype(np.int64) * self.vocabulary + right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.ranks[at] << PLACE_BITS | places, OPEN_END)
+
+
+def merged_side_by_side(parts: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """The parts left of many pieces, one after the other, and how many each has.
+
+    ``parts``: a column for each piece, of two parts or more each, filled up below its size. The trees are the columns of one array: node 1
+    is the root, node n has the children 2 n and 2 n + 1, and the leaves are the last half.
+    """
+    height, count = parts.shape
+    width = 1 << (height - 2).bit_length()
+    every = np.arange(count)
+    after = np.repeat(np.arange(1, height + 1, dtype=np.int16)[:, None], count, axis=1)
+    before = after - np.int16(2)
+    alive = np.arange(height)[:, None] < sizes
+    nodes = np.full((2 * width, count), OPEN_END)
+    inside = alive[1:]
+    places = np.arange(height - 1)[:, None] + np.zeros_like(sizes)
+    nodes[width : width + height - 1][inside] = table.leaves(parts[:-1][inside], parts[1:][inside], places[inside])
+    for at in range(width - 1, 0, -1):
+        np.minimum(nodes[2 * at], nodes[2 * at + 1], out=nodes[at])
+
+    column = every[nodes[1] != OPEN_END]
+    while len(column):
+        best = nodes[1, column]
+        i = best & (1 << PLACE_BITS) - 1
+        j = after[i, column].astype(np.int64)
+        k = after[j, column].astype(np.int64)
+        new = table.made[best >> PLACE_BITS]
+        parts[i, column], after[i, column], alive[j, column] = new, k, False
+        on = k < sizes[column]
+        before[k[on], column[on]] = i[on]
+        leaf = np.full(len(column), OPEN_END)
+        leaf[on] = table.leaves(new[on], parts[k[on], column[on]], i[on])
+        nodes[width + i, column] = leaf
+        swallowed = j < width
+        nodes[width + j[swallowed], column[swallowed]] = OPEN_END
+        h = before[i, column].astype(np.int64)
+        back = h >= 0
+        nodes[width + h[back], column[back]] = table.leaves(parts[h[back], column[back]], new[back], h[back])
+        changed = [(width + i, column), (width + j[swallowed], column[swallowed]), (width + h[back], column[back])]
+        for _ in range(width.bit_length() - 1):
+            for n, (at, c) in enumerate(changed):
+                at = at >> 1
+                nodes[at, c] = np.minimum(nodes[2 * at, c], nodes[2 * at + 1, c])
+                changed[n] = (at, c)
+        column = column[nodes[1, column] != OPEN_END]
+    return parts.T[alive.T], alive.sum(axis=0)
+
+
 class ByteCodec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -97,37 +165,85 @@ class ByteCodec:
         if spec.get("normalizer") or not plain or spec["model"].get("type", "BPE") != "BPE":
             raise ValueError("only byte-level pair encoding with the standard splitting and no normaliser is supported")
         code, vocab = byte_of_char(), spec["model"]["vocab"]
-        self.single = [vocab[c] for c, _ in sorted(code.items(), key=lambda p: p[1])]
+        self.single = np.array([vocab[c] for c, _ in sorted(code.items(), key=lambda p: p[1])], np.int32)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.find_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.bytes_of = {i: bytes(code[c] for c in token) if all(c in code for c in token) else token.encode() for token, i in vocab.items()}
-        self.bytes_of |= {i: token.encode() for token, i in self.added.items()}
+        self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(code[c] for c in token) if all(c in code for c in token) else token.encode()
+        for token, i in self.added.items():
+            self.bytes_of[i] = token.encode()
+        self.table = PairTable(self.merges, len(self.bytes_of))
         self.split = regex.compile(PATTERN)
-        self.pieces = Memo(self._piece, REMEMBERED)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        parts = [self.single[b] for b in piece.encode()]
-        return tuple(PairTree(parts, self.merges).merge_all() if len(parts) > 1 else parts)
 
-    def _plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text)))
-
-    def encode(self, text: str) -> list[int]:
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of different pieces, one after the other, and where each piece's begin."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(sizes, kind="stable")
+        ends = np.searchsorted(sizes[order], [1, *(2**e for e in range(1, 7)), np.iinfo(np.int64).max], "right")
+        tokens, lengths = [], []
+        for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            for at in range(low, high, SIDE_BY_SIDE):
+                some = order[at : min(at + SIDE_BY_SIDE, high)]
+                n = sizes[some]
+                if n[-1] > SHORT:
+                    trees = [PairTree(self.single[np.frombuffer(pieces[x], np.uint8)].tolist(), self.merges).merge_all() for x in some]
+                    tokens += [np.array(t, np.int32) for t in trees]
+                    lengths.append(np.fromiter(map(len, trees), np.int64, len(trees)))
+                    continue
+                height = int(n[-1])
+                filled = np.frombuffer(b"".join(pieces[x].ljust(height, b"\0") for x in some), np.uint8).reshape(len(some), height)
+                parts = np.ascontiguousarray(self.single[filled].T)
+                left, count = (parts[0], np.ones(len(some), np.int64)) if height == 1 else merged_side_by_side(parts, n, self.table)
+                tokens.append(left)
+                lengths.append(count)
+        count = np.empty(len(pieces), np.int64)
+        count[order] = np.concatenate(lengths) if lengths else 0
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(np.concatenate(lengths)) - count[order] if lengths else 0
+        return (np.concatenate(tokens) if tokens else np.zeros(0, np.int32)), np.stack((begin, count))
+
+    def _pieces(self, text: str) -> list[str | int]:
+        """The pieces of a text, an added token as its number."""
         if self.find_added is None:
-            return list(self._plain(text))
+            return self.split.findall(text)
         out, at = [], 0
         for m in self.find_added.finditer(text):
-            out += self._plain(text[at : m.start()])
+            out += self.split.findall(text[at : m.start()])
             out.append(self.added[m.group()])
             at = m.end()
-        out += self._plain(text[at:] if at else text)
-        return out
+        return out + self.split.findall(text[at:]) if at else self.split.findall(text)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The token numbers of each text; the different pieces of a bounded stretch of texts are merged together."""
+        for part in portions(texts):
+            found = [self._pieces(text) for text in part]
+            number: dict[str | int, int] = {}
+            for pieces in found:
+                for piece in pieces:
+                    number.setdefault(piece, len(number))
+            plain = [p.encode() for p in number if not isinstance(p, int)]
+            tokens, spans = self._merged(plain)
+            added = [p for p in number if isinstance(p, int)]
+            where = np.array([not isinstance(p, int) for p in number], bool)
+            begin, count = np.empty(len(number), np.int64), np.ones(len(number), np.int64)
+            begin[where], count[where] = spans
+            begin[~where] = len(tokens) + np.arange(len(added))
+            tokens = np.concatenate((tokens, np.array(added, np.int32)))
+            for pieces in found:
+                at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+                n = count[at]
+                ends = np.cumsum(n)
+                yield tokens[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text])).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
 
@@ -144,7 +260,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = codec(vocabulary)
         for batch in texts:
-            yield pd.Series([np.array(of.encode(text), np.int32) for text in batch])
+            yield pd.Series(list(of.encode_all(batch)))
 
     return id_and_text(docs, id_col, text_col).select("doc_id", encode("text").alias("ids"))
 
@@ -172,8 +288,8 @@ def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         of = codec(vocabulary)
         for batch in texts:
             rows = []
-            for text in chain.from_iterable(portions(batch)):
-                ids = of.encode(text)
+            for found in of.encode_all(batch):
+                ids = found.tolist()
                 written = ",".join(map(str, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(of.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +27,7 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
 
-def portions(texts: pd.Series, most: int = PORTION) -> Iterator[list[str]]:
+def portions(texts: Iterable[str], most: int = PORTION) -> Iterator[list[str]]:
     """The texts of a batch in lists of bounded length in code points, or of one text."""
     part, size = [], 0
     for text in texts:
@@ -42,27 +40,6 @@ def portions(texts: pd.Series, most: int = PORTION) -> Iterator[list[str]]:
         yield part
 
 
-class Memo(dict):
-    """Answers by key, worked out once, in at most about ``most`` bytes; emptied when full. An answer over a hundredth of that is not kept."""
-
-    ENTRY = 120  # a slot of the table and what the objects add
-
-    def __init__(self, work: Callable, most: int):
-        super().__init__()
-        self.work, self.most, self.taken = work, most, 0
-
-    def __missing__(self, key):
-        value = self.work(key)
-        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
-        if size * 100 <= self.most:
-            if self.taken + size > self.most:
-                self.clear()
-                self.taken = 0
-            self[key] = value
-            self.taken += size
-        return value
-
-
 def below(hashed: Column, wanted: int, rows: int) -> Column:
     """True for hashes under a bound that about ``wanted`` of so many rows pass; for all if there are no more."""
     share = min(1.0, wanted / max(rows, 1))
