@@ -45,10 +45,11 @@ def best_briefs(spark, sf):
     return plan.best_brief(plan.usable_briefs(v.briefs(spark, sf)), ["ticker"])
 
 
-def simulated(spark, sf):
+def simulated(spark, sf, current_gates: bool = False):
     results = results_by_ticker(v.settled(spark, sf))
     resolved = resolved_markets(results, v.briefs(spark, sf)).scalar()
-    return plan.signal_backtest(best_briefs(spark, sf), results, v.live(spark, sf), BANKROLL, resolved, v.briefs_anchor(spark, sf))
+    return plan.signal_backtest(best_briefs(spark, sf), results, v.live(spark, sf), BANKROLL, resolved, v.briefs_anchor(spark, sf),
+                                current_gates)
 
 
 @query("signal_backtest", with_ctes(f"""
@@ -62,6 +63,19 @@ def signal_backtest(spark, sf):
     )
 
 
+_GATED = SIGNALS.replace("FROM best LEFT JOIN", f"FROM (SELECT * FROM best WHERE odds BETWEEN 0.25 AND 0.75 AND confidence >= {_SIDE_PRICE} + 0.10::DOUBLE) best LEFT JOIN")
+
+
+@query("gated_backtest", with_ctes(f"""
+SELECT ticker, brief_id, outcome, entry_price, edge AS kelly_edge, fraction AS kelly_fraction, theme, capped_bet,
+       {fx('per')} AS pnl_per_contract, sim_pnl FROM simulated""", v.BRIEFS, v.SETTLED, _GATED))
+def gated_backtest(spark, sf):
+    """The same back-test over briefs that today's price band and edge would let through."""
+    rows = simulated(spark, sf, current_gates=True)
+    return rows.select("ticker", "brief_id", "outcome", "entry_price", "kelly_edge", "kelly_fraction", "theme", "capped_bet",
+                       fixed("pnl_per_contract", 4).alias("pnl_per_contract"), "sim_pnl")
+
+
 _SUM = lambda e: fx(f"coalesce(sum({e}), 0)", 2)
 
 

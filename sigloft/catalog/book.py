@@ -325,6 +325,14 @@ def paper_positions(spark, sf):
     return paper_rows(spark, sf).select("brief_id", "ticker", "side", "shown", "status_rank", "current_price", "unrealized_pnl", "cost_basis", "roi_pct")
 
 
+@query("ranked_positions", with_ctes(f"""
+SELECT brief_id, ticker, shown, {_RANK} AS status_rank, unrealized_pnl FROM paper_shown ORDER BY status_rank, unrealized_pnl DESC NULLS LAST, brief_id""", v.BRIEFS, v.SETTLED, PAPER))
+def ranked_positions(spark, sf):
+    """The simple trades in the order they are shown: by status, the best result first."""
+    rows = paper_rows(spark, sf).orderBy("status_rank", F.col("unrealized_pnl").desc_nulls_last(), "brief_id")
+    return rows.select("brief_id", "ticker", "shown", "status_rank", "unrealized_pnl")
+
+
 @query("paper_summary", with_ctes(f"""
 SELECT {fx("coalesce(sum(unrealized_pnl) FILTER (WHERE shown <> 'CLOSED'), 0)", 2)} AS total_pnl, """ + ", ".join(
     f"count(*) FILTER (WHERE shown = '{s}') AS {s.lower()}" for s in ("OPEN", "TP_READY", "SL_HIT", "SETTLED_WIN", "SETTLED_LOSS", "CLOSED")

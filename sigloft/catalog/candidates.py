@@ -96,6 +96,21 @@ def change_eligibility(spark, sf):
     return rows.select("ticker", "yes_bid", "max_spike_multiplier")
 
 
+_AGAIN = """
+again AS (
+  SELECT l.* FROM unblocked l LEFT JOIN last_seen h ON l.ticker = h.ticker, quotes_anchor
+  WHERE h.ticker IS NULL OR h.analyzed_at IS NULL OR (h.analyzed_at < anchor - INTERVAL 15 MINUTE AND (
+    h.last_price IS NULL OR abs(l.yes_bid - h.last_price) >= 0.05::DOUBLE OR l.max_spike_multiplier >= greatest(coalesce(h.last_spike, 0) * 1.5::DOUBLE, 3.0::DOUBLE)
+    OR h.analyzed_at < anchor - INTERVAL 24 HOUR)))"""
+
+
+@query("candidate_chain", with_ctes(ranked_sql("again"), v.QUOTES, OPEN, BLOCKED, HISTORY, _AGAIN))
+def candidate_chain(spark, sf):
+    """The whole selection in one plan: open and flagged, not blocked, new or changed since the last analysis, three per series, fifty in all."""
+    rows = plan.without_blocked(open_scored(spark, sf), _BLOCKED)
+    return _shown(plan.ranked_candidates(plan.eligible_again(rows, inference_history(spark, sf), v.orders_anchor(spark, sf))))
+
+
 @query("last_inference", with_ctes(
     "SELECT ticker, epoch_us(analyzed_at) // 1000000 AS analyzed_sec, last_price, last_spike FROM last_seen", v.QUOTES, HISTORY))
 def last_inference(spark, sf):

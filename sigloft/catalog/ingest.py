@@ -319,6 +319,75 @@ def drifting_files(spark, sf):
     return back.groupBy("status").agg(F.count("*").alias("markets"), (F.sum("yes_bid") / 100).alias("bid_sum"), F.count("floor_strike").alias("with_strike"))
 
 
+@query("rejected_files", """
+SELECT 'read' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'rejected', count(DISTINCT o_orderpriority) FROM orders""")
+def rejected_files(spark, sf):
+    """Snapshot files beside as many broken ones as there are priorities: the rows read, and the files rejected with their reason."""
+    base = shared_folder(spark, "broken")
+    rows = v.table(spark, sf, "orders").select(F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("ticker"), "o_orderpriority")
+    rows.select("ticker").write.parquet(f"{base}/good")
+    broken = rows.select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("name"), F.lit("no footer").alias("value"))
+    broken.coalesce(1).write.partitionBy("name").text(f"{base}/broken")
+    back, rejected = landed.drifting_and_rejects(spark, base, schemas._struct(_DRIFT), pattern="part-*")
+    return back.agg(F.lit("read").alias("kind"), F.count("ticker").alias("n")).union(rejected.where("error IS NOT NULL").agg(F.lit("rejected"), F.count("*")))
+
+
+@query("landed_rejects", """
+SELECT 'records' AS kind, count(*) FILTER (WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS kept, count(*) FILTER (WHERE doc_id % 7 = 0 OR doc_id % 11 = 0) AS rejected,
+       CAST(sum(n_chars) FILTER (WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS BIGINT) AS checksum, count(*) AS lines FROM documents
+UNION ALL SELECT 'json', count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 13 <> 0), count(*) FILTER (WHERE event_id % 5 = 0 OR event_id % 13 = 0),
+       CAST(sum(user_id) FILTER (WHERE event_id % 5 <> 0 AND event_id % 13 <> 0) AS BIGINT), count(*) FROM events""")
+def landed_rejects(spark, sf):
+    """Lines with too few or too many columns and lines that are no JSON or have another type, kept apart in the scan that reads the rest."""
+    base = shared_folder(spark, "rejects")
+    key = F.col("doc_id")
+    columns = {"GKGRECORDID": key.cast("string"), "Counts": F.col("n_chars").cast("string")}
+    full = F.concat_ws("\t", *[columns.get(c, F.lit("-")) for c in fv.RECORD_COLUMNS])
+    line = F.when(key % 7 == 0, F.concat(key.cast("string"), F.lit("\tcut off"))).when(key % 11 == 0, F.concat(full, F.lit("\tmore\tcolumns"))).otherwise(full)
+    v.table(spark, sf, "documents").select(line.alias("value")).write.text(f"{base}/records")
+    event = F.col("event_id")
+    whole = F.to_json(F.struct("event_id", "user_id"))
+    text = F.when(event % 5 == 0, F.substring(whole, 1, 9)).when(event % 13 == 0, F.concat(F.lit('{"event_id":"none","user_id":'), F.col("user_id").cast("string"), F.lit("}")))
+    v.table(spark, sf, "events").select(text.otherwise(whole).alias("value")).write.text(f"{base}/json")
+    records = landed.records_and_rejects(spark, f"{base}/records", f"{base}/records-parted")
+    events = landed.json_and_rejects(spark, f"{base}/json", schemas._struct("event_id bigint, user_id bigint"), f"{base}/json-parted")
+
+    def counted(kind: str, both, value):
+        kept, rejected = both
+        rows = kept.select(F.lit(1).alias("k"), F.lit(0).alias("r"), value.alias("x")).union(rejected.select(F.lit(0), F.lit(1), F.lit(None).cast("bigint")))
+        return rows.agg(F.lit(kind).alias("kind"), F.sum("k").alias("kept"), F.sum("r").alias("rejected"), F.sum("x").alias("checksum"), F.count("*").alias("lines"))
+
+    return counted("records", records, F.col("Counts").cast("bigint")).union(counted("json", events, F.col("user_id")))
+
+
+@query("two_level_skip", """
+SELECT event_type, count(*) AS n FROM events
+WHERE epoch_us(ts) > (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events) GROUP BY 1""")
+def two_level_skip(spark, sf):
+    """Two landings, one long before the watermark and one after it with rows on both sides: the first is not opened, the rows are cut."""
+    base = shared_folder(spark, "skip")
+    events = v.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    mark = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(F.expr("timestamp_micros((unix_micros(low) + unix_micros(high)) div 2)").alias("mark"))
+    mark.write.parquet(f"{base}/watermark")
+    persisted = spark.read.parquet(f"{base}/watermark")
+    at = persisted.agg(F.max("mark")).scalar()
+    old = F.col("ts") <= at - F.expr("INTERVAL 1 HOUR")
+    for name, part in (("old", old), ("new", ~old)):
+        events.where(part).write.parquet(f"{base}/landed/{name}")
+    seconds = persisted.select(F.unix_seconds("mark")).first()[0]
+    _written_at(spark, f"{base}/landed/old", seconds - 3 * 3600)
+    fresh = landed.read_behind(spark, f"{base}/landed", schemas._struct("event_id bigint, ts timestamp, event_type string"), "ts", persisted)
+    return fresh.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _written_at(spark, folder: str, seconds: int) -> None:
+    """Sets the time of writing of a folder's files, as if they had landed then."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(place):
+        store.setTimes(status.getPath(), seconds * 1000, -1)
+
+
 @query("recent_files", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
 def recent_files(spark, sf):
     """Three snapshots land one after the other beside ``latest.parquet``; the newest two are read."""
@@ -386,3 +455,45 @@ def emptiness_probe(spark, sf):
         probe = orders.where(F.col("o_orderstatus") == status).limit(1).agg(F.lit(status).alias("status"), (F.count("*") > 0).alias("has_rows"))
         found = probe if found is None else found.union(probe)
     return found
+
+
+@query("old_record_columns", """
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents)
+SELECT 'r-' || doc_id AS record_id, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]') AND length(x) > 3)) AS persons,
+       len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z]') AND length(x) >= 9)) AS themes,
+       len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z]') AND length(x) BETWEEN 7 AND 8)) AS orgs,
+       len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z]') AND length(x) = 6)) AS locs, 0::BIGINT AS names FROM t""")
+def old_record_columns(spark, sf):
+    """Records of the older feed, whose list columns have the names without a version."""
+    old = v.raw_records(spark, sf)
+    for name in ("Persons", "Themes", "Organizations", "Locations"):
+        old = old.withColumnRenamed(f"V2{name}", name)
+    rows = enrich.clean_records(old)
+    return rows.select("record_id", *[F.size(c).cast("bigint").alias(c) for c in ("persons", "themes", "orgs", "locs", "names")])
+
+
+@query("layer_projection", """
+SELECT 'T' || o_orderkey AS ticker, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 64) / 64 END AS yes_bid, 0.5::DOUBLE AS open_interest_fp, o_orderstatus AS status,
+       CASE WHEN o_orderkey % 4 <> 0 THEN epoch_us(o_orderdate) // 1000000 END AS close_sec, epoch_us(o_orderdate) // 1000000 AS ingested_sec, true AS strikes_missing FROM orders""")
+def layer_projection(spark, sf):
+    """Landed text columns under the declared snapshot layer: prices and times cast, unreadable ones null, missing columns typed or at a default."""
+    key, at = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    landed_rows = v.table(spark, sf, "orders").select(
+        F.concat(F.lit("T"), key.cast("string")).alias("ticker"), F.when(key % 6 == 0, "n/a").otherwise((key % 64 / 64).cast("string")).alias("yes_bid"),
+        F.col("o_orderstatus").alias("status"), F.when(key % 4 == 0, "soon").otherwise(at).alias("close_time"), at.alias("ingested_at"), F.lit("x").alias("not in the layer"),
+    )
+    rows = schemas.conform(landed_rows, schemas.SNAPSHOT, {"open_interest_fp": 0.5})
+    missing = F.col("floor_strike").isNull() & F.col("cap_strike").isNull() & F.col("series_ticker").isNull()
+    return rows.select("ticker", "yes_bid", "open_interest_fp", "status", F.unix_seconds("close_time").alias("close_sec"),
+                       F.unix_seconds("ingested_at").alias("ingested_sec"), missing.alias("strikes_missing"))
+
+
+@query("newest_snapshot", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
+def newest_snapshot(spark, sf):
+    """Of three snapshots the one that landed last is read."""
+    base = shared_folder(spark, "snapshots")
+    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for status in ("O", "F", "P"):
+        rows.where(F.col("o_orderstatus") == status).write.parquet(f"{base}/{status}")
+    newest = spark.read.parquet(*landed.newest_folders(spark, base, 1, "part-*.parquet"))
+    return newest.groupBy("o_orderstatus").agg(F.count("*").alias("n"))

@@ -11,8 +11,10 @@ from sigloft.functions.numeric import fixed
 from sigloft.functions.text import (
     first_date, first_number, record_sentence, runs_of, scrub_number, scrub_text, sentiment_label, unpack_names, unpack_places,
 )
-from sigloft.plans import enrich, mentions
+from sigloft.plans import enrich, lexicon as lexicon_plan, mentions
+from sigloft.operators.keyed import latest_per_key
 from sigloft.operators.velocity import cross_source
+from sigloft.plans.serving import top_rows
 
 
 def in_list(words) -> str:
@@ -152,17 +154,75 @@ doc_words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(t
 doc_sum AS (SELECT doc_id, sum(valence) AS s FROM doc_words JOIN lexicon USING (word) GROUP BY doc_id)"""
 
 
+def _lexicon(spark, sf):
+    words = v.table(spark, sf, "benchmark").select(F.explode(runs_of(F.col("text"), "[a-zA-Z0-9]+")).alias("word"))
+    return words.select(F.lower("word").alias("word")).distinct().withColumn("valence", ((F.ascii("word") * 7 + F.length("word") * 3) % 17 - 8) / 4)
+
+
 @query("lexicon_sentiment", with_ctes(f"""
 SELECT doc_id, {fx('s / sqrt(s * s + 15)', 6)} AS sentiment_score,
        CASE WHEN s / sqrt(s * s + 15) >= 0.05 THEN 'Positive' WHEN s / sqrt(s * s + 15) <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label
 FROM (SELECT doc_id, coalesce(s, 0) AS s FROM documents LEFT JOIN doc_sum USING (doc_id))""", _LEXICON))
 def lexicon_sentiment(spark, sf):
     """Documents scored with a word list (here: the benchmark words with a valence by rule)."""
-    words = v.table(spark, sf, "benchmark").select(F.explode(runs_of(F.col("text"), "[a-zA-Z0-9]+")).alias("word"))
-    lexicon = words.select(F.lower("word").alias("word")).distinct().withColumn(
-        "valence", ((F.ascii("word") * 7 + F.length("word") * 3) % 17 - 8) / 4
-    )
-    scored = enrich.lexicon_sentiment(v.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", lexicon)
+    scored = enrich.lexicon_sentiment(v.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _lexicon(spark, sf))
+    return scored.withColumn("sentiment_score", fixed("sentiment_score", 6))
+
+
+_DENY = (*fv.NEGATIONS, "of", "die", "que")
+_DEGREES = fv.DEGREES | {"in": fv.MORE, "on": fv.LESS, "le": fv.MORE, "zu": fv.LESS}
+_CONTRAST = "and"
+
+
+def _any_of(word: str, words) -> str:
+    return f"coalesce({word} IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "), false)"
+
+
+def _caps(word: str) -> str:
+    return f"(regexp_matches({word}, '[A-Z]') AND NOT regexp_matches({word}, '[a-z\u00df-\u00ff]'))"
+
+
+def _before(k: int) -> str:
+    """One step of the rules in SQL: from valence v{k-1} to v{k}, by the word k places before."""
+    word, old, far = f"lower(w{k})", f"v{k - 1}", fv.DISTANCE[k - 1]
+    degree = f"CASE WHEN {_any_of(word, [w for w, x in _DEGREES.items() if x > 0])} THEN {fv.MORE}::DOUBLE WHEN {_any_of(word, [w for w, x in _DEGREES.items() if x < 0])} THEN {fv.LESS}::DOUBLE END"
+    loud = f"CASE WHEN {_caps(f'w{k}')} AND emphasis THEN CASE WHEN {old} > 0 THEN {fv.CAPITALS}::DOUBLE ELSE -{fv.CAPITALS}::DOUBLE END ELSE 0 END"
+    step = f"({old} + coalesce((CASE WHEN {old} < 0 THEN -({degree}) ELSE {degree} END + {loud}) * {far}::DOUBLE, 0))"
+    nearer = [f"lower(w{j})" for j in range(1, k)]
+    special = "" if k == 1 else (
+        f"WHEN coalesce({word} = 'never', false) AND ({' OR '.join(_any_of(w, ('so', 'this')) for w in nearer)}) THEN {step} * {fv.NEVER_SO}::DOUBLE "
+        f"WHEN coalesce({word} = 'without', false) AND ({' OR '.join(_any_of(w, ('doubt',)) for w in nearer)}) THEN {step} ")
+    deny = f"WHEN {_any_of(word, _DENY)} OR coalesce(contains({word}, 'n''t'), false) THEN {step} * ({fv.DENIAL}::DOUBLE)"
+    return f"CASE WHEN w{k} IS NULL OR known{k} THEN {old} {special} {deny} ELSE {step} END AS v{k}"
+
+
+_SENTENCES = f"""
+split AS (
+  SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN length(trim(x, '{fv.SIGNS.replace("'", "''")}')) <= 2 THEN x ELSE trim(x, '{fv.SIGNS.replace("'", "''")}') END) AS w FROM documents),
+whole AS (SELECT *, nullif(list_position(list_transform(w, lambda x: lower(x)), '{_CONTRAST}'), 0) AS turn, len(list_filter(w, lambda x: {_caps('x')})) AS loud FROM split),
+placed AS (SELECT doc_id, turn, loud > 0 AND loud < len(w) AS emphasis, i, w[i] AS w0, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2,
+    CASE WHEN i > 3 THEN w[i - 3] END AS w3 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM whole)),
+met AS (SELECT p.*, valence FROM placed p JOIN lexicon l ON l.word = lower(p.w0)),
+neighbours AS (SELECT *, lag(i, 1) OVER o AS p1, lag(i, 2) OVER o AS p2, lag(i, 3) OVER o AS p3 FROM met WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+known AS (SELECT *, {', '.join(f"coalesce(p1 = i - {k}, false) OR coalesce(p2 = i - {k}, false) OR coalesce(p3 = i - {k}, false) AS known{k}" for k in (1, 2, 3))},
+    CASE WHEN {_caps('w0')} AND emphasis THEN valence + CASE WHEN valence > 0 THEN {fv.CAPITALS}::DOUBLE ELSE -{fv.CAPITALS}::DOUBLE END ELSE valence END AS v0 FROM neighbours),
+s1 AS (SELECT *, {_before(1)} FROM known), s2 AS (SELECT *, {_before(2)} FROM s1), s3 AS (SELECT *, {_before(3)} FROM s2),
+summed AS (SELECT doc_id, sum(floor((CASE WHEN coalesce(lower(w1) = 'least', false) AND NOT known1 AND NOT {_any_of('lower(w2)', ('at', 'very'))} THEN v3 * ({fv.DENIAL}::DOUBLE) ELSE v3 END)
+    * CASE WHEN i < turn THEN 0.5 WHEN i > turn THEN 1.5 ELSE 1.0 END::DOUBLE * 1e6::DOUBLE + 0.5)::BIGINT) AS total FROM s3 GROUP BY doc_id),
+pushed AS (SELECT doc_id, coalesce(total, 0)::DOUBLE / 1e6 AS s, least(length(text) - length(replace(text, '!', '')), 4) * {fv.EXCLAMATION}::DOUBLE
+    + CASE WHEN length(text) - length(replace(text, '?', '')) > 3 THEN {fv.MANY_QUESTIONS}::DOUBLE
+           WHEN length(text) - length(replace(text, '?', '')) > 1 THEN (length(text) - length(replace(text, '?', ''))) * {fv.QUESTION}::DOUBLE ELSE 0 END AS marks
+  FROM documents LEFT JOIN summed USING (doc_id)),
+scores AS (SELECT doc_id, s / sqrt(s * s + 15) AS score FROM (SELECT doc_id, CASE WHEN s > 0 THEN s + marks WHEN s < 0 THEN s - marks ELSE 0 END AS s FROM pushed))"""
+
+
+@query("sentence_sentiment", with_ctes(f"""
+SELECT doc_id, {fx('score', 6)} AS sentiment_score, CASE WHEN score >= 0.05 THEN 'Positive' WHEN score <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label FROM scores""",
+    _LEXICON.split("doc_words AS")[0].rstrip().rstrip(","), _SENTENCES))
+def sentence_sentiment(spark, sf):
+    """Documents scored by the position rules. Beside the published words some frequent ones of the documents deny or tell a degree, so that the rules have work."""
+    scored = lexicon_plan.sentence_sentiment(v.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", _lexicon(spark, sf), _DENY, _DEGREES, _CONTRAST)
     return scored.withColumn("sentiment_score", fixed("sentiment_score", 6))
 
 
@@ -179,6 +239,15 @@ def top_impact(spark, sf):
     return v.tones(spark, sf).select("event_id", "code", "impact", "tone").orderBy(F.abs("impact").desc(), "event_id").limit(10)
 
 
+@query("top_deduplicated", with_ctes("""
+SELECT event_id, code, user_id, impact FROM (SELECT * FROM tones QUALIFY row_number() OVER (PARTITION BY user_id, code ORDER BY sec DESC, event_id DESC) = 1)
+ORDER BY abs(impact) DESC, event_id LIMIT 20""", v.TONES))
+def top_deduplicated(spark, sf):
+    """The twenty strongest events after each user's events of a code are reduced to the newest."""
+    once = latest_per_key(v.tones(spark, sf), ["user_id", "code"], "sec", "event_id")
+    return top_rows(once.select("event_id", "code", "user_id", "impact"), [F.abs("impact").desc(), F.col("event_id")], 20)
+
+
 @query("date_multi_parse", f"""
 SELECT doc_id, CASE doc_id % 8 WHEN 6 THEN {v.EPOCH} + 97 * doc_id WHEN 7 THEN NULL
   WHEN 4 THEN ({v.EPOCH} + 97 * doc_id) // 86400 * 86400 WHEN 5 THEN ({v.EPOCH} + 97 * doc_id) // 86400 * 86400

@@ -8,8 +8,11 @@ from sigloft.catalog import views as v
 from sigloft.catalog.registry import fx, query, with_ctes
 from sigloft.functions.numeric import fixed
 from sigloft.operators.keyed import top_per_key
+from sigloft.operators.vector_index import build_index, calibrated_probes, indexed_nearest
 from sigloft.operators.vectors import nearest_documents
 from sigloft.plans import retrieval as plan
+from sigloft.session import shared_folder, stored
+from sigloft.sources import tables
 
 
 def _inputs(spark, sf):
@@ -25,6 +28,36 @@ def topk_similarity(spark, sf):
     return near.select("query_id", "collection", "doc_id", fixed(1 - F.col("distance") / 2, 6).alias("similarity"))
 
 
+_TOPK = f"""
+SELECT query_id, collection, doc_id, {fx('1 - distance / 2', 6)} AS similarity FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id, collection ORDER BY distance, doc_id) <= 5"""
+
+
+def _index(spark, sf):
+    """An index of all vectors with about as many lists as the square root of their number."""
+    rows = _inputs(spark, sf)[1]
+    return build_index(rows, max(1, round(rows.count() ** 0.5)), shared_folder(spark, "vector-index"))
+
+
+@query("indexed_similarity", with_ctes(_TOPK, v.VECTORS))
+def indexed_similarity(spark, sf):
+    """The same five nearest documents from an inverted-file index, the lists that may still hold a nearer one included."""
+    near = indexed_nearest(_index(spark, sf), _inputs(spark, sf)[0], 5, 8, complete=True)
+    return near.select("query_id", "collection", "doc_id", fixed(1 - F.col("distance") / 2, 6).alias("similarity"))
+
+
+@query("probed_similarity", with_ctes(f"SELECT query_id, collection, n >= 5 AS filled, true AS recalled FROM (SELECT query_id, collection, count(*) AS n FROM ({_TOPK}) GROUP BY 1, 2)", v.VECTORS))
+def probed_similarity(spark, sf):
+    """Per query and collection, whether as many lists as were found to be needed give at least 95 of 100 of the exact five nearest, over all queries."""
+    queries, rows = _inputs(spark, sf)
+    index = _index(spark, sf)
+    exact = nearest_documents(queries, rows, 5).select("query_id", "collection", "doc_id")
+    probed = indexed_nearest(index, queries, 5, calibrated_probes(index, queries, 5, 0.95)).select("query_id", "collection", "doc_id", F.lit(1).alias("hit"))
+    met = stored(exact.join(probed, ["query_id", "collection", "doc_id"], "left"), "recall")
+    recall = met.agg((F.count("hit") / F.count("*") >= 0.95)).scalar()
+    return met.groupBy("query_id", "collection").agg((F.count("*") >= 5).alias("filled")).withColumn("recalled", recall)
+
+
 def _window(seconds: int, k: int, name: str) -> str:
     return f"""
 {name} AS (
@@ -110,3 +143,18 @@ def doc_sentences(spark, sf):
     rows = plan.embed_documents(_articles(spark, sf), "news")
     return rows.select("id", "window", "document_md5", F.md5("model_input").alias("model_input_md5"), "ingested_timestamp",
                        "published_timestamp", "source", "sentiment")
+
+
+@query("embedding_sync", with_ctes("""
+SELECT 'news_' || link AS id, w AS "window", md5(d) AS document_md5, md5(substr(d, w * 2000 + 1, 2000)) AS model_input_md5
+FROM (SELECT *, unnest(range(greatest(1, (length(d) + 1999) // 2000))) AS w FROM (SELECT link, 'Article ' || link || ' | ' || title AS d FROM articles))""", v.ARTICLES))
+def embedding_sync(spark, sf):
+    """The store of windows after two runs in three batches each: first with half of the texts longer than they are now, then as they are."""
+    path = shared_folder(spark, "embedding-store")
+    rows = _articles(spark, sf)
+    size = rows.agg(F.ceil(F.count("*") / 3)).first()[0]
+    longer = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", *["full_text"] * 3)).otherwise(F.col("full_text"))
+    for feed in (rows.withColumn("full_text", longer), rows):
+        plan.sync_embeddings(spark, feed, "news", path, size)
+    stored_rows = tables.read_buckets(spark, path)
+    return stored_rows.select("id", "window", "document_md5", F.md5("model_input").alias("model_input_md5"))

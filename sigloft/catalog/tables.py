@@ -68,6 +68,17 @@ def merge_upsert(spark, sf):
     return tables.read(spark, path)
 
 
+@query("bucket_merge", _LATEST_ORDER)
+def bucket_merge(spark, sf):
+    """The same merge on a table laid out by a hash of the customer: only the buckets of the pending orders' customers are written again."""
+    path = shared_folder(spark, "bucket-merge")
+    rows = _orders(spark, sf)
+    for pending in (False, True):
+        part = rows.where((F.col("o_orderstatus") == "P") == pending)
+        tables.merge_buckets(spark, path, part, ["o_custkey"], ["sec", "o_orderkey"])
+    return tables.read_buckets(spark, path)
+
+
 _NEWEST_ORDER = _LATEST_ORDER.replace("o_orderstatus = 'P' DESC, ", "")
 
 
@@ -139,6 +150,20 @@ def keyed_update(spark, sf):
     return tables.read(spark, path).select("o_orderkey", "status", "closed_at")
 
 
+@query("bucket_update", """
+SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' AND o_orderstatus = 'O' THEN 'closed' ELSE o_orderstatus END AS status,
+       CASE WHEN c_mktsegment = 'BUILDING' AND o_orderstatus = 'O' THEN 1700000000::BIGINT END AS closed_at FROM orders JOIN customer ON c_custkey = o_custkey""")
+def bucket_update(spark, sf):
+    """The open orders of one market segment are closed by key, bucket by bucket."""
+    path = shared_folder(spark, "bucket-update")
+    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("bigint").alias("closed_at"))
+    tables.merge_buckets(spark, path, rows, ["o_orderkey"], ["o_custkey"])
+    segment = v.table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    tables.update_buckets(spark, path, rows.join(segment, "o_custkey", "left_semi"), ["o_orderkey"], F.col("status") == "O",
+                          {"status": F.lit("closed"), "closed_at": F.lit(1_700_000_000)})
+    return tables.read_buckets(spark, path).select("o_orderkey", "status", "closed_at")
+
+
 @query("result_csv", f"SELECT o_orderstatus, count(*) AS n, {fx('sum(o_totalprice)', 0)} AS total FROM orders GROUP BY 1")
 def result_csv(spark, sf):
     """Results written as CSV files with headers of their own and read back united by name."""
@@ -183,6 +208,20 @@ def compact_history(spark, sf):
     return spark.read.parquet(f"{base}/compacted").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("checksum"))
 
 
+@query("compact_by_size", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS checksum, true AS packed FROM orders GROUP BY 1")
+def compact_by_size(spark, sf):
+    """Small files packed into files of a target size, large ones left where they are; ``packed``: there are fewer files than before."""
+    path = f"{shared_folder(spark, 'by-size')}/history"
+    rows = _orders(spark, sf)
+    for status in ("F", "O", "P"):
+        tables.append(rows.where(F.col("o_orderstatus") == status).repartition(12), path)
+    files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").count()
+    before = files()
+    tables.compact_by_size(spark, path, 4 << 20)
+    packed = F.lit(files() < before)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("checksum"), F.first(packed).alias("packed"))
+
+
 @query("partitioned_append", """
 SELECT epoch_us(date_trunc('month', o_orderdate)) // 1000000 AS month_sec, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
 def partitioned_append(spark, sf):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.numeric import blank_to_null
@@ -217,39 +214,89 @@ def stated_side(side: Column, verdict: Column) -> Column:
     return F.when(named.isin("yes", "no"), named).when(text.contains("buy no"), "no").when(text.contains("buy yes"), "yes")
 
 
-def _flatten_udf():
-    """Nested JSON text to one readable line. Nesting depth is open, so this takes Arrow batches, not column expressions."""
-    first_keys, tag_keys = tuple(fv.TEXT_KEYS), tuple(fv.TAG_KEYS)
+def _looks_nested(text: Column) -> Column:
+    return F.coalesce(text.rlike("^\\s*[{\\[]"), F.lit(False))
 
-    def flat(value) -> str:
-        if isinstance(value, str):
-            if value.strip()[:1] in ("{", "["):
-                try:
-                    return flat(json.loads(value))
-                except ValueError:
-                    return value
-            return value
-        if isinstance(value, dict):
-            chosen = next((k for k in first_keys if k in value), None)
-            if chosen is not None:
-                return flat(value[chosen])
-            shown = (f"[{str(v).upper()}]" if k in tag_keys else flat(v) for k, v in value.items())
-            return " ".join(s for s in shown if s)
-        if isinstance(value, list):
-            return " ".join(flat(v) for v in value)
-        return str(value)
 
-    @pandas_udf("string")
-    def flatten(texts: pd.Series) -> pd.Series:
-        return texts.map(flat, na_action="ignore")
+def _as_piece(text: Column, is_open: Column, in_list: Column) -> Column:
+    return F.struct(text.alias("text"), is_open.alias("open"), in_list.alias("in_list"))
 
-    return flatten
+
+def _piece(raw: Column, typed: Column, in_list: Column) -> Column:
+    """A value inside JSON as struct(text, open, in_list); ``open``: it is nested and not taken apart yet."""
+    kind = F.coalesce(F.schema_of_variant(typed), F.lit("VOID"))
+    shown = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY") | ((kind == "STRING") & _looks_nested(raw))
+    return _as_piece(shown, F.coalesce(nested, F.lit(False)), in_list)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _object_pieces(text: Column, in_list: Column) -> Column:
+    """The value of the first telling key of an object, else all its values, tags in brackets and blanks left out."""
+
+    def of(both: Column) -> Column:
+        raw, typed = both["raw"], both["typed"]
+        telling = F.filter(F.array(*map(F.lit, fv.TEXT_KEYS)), lambda k: F.map_contains_key(raw, k))
+        only = in_list & (F.size(F.map_keys(raw)) == 1)
+
+        def value(key: Column) -> Column:
+            piece = _piece(raw[key], typed[key], only)
+            tag = _as_piece(F.concat(F.lit("["), F.upper(piece["text"]), F.lit("]")), F.lit(False), F.lit(False))
+            return F.when(key.isin(*fv.TAG_KEYS), tag).otherwise(piece)
+
+        values = F.filter(F.transform(F.map_keys(raw), value), lambda p: p["open"] | (p["text"] != ""))
+        blank = F.array(_as_piece(F.lit(""), F.lit(False), in_list))
+        first = F.get(telling, F.lit(0))
+        return (
+            F.when(F.size(telling) > 0, F.array(_piece(raw[first], typed[first], in_list)))
+            .when(F.size(values) == 0, blank).otherwise(values)
+        )
+
+    return _bound(F.struct(F.from_json(text, "map<string,string>").alias("raw"), F.from_json(text, "map<string,variant>").alias("typed")), of)
+
+
+def _list_pieces(text: Column, in_list: Column) -> Column:
+    """The elements of a list, in order; a list without any is one blank."""
+
+    def of(both: Column) -> Column:
+        pieces = F.zip_with(both["raw"], both["typed"], lambda r, t: _piece(r, t, F.lit(True)))
+        return F.when(F.size(pieces) == 0, F.array(_as_piece(F.lit(""), F.lit(False), in_list))).otherwise(pieces)
+
+    return _bound(F.struct(F.from_json(text, "array<string>").alias("raw"), F.from_json(text, "array<variant>").alias("typed")), of)
+
+
+def _one_level(pieces: Column) -> Column:
+    """Every open piece replaced by what it consists of; one that is no JSON after all stays as it is."""
+
+    def apart(p: Column) -> Column:
+        text, in_list = p["text"], p["in_list"]
+        inside = F.when(F.ltrim(text).startswith("{"), _object_pieces(text, in_list)).otherwise(_list_pieces(text, in_list))
+        plain = F.array(_as_piece(text, F.lit(False), in_list))
+        return F.when(~p["open"], F.array(p)).when(F.try_parse_json(text).isNull(), plain).otherwise(inside)
+
+    return F.flatten(F.transform(pieces, apart))
 
 
 def readable(text: Column) -> Column:
-    """Only text that looks like JSON takes the Python path."""
-    looks_nested = F.substring(F.trim(text), 1, 1).isin("{", "[")
-    return F.when(looks_nested, _flatten_udf()(F.when(looks_nested, text))).otherwise(text)
+    """Nested JSON text, also JSON inside JSON strings, to one readable line; other text as it is.
+
+    The text is a list of pieces that is taken apart level by level until none is open. A level costs at least one opening bracket, so
+    their number bounds the rounds; rounds after the last level do nothing.
+    """
+    start = F.array(_as_piece(text, F.lit(True), F.lit(True)))
+    rounds = F.sequence(F.lit(1), F.length(text) - F.length(F.translate(text, "{[", "")) + 1)
+
+    def step(state: Column, _: Column) -> Column:
+        deeper = _bound(_one_level(state["pieces"]), lambda p: F.struct(p.alias("pieces"), F.exists(p, lambda x: x["open"]).alias("open")))
+        return F.when(state["open"], deeper).otherwise(state)
+
+    done = F.reduce(rounds, F.struct(start.alias("pieces"), F.lit(True).alias("open")), step, lambda s: s["pieces"])
+    shown = F.filter(done, lambda p: p["in_list"] | (p["text"] != ""))
+    return F.when(_looks_nested(text), F.array_join(F.transform(shown, lambda p: p["text"]), " ")).otherwise(text)
 
 
 def answer_fields(answer: Column) -> Column:

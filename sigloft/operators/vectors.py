@@ -28,17 +28,25 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
     With a window only documents in [as_of - window, as_of] count; without one all documents do. A document never
     answers a query of the same id.
     """
-    q_parts, d_parts = F.ceil(F.count("*") / query_block), F.ceil(F.count("*") / document_block)
     if window is None:
-        parts = {"_bucket": F.lit(0).cast("bigint"), "_q_parts": queries.agg(q_parts).scalar(), "_d_parts": documents.agg(d_parts).scalar()}
-        asks, docs = queries.withColumns(parts), documents.withColumns(parts)
-    else:
-        low, high = F.floor((F.col("as_of") - window) / window), F.floor(F.col("as_of") / window)
-        asks = queries.withColumn("_bucket", F.explode(F.array_distinct(F.array(low, high))))
-        docs = documents.withColumn("_bucket", F.floor(F.col("doc_time") / window))
-        asked, stocked = asks.groupBy("_bucket").agg(q_parts.alias("_q_parts")), docs.groupBy("_bucket").agg(d_parts.alias("_d_parts"))
-        blocks = F.broadcast(asked.join(stocked, "_bucket"))  # one row per window length of the table's time span
-        asks, docs = asks.join(blocks, "_bucket"), docs.join(blocks, "_bucket")
+        one = F.lit(0).cast("bigint")
+        return nearest_in_buckets(queries.withColumn("_bucket", one), documents.withColumn("_bucket", one), k, None, document_block, query_block)
+    low, high = F.floor((F.col("as_of") - window) / window), F.floor(F.col("as_of") / window)
+    asks = queries.withColumn("_bucket", F.explode(F.array_distinct(F.array(low, high))))
+    docs = documents.withColumn("_bucket", F.floor(F.col("doc_time") / window))
+    return nearest_in_buckets(asks, docs, k, window, document_block, query_block)
+
+
+def nearest_in_buckets(asks: DataFrame, docs: DataFrame, k: int, window: int | None = None, document_block: int = DOCUMENT_BLOCK,
+                       query_block: int = QUERY_BLOCK) -> DataFrame:
+    """As :func:`nearest_documents` for queries and documents that meet by a ``_bucket`` (bigint) of theirs only.
+
+    How many blocks a bucket is cut into is one row per bucket; Spark chooses how to join it by its size.
+    """
+    q_parts, d_parts = F.ceil(F.count("*") / query_block), F.ceil(F.count("*") / document_block)
+    asked, stocked = asks.groupBy("_bucket").agg(q_parts.alias("_q_parts")), docs.groupBy("_bucket").agg(d_parts.alias("_d_parts"))
+    blocks = asked.join(stocked, "_bucket")
+    asks, docs = asks.join(blocks, "_bucket"), docs.join(blocks, "_bucket")
 
     ask_blocks = (
         asks.withColumn("_q", F.pmod(F.xxhash64("query_id"), "_q_parts"))

@@ -50,35 +50,69 @@ def exit_order() -> list[Column]:
             F.col("unrealized_pnl").desc(), F.col("ticker"), F.col("side")]
 
 
-def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | None = None,
-                live: DataFrame | None = None, take_profit: float = fv.TAKE_PROFIT_ROI,
-                stop_loss: float = fv.STOP_LOSS_ROI, from_entry: bool = True, fees: bool = False) -> DataFrame:
-    """Closes each trade at the first snapshot that touches a threshold, else by settlement, else marks it open.
+#: Width of the time blocks that quotes are summed up by, in the unit of their positions (a day of microseconds).
+BLOCK = 86_400 * 1_000_000
 
-    ``trades``: trade_id, ticker (at most one trade each), side, entry_price, qty, entry_pos. ``snapshots``: ticker, pos, bid, ask.
-    ``settled``: ticker, result. ``live``: ticker, live_bid, live_ask. Take-profit is tested before stop-loss within one
-    snapshot and the exit is at the threshold price. Snapshots are folded per trade twice (first hit, then the best ROI up
-    to it); both folds combine on the map side, so a trade with very many snapshots costs no large task.
+
+def quote_blocks(snapshots: DataFrame, width: int = BLOCK) -> DataFrame:
+    """``ticker, block`` with the highest and lowest bid and ask of every market and stretch of time."""
+    return snapshots.groupBy("ticker", F.floor(F.col("pos") / width).alias("block")).agg(
+        F.max("bid").alias("high_bid"), F.min("bid").alias("low_bid"), F.max("ask").alias("high_ask"), F.min("ask").alias("low_ask")
+    )
+
+
+def first_hits(trades: DataFrame, snapshots: DataFrame, take_profit: float, stop_loss: float, from_entry: bool, width: int = BLOCK) -> DataFrame:
+    """``trade_id, exit_pos, _kind, _peak``: the first snapshot of each trade's market that touches a threshold, and the best ROI up to it.
+
+    A trade walks the summaries of its market's blocks: the extremes of a block tell exactly whether one of its snapshots crosses, and its
+    best ROI. Snapshots are only joined for at most two blocks of a trade, by (ticker, block): the first that crosses and, ``from_entry``,
+    the one of the entry, of which only the part behind the entry counts. So the rows that meet a trade don't grow with the history, and a
+    market with most snapshots is spread over its blocks.
     """
-    seen = trades.select("trade_id", "ticker", "side", "entry_price", "entry_pos").join(snapshots, "ticker")
+    side, entry = F.col("side"), F.col("entry_price")
+    held = trades.select("trade_id", "ticker", "side", "entry_price", "entry_pos").withColumn("entry_block", F.floor(F.col("entry_pos") / width))
+    walked = held.join(quote_blocks(snapshots, width), "ticker")
+    if from_entry:
+        walked = walked.where(F.col("block") > F.col("entry_block"))
+    walked = walked.select("trade_id", "block", roi(side_bid(side, F.col("high_bid"), F.col("low_ask")), entry).alias("best"),
+                           roi(side_bid(side, F.col("low_bid"), F.col("high_ask")), entry).alias("worst"))
+    crosses = (F.col("best") >= take_profit) | (F.col("worst") <= -stop_loss)
+    crossed = walked.where(crosses).groupBy("trade_id").agg(F.min("block").alias("crossed"))
+
+    wanted = F.array("entry_block", "crossed") if from_entry else F.array("crossed")
+    opened = held.join(crossed, "trade_id", "left").withColumn("block", F.explode(wanted)).where("block IS NOT NULL")
+    rows = opened.join(snapshots.select("ticker", "pos", "bid", "ask", F.floor(F.col("pos") / width).alias("block")), ["ticker", "block"])
     if from_entry:
-        seen = seen.where(F.col("pos") >= F.col("entry_pos"))
-    walked = seen.withColumn("_roi", roi(side_bid(F.col("side"), F.col("bid"), F.col("ask")), F.col("entry_price")))
-    won, lost = F.col("_roi") >= take_profit, F.col("_roi") <= -stop_loss
+        rows = rows.where(F.col("pos") >= F.col("entry_pos"))
+    rows = rows.select("trade_id", "pos", roi(side_bid(side, F.col("bid"), F.col("ask")), entry).alias("best"))
+    won, lost = F.col("best") >= take_profit, F.col("best") <= -stop_loss
     # plain minima keep the fold in a hash aggregate; at one instant the take-profit comes first
-    touches = walked.where(won | lost).groupBy("trade_id").agg(
+    touches = rows.where(won | lost).groupBy("trade_id").agg(
         F.min(F.when(won, F.col("pos"))).alias("_won"), F.min(F.when(lost, F.col("pos"))).alias("_lost")
     )
     profit = F.col("_won").isNotNull() & (F.col("_lost").isNull() | (F.col("_won") <= F.col("_lost")))
     hits = touches.select(
         "trade_id", F.least("_won", "_lost").alias("exit_pos"), F.when(profit, "PROFIT_EXIT").otherwise("STOP_EXIT").alias("_kind")
     )
-    peaks = (
-        walked.select("trade_id", "pos", "_roi").join(hits, "trade_id", "left")
-        .where(F.col("exit_pos").isNull() | (F.col("pos") <= F.col("exit_pos")))
-        .groupBy("trade_id").agg(F.max("_roi").alias("_peak"))
-    )
-    joined = trades.join(hits, "trade_id", "left").join(peaks, "trade_id", "left")
+    # whole blocks before the exit count by their extremes, the opened ones by their rows
+    whole = walked.select("trade_id", "best", (F.col("block") + 1).alias("until"), F.lit(None).cast("long").alias("pos"))
+    parts = rows.select("trade_id", "best", F.lit(None).cast("long").alias("until"), "pos")
+    before = F.col("exit_pos").isNull() | (F.col("until") <= F.floor(F.col("exit_pos") / width)) | (F.col("pos") <= F.col("exit_pos"))
+    peaks = whole.unionByName(parts).join(hits, "trade_id", "left").where(before).groupBy("trade_id").agg(F.max("best").alias("_peak"))
+    return hits.join(peaks, "trade_id", "full")
+
+
+def first_touch(trades: DataFrame, snapshots: DataFrame, settled: DataFrame | None = None,
+                live: DataFrame | None = None, take_profit: float = fv.TAKE_PROFIT_ROI,
+                stop_loss: float = fv.STOP_LOSS_ROI, from_entry: bool = True, fees: bool = False, width: int = BLOCK) -> DataFrame:
+    """Closes each trade at the first snapshot that touches a threshold, else by settlement, else marks it open.
+
+    ``trades``: trade_id, ticker, side, entry_price, qty, entry_pos; any number of trades per ticker. ``snapshots``: ticker, pos, bid, ask.
+    ``settled``: ticker, result. ``live``: ticker, live_bid, live_ask. Take-profit is tested before stop-loss within one
+    snapshot and the exit is at the threshold price. See :func:`first_hits` for how the snapshots are met.
+    """
+    hits = first_hits(trades, snapshots, take_profit, stop_loss, from_entry, width)
+    joined = trades.join(hits, "trade_id", "left")
     none = F.lit(None)
     if settled is not None:
         joined = joined.join(settled.select("ticker", "result"), "ticker", "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloft.functions import fixed_values as fv
 from sigloft.functions.prices import decayed
 from sigloft.functions.text import joined_text
 from sigloft.operators.vectors import nearest_documents, similarity
+from sigloft.session import stored
+from sigloft.sources import tables
 
 
 def decayed_context(queries: DataFrame, documents: DataFrame, k: int = 15, window: int = 72 * 3600,
@@ -77,6 +79,41 @@ def embed_documents(feed: DataFrame, collection: str, max_chars: int = fv.MODEL_
     )
 
 
+def pending_documents(feed: DataFrame, collection: str, held: DataFrame | None) -> DataFrame:
+    """The rows of the feed whose document is not in the store as it is now: new ones and changed ones.
+
+    ``held``: the store's rows (id, window, document_md5); every window of a document carries the md5 of the whole text.
+    """
+    if held is None:
+        return feed
+    known = held.groupBy("id").agg(F.max("document_md5").alias("_held"))
+    wanted = feed.withColumn("id", F.concat_ws("_", F.lit(collection), F.col("link"))).join(known, "id", "left")
+    changed = F.col("_held").isNull() | (F.col("_held") != F.md5(joined_text(F.col("title"), F.col("full_text"))))
+    return wanted.where(changed).drop("id", "_held")
+
+
+def sync_embeddings(spark: SparkSession, feed: DataFrame, collection: str, path: str, batch_size: int, max_chars: int = fv.MODEL_INPUT_CHARS) -> int:
+    """Brings the store of windows to embed in line with the feed, oldest documents first, and returns how many batches it took.
+
+    A batch is the ``batch_size`` oldest pending documents and all others of the last one's time, so a cut never parts rows of equal time;
+    batches follow until none is pending. A batch replaces all windows of its documents, so a document that got shorter leaves none
+    behind. Only the buckets of a batch's documents are written, and what is in line already is not touched.
+    """
+    try:
+        held = tables.read_buckets(spark, path)
+    except FileNotFoundError:
+        held = None
+    pending = stored(pending_documents(feed, collection, held).repartitionByRange("sec"), "pending")
+    batches, done = 0, None
+    while True:
+        rest = pending if done is None else pending.where(F.col("sec") > done)
+        cut = rest.select("sec").orderBy("sec").limit(batch_size).agg(F.max("sec")).first()[0]
+        if cut is None:
+            return batches
+        tables.replace_buckets(spark, path, embed_documents(rest.where(F.col("sec") <= cut), collection, max_chars), "id")
+        batches, done = batches + 1, cut
+
+
 def collection_stats(documents: DataFrame) -> DataFrame:
     size = F.size("vector")
     return documents.groupBy("collection").agg(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from sigloft.functions import fixed_values as fv
+from sigloft.session import stored
 from sigloft.sources import schemas
 
 LATEST = "latest.parquet"
@@ -29,24 +33,48 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet", mod
     return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in skip])))
 
 
+def file_schemas(spark: SparkSession, folder: str, pattern: str = "*.parquet", modified_after: str | None = None) -> DataFrame:
+    """``path, schema, error`` of each Parquet file: its Spark schema as JSON, or why its footer can't be read. Tasks read the footers."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {"path": batch.column("path").to_pylist(), "schema": [], "error": []}
+            for path in found["path"]:
+                own = error = None
+                try:
+                    store, place = fs.FileSystem.from_uri(path)
+                    with store.open_input_file(place) as file:
+                        own = from_arrow_schema(pq.read_schema(file)).json()
+                except (pa.ArrowException, OSError, PySparkException) as e:
+                    error = f"{type(e).__name__}: {e}".splitlines()[0]
+                found["schema"].append(own)
+                found["error"].append(error)
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([(c, pa.string()) for c in found]))
+
+    listed = list_files(spark, folder, pattern, modified_after).select("path")
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(footers, "path string, schema string, error string")
+
+
 def read_drifting(spark: SparkSession, folder: str, schema: T.StructType, modified_after: str | None = None) -> DataFrame:
-    """All new files of a folder under one schema although their column types drift.
+    return drifting_and_rejects(spark, folder, schema, modified_after)[0]
+
 
-    Files are grouped by their own schema and each group is one scan, so the plan grows with the number of different
-    schemas, not of files. A file whose footer cannot be read is skipped. Only paths (a few per cycle, those behind the
-    file watermark) and schemas pass the driver.
+def drifting_and_rejects(spark: SparkSession, folder: str, schema: T.StructType, modified_after: str | None = None,
+                         pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """All new files of a folder under one schema although their column types drift, and ``path, error`` of the files left out.
+
+    Files are grouped by their own schema and each group is one scan, so the plan grows with the number of different schemas, not of
+    files. Footers are read once, in tasks; the driver gets the paths behind the file watermark, which a scan has to be given.
     """
-    groups: dict[str, tuple[T.StructType, list[str]]] = {}
-    for row in list_files(spark, folder, modified_after=modified_after).toLocalIterator():
-        try:
-            own = spark.read.parquet(row["path"]).schema
-        except (PySparkException, Py4JJavaError):
-            continue
-        groups.setdefault(own.json(), (own, []))[1].append(row["path"])
+    found = stored(file_schemas(spark, folder, pattern, modified_after), "footers")
+    groups: dict[str, list[str]] = {}
+    for row in found.where("error IS NULL").select("schema", "path").toLocalIterator():
+        groups.setdefault(row["schema"], []).append(row["path"])
     scans = [
-        spark.read.schema(own).option("ignoreCorruptFiles", True).parquet(*paths) for own, paths in groups.values()
+        spark.read.schema(T.StructType.fromJson(json.loads(own))).option("ignoreCorruptFiles", True).parquet(*paths)
+        for own, paths in groups.items()
     ]
-    return schemas.union_by_name(scans, schema, spark)
+    return schemas.union_by_name(scans, schema, spark), found.where("error IS NOT NULL").select("path", "error")
 
 
 def read_union_by_name(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
@@ -134,13 +162,33 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema)
 
 
+REJECTED = "_rejected"
+
+
+def parted(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Readable rows and rejected lines of a permissive scan, parted in one pass: both are written under ``folder`` and read back."""
+    rows.withColumn("_bad", F.col(REJECTED).isNotNull()).write.partitionBy("_bad").parquet(folder)
+    landed = rows.sparkSession.read.schema(rows.schema.add("_bad", "boolean")).parquet(folder)
+    return landed.where("NOT _bad").drop("_bad", REJECTED), landed.where("_bad").select(REJECTED)
+
+
+def _record_schema() -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in fv.RECORD_COLUMNS])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Headerless tab-separated document records: 27 text columns, no quoting, malformed lines dropped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in fv.RECORD_COLUMNS])
-    rows = spark.read.csv(path, sep="\t", schema=schema, quote="", mode="DROPMALFORMED")
+    rows = spark.read.csv(path, sep="\t", schema=_record_schema(), quote="", mode="DROPMALFORMED")
     return rows.withColumn("SOURCEURL", F.col("DocumentIdentifier"))
 
 
+def records_and_rejects(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`read_records`, with the lines of too few or too many columns as a table of their own; every line is in one of both."""
+    rows = spark.read.csv(path, sep="\t", schema=_record_schema().add(REJECTED, "string"), quote="", mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED)
+    kept, rejected = parted(rows, folder)
+    return kept.withColumn("SOURCEURL", F.col("DocumentIdentifier")), rejected
+
+
 def malformed_lines(spark: SparkSession, path: str, columns: int = len(fv.RECORD_COLUMNS)) -> DataFrame:
     """The lines that :func:`read_records` leaves out, for counting and repair."""
     return spark.read.text(path).where(F.size(F.split("value", "\t")) != columns)
@@ -150,6 +198,27 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).json(path)
 
 
+def json_and_rejects(spark: SparkSession, path: str, schema: T.StructType, folder: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines under a declared schema, and the lines that are no JSON or don't fit it."""
+    rows = spark.read.schema(T.StructType(schema.fields).add(REJECTED, "string")).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED)
+    return parted(rows, folder)
+
+
+def read_behind(spark: SparkSession, folder: str, schema: T.StructType, moment: str, watermark: DataFrame, slack: int = 3600,
+                pattern: str = "*.parquet") -> DataFrame:
+    """Rows behind a persisted watermark, skipped on two levels: files written over ``slack`` seconds before it are not opened, and of the
+    others the rows not behind it are dropped.
+
+    ``watermark``: one row, one timestamp (null: none yet). A file may be finished after rows that came later, hence the slack.
+    """
+    mark = watermark.toDF("mark").agg(F.max("mark").alias("mark")).select("mark", F.date_format(F.col("mark") - F.make_dt_interval(secs=F.lit(slack)), "yyyy-MM-dd'T'HH:mm:ss").alias("files")).first()
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    if mark["mark"] is None:
+        return reader.parquet(folder)
+    rows = reader.option("modifiedAfter", mark["files"]).option("timeZone", spark.conf.get("spark.sql.session.timeZone")).parquet(folder)
+    return rows.where(F.col(moment) > watermark.toDF("mark").agg(F.max("mark")).scalar())
+
+
 def payload_rows(payloads: DataFrame, series: str, ingested_at: str, status: str) -> DataFrame:
     """Landed API pages (an array column ``markets``) to one row per market, nested values kept as JSON text."""
     markets = payloads.select(

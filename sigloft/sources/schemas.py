@@ -33,10 +33,6 @@ ARTICLE = _struct(
     "source string, feed_key string, title string, link string, published_at string, summary string, full_text string, "
     "scraped boolean, ingested_at timestamp"
 )
-BILL = _struct(
-    "source string, feed_key string, congress int, bill_type string, bill_number string, title string, "
-    "latest_action_date string, latest_action_text string, api_url string, ingested_at timestamp"
-)
 BRIDGE = _struct(
     "series_ticker string, entity_type string, entity_name string, required_regex string"
 )
@@ -49,10 +45,6 @@ ORDER = _struct(
     "created_at bigint, entry_bid double, entry_ask double, entry_mid double, filled_price double, filled_at bigint, "
     "close_price double, closed_at bigint, close_reason string, meta string"
 )
-INFERENCE_HISTORY = _struct(
-    "ticker string, analyzed_at timestamp, score double, last_price double, last_spike double, input_tokens bigint, "
-    "output_tokens bigint, cost_usd double"
-)
 
 #: price columns under their new name win over the legacy name
 RENAMED = {"yes_bid_dollars": "yes_bid", "yes_ask_dollars": "yes_ask"}

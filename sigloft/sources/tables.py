@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloft.operators.keyed import latest_per_key
+from sigloft.operators.ordered import running
+from sigloft.session import stored
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
@@ -122,6 +126,129 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than: float = 0.
     return gone
 
 
+# -- tables laid out by a hash of the key -----------------------------------------------------------------------------
+BUCKETS = 64
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+
+
+def _bucket_folder(spark: SparkSession, path: str, buckets: int) -> tuple[str, bool]:
+    """Where the table is, and whether it has rows yet. The number of buckets is part of the name, so it can't change unnoticed."""
+    store, base = fs.FileSystem.from_uri(path)
+    found = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.base_name.startswith("of-")]
+    if found and found != [f"of-{buckets}"]:
+        raise ValueError(f"{path} is laid out as {found[0]}, not of-{buckets}")
+    return f"{path}/of-{buckets}", bool(found)
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    folder, exists = _bucket_folder(spark, path, buckets)
+    if not exists:
+        raise FileNotFoundError(f"{path} has no rows yet")
+    return spark.read.option("mergeSchema", True).parquet(folder).drop("_bucket")
+
+
+def _touched(spark: SparkSession, folder: str, keyed: DataFrame) -> DataFrame:
+    """The stored rows of the buckets that ``keyed`` has rows of; their numbers, at most as many as there are buckets, prune the scan."""
+    numbers = [r[0] for r in keyed.select("_bucket").distinct().collect()]
+    return spark.read.option("mergeSchema", True).parquet(folder).where(F.col("_bucket").isin(numbers) if numbers else F.lit(False))
+
+
+def _write_buckets(rows: DataFrame, folder: str) -> None:
+    """Replaces the buckets that ``rows`` has rows of, and no other. Large buckets are split into several files by their size."""
+    rows.hint("rebalance", F.col("_bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
+
+
+def merge_buckets(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], newest: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Update all / insert all as :func:`merge`, on a table laid out by a hash of the key: only the buckets with keys of the batch are read
+    and written again, so the cost follows the batch (a batch of few keys touches few buckets) and not the table.
+
+    One writer at a time. Spark writes beside the table and moves the finished buckets in at the end; a run that fails before that
+    changes nothing, and repeating a batch gives the same table.
+    """
+    folder, exists = _bucket_folder(spark, path, buckets)
+    fresh = latest_per_key(batch, keys, *newest).withColumn("_bucket", _bucket(keys, buckets))
+    if exists:
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+        kept = _touched(spark, folder, fresh).join(fresh.select(*(F.col(k).alias(f"_new_{k}") for k in keys)), same, "left_anti")
+        fresh = kept.unionByName(fresh, allowMissingColumns=True)
+    _write_buckets(fresh, folder)
+
+
+def replace_buckets(spark: SparkSession, path: str, batch: DataFrame, key: str, buckets: int = BUCKETS) -> None:
+    """All stored rows of the batch's keys go and the batch's rows come, however many a key has; only their buckets are written again."""
+    folder, exists = _bucket_folder(spark, path, buckets)
+    rows = batch.withColumn("_bucket", _bucket([key], buckets))
+    if exists:
+        rows = _touched(spark, folder, rows).join(batch.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    _write_buckets(rows, folder)
+
+
+def update_buckets(spark: SparkSession, path: str, hits: DataFrame, keys: Sequence[str], condition: Column, changes: dict[str, Column],
+                   buckets: int = BUCKETS) -> None:
+    """Rewrites some columns of the rows whose key is in ``hits`` and that meet the condition; only their buckets are written again."""
+    folder, exists = _bucket_folder(spark, path, buckets)
+    if not exists:
+        raise FileNotFoundError(f"{path} has no rows yet")
+    named = hits.select(*keys).distinct().withColumn("_bucket", _bucket(keys, buckets))
+    stored_rows = _touched(spark, folder, named)
+    marked = stored_rows.join(named.drop("_bucket").withColumn("_hit", F.lit(True)), list(keys), "left")
+    hit = F.coalesce(F.col("_hit") & condition, F.lit(False))
+    changed = marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(stored_rows.schema[c].dataType) for c, v in changes.items()})
+    _write_buckets(changed.select(*stored_rows.columns), folder)
+
+
+# -- compaction -------------------------------------------------------------------------------------------------------
 def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
     """Small files to ``files`` files, spread evenly (not one file by one task)."""
     read_history(spark, source).repartition(files).write.mode("overwrite").parquet(target)
+
+
+def small_file_bins(spark: SparkSession, path: str, target_bytes: int) -> DataFrame:
+    """``path, length, bin``: the files under half the target, packed in order of their paths into bins of about the target.
+
+    A bin takes files while their running size stays in it, so a bin is at most half a target over it. Listed, not opened.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    small = listed.select("path", "length").where(F.col("length") * 2 < target_bytes)
+    summed = running(small, [], [F.col("path")], sums={"_upto": F.col("length")})
+    return summed.select("path", "length", F.floor((F.col("_upto") - F.col("length")) / target_bytes).cast("int").alias("bin"))
+
+
+def compact_by_size(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
+    """Packs the small files of a history into files of about the target size; larger ones are not read. Returns the number of new files.
+
+    The new files are written to a folder that readers skip; then a list of the old ones is put beside them, the new ones are moved in and
+    the old ones deleted. With the list there, the next call first finishes what an interrupted one left. No reader or writer at a time.
+    """
+    store, base = fs.FileSystem.from_uri(path)
+    _finish(spark, store, base, path)
+    bins = stored(small_file_bins(spark, path, target_bytes), "bins")
+    if bins.count() < 2:
+        return 0
+    n = bins.agg(F.max("bin")).first()[0] + 1
+    named = bins.select(F.col("path").alias("_path"), "bin")
+    files = [r[0] for r in named.select("_path").toLocalIterator()]
+    rows = spark.read.option("mergeSchema", True).parquet(*files).withColumn("_path", F.col("_metadata.file_path"))
+    packed = rows.join(F.broadcast(named) if len(files) < 100_000 else named, "_path")
+    packed.repartitionById(n, "bin").drop("_path", "bin").write.parquet(f"{path}/_compacting/new")
+    named.select("_path").write.parquet(f"{path}/_compacting/old")
+    _finish(spark, store, base, path)
+    return n
+
+
+def _finish(spark: SparkSession, store: fs.FileSystem, base: str, path: str) -> None:
+    """Moves the files of a finished packing in and deletes those it replaces; clears an unfinished one away."""
+    work = f"{base}/_compacting"
+    if store.get_file_info(f"{work}/old/_SUCCESS").type != fs.FileType.NotFound:
+        for info in store.get_file_info(fs.FileSelector(f"{work}/new", allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                store.move(info.path, f"{base}/{info.base_name}")
+        for row in spark.read.parquet(f"{path}/_compacting/old").toLocalIterator():
+            old = fs.FileSystem.from_uri(row[0])[1]
+            if store.get_file_info(old).type != fs.FileType.NotFound:
+                store.delete_file(old)
+    if store.get_file_info(work).type != fs.FileType.NotFound:
+        store.delete_dir(work)

@@ -6,14 +6,16 @@ after a failure neither loses nor doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloft.operators.keyed import latest_per_key
+from sigloft.session import stateful_session
 
 
 def open_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -24,13 +26,14 @@ def open_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Processes everything that has landed, then stops."""
+def drain(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append") -> list:
+    """Processes everything that has landed, then stops; returns the progress of its batches."""
     query = (
         stream.writeStream.foreachBatch(each_batch).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query.recentProgress
 
 
 def _store(batch: DataFrame, folder: str, batch_id: int) -> None:
@@ -70,15 +73,42 @@ def first_seen(stream: DataFrame, moment: str, key: str, memory: str) -> DataFra
     return stream.withWatermark(moment, memory).dropDuplicatesWithinWatermark([key])
 
 
-def drain_unseen(stream: DataFrame, key: str, newest: Sequence[str], folder: str, checkpoint: str) -> DataFrame:
-    """Keys never stored before, without a time limit: an anti join against the sink inside each batch."""
-    spark = stream.sparkSession
+def unseen(stream: DataFrame, key: str, newest: Sequence[str]) -> DataFrame:
+    """The first row of every key ever seen, without a time limit; of the rows of one batch the newest.
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(spark, folder, batch_id, batch.schema).select(key)
-        _store(latest_per_key(batch, [key], *newest).join(seen, key, "left_anti"), folder, batch_id)
+    Seen keys are state by key, so a batch meets only the state of its own keys, however many came before. The state holds one flag per
+    key; it lives in RocksDB, on disk, and its checkpoints are increments (``stateful_session``).
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    drain(stream, checkpoint, take)
+    order = list(newest)
+
+    class Seen(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "seen boolean")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            if self.seen.exists():
+                return
+            best = None
+            for chunk in rows:
+                both = chunk if best is None else pd.concat([best, chunk])
+                best = both.sort_values(order, ascending=False, na_position="last", kind="stable").head(1)
+            if best is not None:
+                self.seen.update((True,))
+                yield best.reset_index(drop=True)
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Seen(), outputStructType=stream.schema, outputMode="Append", timeMode="None")
+
+
+def drain_unseen(stream: DataFrame, key: str, newest: Sequence[str], folder: str, checkpoint: str) -> DataFrame:
+    """Keys never stored before, without a time limit (see :func:`unseen`); the sink is only written."""
+    spark = stateful_session(stream.sparkSession)
+    drain(unseen(stream, key, newest), checkpoint, lambda batch, i: _store(batch, folder, i))
     return spark.read.parquet(folder).drop("batch")
 
 

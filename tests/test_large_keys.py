@@ -12,8 +12,11 @@ from sigloft.operators.asof import asof_join, asof_offsets, interval_join
 from sigloft.operators.contains import contains_join
 from sigloft.operators.keyed import dedup_keeping_null_keys, duplicate_report, last_known_values, top_per_key
 from sigloft.operators.ordered import drawdown_curve, in_slots, lag_rows, running
+from sigloft.operators.vector_index import build_index, calibrated_probes, indexed_nearest, probed_lists, remaining_lists
 from sigloft.operators.vectors import nearest_documents
+from sigloft.session import shared_folder
 from sigloft.operators.velocity import mention_velocity
+from sigloft.plans.exits import first_hits, first_touch, quote_blocks
 
 
 @pytest.fixture(scope="module")
@@ -185,3 +188,85 @@ def test_keyed_helpers(spark):
     assert sorted(r.t for r in dedup_keeping_null_keys(df, "k", "t").collect()) == [3, 4, 5]
     report = duplicate_report(df.where("k is not null"), ["k"], "t").collect()[0]
     assert (report.total_rows, report.distinct_keys, report.distinct_key_times, round(report.duplicate_pct, 2)) == (3, 1, 3, 66.67)
+
+
+def _brute_touch(trades, quotes, from_entry):
+    out = {}
+    for t in trades.itertuples():
+        peak, hit = None, None
+        for q in quotes[quotes.ticker == t.ticker].sort_values("pos").itertuples():
+            if from_entry and q.pos < t.entry_pos:
+                continue
+            back = ((q.bid if t.side == "yes" else 1 - q.ask) - t.entry_price) / t.entry_price
+            peak = back if peak is None else max(peak, back)
+            if back >= 0.5 or back <= -0.5:
+                hit = (q.pos, "PROFIT_EXIT" if back >= 0.5 else "STOP_EXIT")
+                break
+        out[t.trade_id] = (hit, peak)
+    return out
+
+
+@pytest.mark.parametrize("from_entry", [True, False])
+@pytest.mark.parametrize("width", [50, 100_000])
+def test_first_touch_of_one_market_with_most_trades_and_quotes(spark, from_entry, width):
+    rng = np.random.default_rng(4)
+    level = np.clip(512 + np.cumsum(rng.integers(-9, 10, 3000)), 40, 980)
+    quotes = pd.DataFrame({"ticker": ["hot" if i % 10 else "cold" for i in range(3000)], "pos": np.arange(3000) * 3, "bid": level / 1024, "ask": (level + 20) / 1024})
+    trades = pd.DataFrame({"trade_id": range(120), "ticker": ["hot" if i % 6 else "cold" for i in range(120)], "side": ["yes" if i % 2 else "no" for i in range(120)],
+                           "entry_price": rng.integers(200, 800, 120) / 1024, "entry_pos": rng.integers(0, 9000, 120), "qty": 1})
+    t, q = spark.createDataFrame(trades), spark.createDataFrame(quotes)
+    got = {r.trade_id: ((r.exit_pos, r._kind) if r._kind else None, r._peak) for r in first_hits(t, q, 0.5, 0.5, from_entry, width).collect()}
+    want = {k: x for k, x in _brute_touch(trades, quotes, from_entry).items() if x != (None, None)}
+    assert got == want and len({x[0] and x[0][1] for x in want.values()}) == 3
+    done = first_touch(t, q, take_profit=0.5, stop_loss=0.5, from_entry=from_entry, width=width)
+    assert {r.trade_id: r.exit_pos for r in done.collect()} == {i: want.get(i, (None, None))[0] and want[i][0][0] for i in trades.trade_id}
+    assert quote_blocks(q, 50).count() > 150
+
+
+def test_first_touch_opens_two_blocks_of_a_trade(spark):
+    """Of 100,000 quotes of one market each trade meets those of its entry's block and of the first that crosses."""
+    quotes = spark.range(100_000).select(F.lit("hot").alias("ticker"), F.col("id").alias("pos"), F.when(F.col("id") == 70_007, 0.9).otherwise(0.5).alias("bid"),
+                                         F.lit(0.95).alias("ask"))
+    trades = spark.range(40).select(F.col("id").alias("trade_id"), F.lit("hot").alias("ticker"), F.lit("yes").alias("side"), F.lit(0.5).alias("entry_price"),
+                                    (F.col("id") * 1000).alias("entry_pos"))
+    hits = first_hits(trades, quotes, 0.5, 0.5, True, 100)
+    assert [tuple(r) for r in hits.select("exit_pos", "_kind", "_peak").distinct().collect()] == [(70_007, "PROFIT_EXIT", 0.8)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        opened = first_hits(trades, quotes, 0.5, 0.5, True, 100)
+        opened.collect()
+        met = []
+        todo = [opened._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows") and "pos" in node.output().toString() and "block" in node.output().toString():
+                met.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert met and max(met) <= 40 * 2 * 100
+
+
+@pytest.mark.parametrize("window", [None, 400])
+def test_vector_index(spark, window):
+    """3,000 vectors around 60 directions and 200 anywhere: probing 6 of 50 lists finds 95 %, completing finds all and leaves lists out."""
+    rng = np.random.default_rng(6)
+    around = rng.normal(size=(60, 16))
+    points = np.vstack([around[rng.integers(0, 60, 3000)] + rng.normal(scale=0.15, size=(3000, 16)), rng.normal(size=(200, 16)), np.zeros((2, 16))])
+    docs = spark.createDataFrame([("news" if i % 3 else "rec", i, int(rng.integers(0, 1000)), x.tolist()) for i, x in enumerate(points)] + [("rec", 9999, 5, None)],
+                                 "collection string, doc_id bigint, doc_time bigint, vector array<double>")
+    asks = spark.createDataFrame([(10_000 + i, 900, (points[i * 50] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(60)],
+                                 "query_id bigint, as_of bigint, vector array<double>")
+    index = build_index(docs, 50, shared_folder(spark, "ivf"))
+    assert index.rows(spark).count() == 3202
+    found = lambda df: {(r.query_id, r.collection, r.doc_id) for r in df.collect()}
+    exact = found(nearest_documents(asks, docs.where("vector IS NOT NULL"), 5, window))
+    assert found(indexed_nearest(index, asks, 5, 1, window, complete=True)) == exact
+    probed = indexed_nearest(index, asks, 5, 6, window)
+    assert len(found(probed) & exact) >= 0.95 * len(exact)
+    sizes = {r["list"]: r["count"] for r in index.rows(spark).groupBy("list").count().collect()}
+    met = sum(sizes.get(r._bucket, 0) for r in probed_lists(index, asks, 6).collect())
+    assert met <= 0.25 * 60 * 3202
+    assert calibrated_probes(index, asks, 5, 0.95, window) <= 6
+    if window is None:
+        assert remaining_lists(index, asks, probed, 6, 5, 2).count() < 0.8 * 60 * 44

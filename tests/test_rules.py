@@ -10,6 +10,7 @@ from sigloft.functions.text import (
 )
 from sigloft.plans.candidates import eligible_again
 from sigloft.plans.exits import exit_decision, first_touch
+from sigloft.plans.lexicon import sentence_sentiment
 from sigloft.plans.orders import brief_orders, close_by_hand, resolve_fills, sentiment_orders, settle
 from sigloft.plans.sizing import cap_by_theme, kelly_reason, with_kelly
 
@@ -192,6 +193,39 @@ def test_verdicts(spark):
 @pytest.mark.parametrize("text,flat", [
     ("plain", "plain"), ('{"reason": {"text": "deep"}}', "deep"), ('{"direction": "up", "n": 3, "e": ""}', "[UP] 3"), ('["a", {"content": "b"}]', "a b"),
     ("{broken", "{broken"), ('{"verdict": "[1, 2]"}', "1 2"), ('{"x": null, "y": true}', "None True"),
+    ('{"zeta": "1st", "alpha": {"y": "2nd", "x": "3rd"}}', "1st 2nd 3rd"), ('["a", "", "b"]', "a  b"), ('[{"n": ""}, [], "b"]', "  b"), ("[]", ""), ("{}", ""),
+    ('{"a": [], "b": "c"}', "c"), ('{"text": "[{\\"reason\\": \\"in a string\\"}, 2]"}', "in a string 2"), ('{"text": "[not json"}', "[not json"), (" \n[1.5]", "1.5"),
+    ('{"sentiment": true, "strength": "weak"}', "[TRUE] [WEAK]"), ("[" * 40 + '"deep"' + "]" * 40, "deep"), ('["' + "é{" * 30 + '"]', "é{" * 30), (None, None), ("", ""),
 ])
 def test_flatten(spark, text, flat):
     assert spark.createDataFrame([(text,)], "t string").select(readable(F.col("t"))).collect()[0][0] == flat
+
+
+def test_flatten_has_no_python_worker(spark):
+    long = "[" + ",".join('{"text": "w%d"}' % i for i in range(3000)) + "]"
+    df = spark.createDataFrame([(long,)], "t string").select(readable(F.col("t")).alias("flat"))
+    assert df.first().flat == " ".join(f"w{i}" for i in range(3000))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+_VALENCES = {"good": 1.9, "great": 3.1, "bad": -2.5, "kind": 2.4, "least": 0.5}
+
+
+@pytest.mark.parametrize("text,total", [
+    ("The book was good.", 1.9), ("The book was very good", 1.9 + 0.293), ("The book was only kinda good", 1.9 - 0.293), ("not good", 1.9 * -0.74), ("isn't very good", (1.9 + 0.293) * -0.74),
+    ("very bad", -2.5 - 0.293), ("very, truly good", 1.9 + 0.293 * 0.95), ("very, it is good", 1.9 + 0.293 * 0.9), ("very, as it is good", 1.9), ("GOOD book", 1.9 + 0.733), ("GOOD", 1.9),
+    ("a BAD, VERY BAD book", -2.5 - 0.733 + (-2.5 - 0.733 - 0.293 - 0.733)), ("good but bad", 1.9 * 0.5 - 2.5 * 1.5), ("never so good", 1.9 * 1.25 + 0.293 * 1.25), ("without a doubt good", 1.9),
+    ("good!!", 1.9 + 0.584), ("bad!!!!!!", -2.5 - 4 * 0.292), ("good??", 1.9 + 0.36), ("good????", 1.9 + 0.96), ("good?", 1.9), ("not kind good", 2.4 * -0.74 + 1.9 * -0.74), ("", 0), ("!!", 0), ("words", 0),
+    (None, 0), ("at least good", 0.5 + 1.9), ("not, not good", 1.9 * 0.74 * 0.74),
+])
+def test_sentence_rules_by_hand(spark, text, total):
+    lexicon = spark.createDataFrame(list(_VALENCES.items()), "word string, valence double")
+    got = sentence_sentiment(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", lexicon).first()
+    assert got.sentiment_score == pytest.approx(total / (total * total + 15) ** 0.5, abs=1e-6)
+
+
+def test_least_denies(spark):
+    lexicon = spark.createDataFrame([("good", 1.9)], "word string, valence double")
+    texts = spark.createDataFrame([(1, "least good"), (2, "at least good"), (3, "the least good")], "id int, text string")
+    got = {r.id: r.sentiment_label for r in sentence_sentiment(texts, "id", "text", lexicon).collect()}
+    assert got == {1: "Negative", 2: "Positive", 3: "Negative"}
