@@ -66,11 +66,109 @@ def test_token_table(spark):
 def test_pieces_are_those_of_the_library(machine):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = ODD + made_up("ab 's\n\t1!é日😀  theing▁", 400)
-    assert list(machine.encode_all(texts)) == library.encode(texts)
+    assert [ids.tolist() for ids in machine.encode_all(texts)] == library.encode(texts)
     for text in texts:
         assert machine.decode(machine.encode(text)) == library.decode(library.encode(text))
 
 
+def unigram_model(folder, bytes_too: bool, charsmap: bytes, single_spaces: bool) -> str:
+    """A unigram model written by hand, with made-up pieces and scores; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    pick, model = random.Random(9), pb.ModelProto()
+    kinds = pb.ModelProto.SentencePiece
+
+    def add(piece, score, kind):
+        model.pieces.add(piece=piece, score=score, type=kind)
+
+    for piece, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        add(piece, 0.0, kind)
+    if bytes_too:
+        for b in range(256):
+            add(f"<0x{b:02X}>", 0.0, kinds.BYTE)
+    pieces = {*"abcdeé▁", *("".join(pick.choice("abcdeéf") for _ in range(pick.randint(2, 5))) for _ in range(120))}
+    pieces |= {"▁" + p for p in list(pieces) if "▁" not in p and pick.random() < 0.5} | {"▁▁"}
+    for piece in sorted(pieces):
+        add(piece, round(-pick.uniform(1, 12), 3), kinds.NORMAL)
+    add("abcabc", 0.0, kinds.UNUSED)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = pb.TrainerSpec.UNIGRAM, bytes_too
+    model.trainer_spec.vocab_size = len(model.pieces)
+    model.normalizer_spec.precompiled_charsmap = charsmap
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = True, single_spaces
+    path = folder / f"unigram-{bytes_too}-{bool(charsmap)}-{single_spaces}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def charsmap_of(entries: dict[str, str]) -> bytes:
+    """A character map as the model file has it: a double-array trie over UTF-8 and the strings it writes, by the format's published layout."""
+    trie: dict = {}
+    for key in entries:
+        node = trie
+        for b in key.encode():
+            node = node.setdefault(b, {})
+        node["written"] = entries[key]
+    texts = b""
+    units, used = [0] * 256, {0}
+
+    def place(node: dict, at: int) -> None:
+        nonlocal texts
+        children = [b for b in node if b != "written"]
+        offset = 256
+        while any(offset ^ c in used for c in [0, *children]) or (offset ^ at) & 0xFF and False:
+            offset += 256
+        while len(units) <= offset + 255:
+            units.append(0)
+        units[at] |= (offset ^ at) << 10 if (offset ^ at) < 1 << 21 else 0
+        if "written" in node:
+            units[at] |= 1 << 8
+            units[offset], texts = len(texts) | 1 << 31, texts + node["written"].encode() + b"\0"
+        used.add(offset)
+        for c in children:
+            used.add(offset ^ c)
+            units[offset ^ c] |= c
+        for c in children:
+            place(node[c], offset ^ c)
+
+    place(trie, 0)
+    blob = b"".join((u & 0xFFFFFFFF).to_bytes(4, "little") for u in units)
+    return len(blob).to_bytes(4, "little") + blob + texts
+
+
+@pytest.mark.parametrize("bytes_too,mapped,single_spaces", [(True, False, True), (False, False, False), (True, True, True), (False, True, False)])
+def test_unigram_models_and_character_maps(tmp_path, bytes_too, mapped, single_spaces):
+    charsmap = charsmap_of({"A": "a", "Ab": "ba", "É": "é", "\t": " ", "ﬀ": "ff", "x": ""}) if mapped else b""
+    path = unigram_model(tmp_path, bytes_too, charsmap, single_spaces)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.PieceTransducer(path)
+    texts = ["", " ", "  a  b ", "abcabc", "日本a日本", "a" * 300, "AbÉ\tﬀx", "f g", *made_up("aabbccdeéf  AÉ\tﬀx日", 400)]
+    for text, found, expected in zip(texts, machine.encode_all(texts), library.encode(texts)):
+        # The same pieces in another order weigh the same ("a" + "aa"); only there may rounding choose differently.
+        assert found.tolist() == expected or sorted(found.tolist()) == sorted(expected), text
+        assert machine.decode(found.tolist()) == library.decode(expected)
+
+
+def test_shortest_paths_are_least_over_all_segmentations(tmp_path):
+    machine = sentencepieces.PieceTransducer(unigram_model(tmp_path, True, b"", True))
+    texts = machine.lexicon
+    cost = {p: float(machine.weight[t]) for p, t in machine.token.items()}
+    assert texts.longest >= 5
+
+    def least(unit):
+        best = [0.0] + [float("inf")] * len(unit)
+        for j in range(1, len(unit) + 1):
+            best[j] = min((best[i] + cost[unit[i:j]] for i in range(j) if unit[i:j] in cost), default=float("inf"))
+        return best[-1]
+
+    for unit in made_up("abcdeé", 200):
+        for ids in (machine._encoded([unit])[0].tolist(), machine._alone(unit)):
+            assert "".join(machine.pieces[i] for i in ids) == unit and abs(sum(cost[machine.pieces[i]] for i in ids) - least(unit)) < 1e-4
+
+
+def test_a_very_long_text_and_unit(machine):
+    text = "theing" * 60_000 + " " + "the cat sat. " * 30_000
+    assert machine.decode(machine.encode(text)) == text
+
+
 def test_piece_table(spark):
     docs = spark.createDataFrame([(1, "Hello  World\n"), (1, "Hello  World\n"), (2, None), (None, "日本😀")], "doc_id long, text string").withColumn("ids", F.lit("x"))
     out = sentencepieces.round_trips(docs, PIECES)
