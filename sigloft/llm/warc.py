@@ -5,7 +5,7 @@ own; behind it each record is a Zstandard frame. Payloads of at least ``least``
 largest page id is the response, the others are revisits of it without a payload. Files turn over at a fixed size. Tasks write to names of
 their own and only files of tasks that ended well are in the archive's list, so a lost executor leaves no half file in it.
 
-The dictionary is fitted on a bounded sample: at most SAMPLES payloads, the first by hash, of at most SAMPLE_CHARS characters each.
+The dictionary is fitted on a bounded sample: at most SAMPLES different payloads, the first by hash, of at most SAMPLE_CHARS characters each.
 Null html is an empty payload; a null url is left out of the record. Records with a null page id are responses, and the response of others
 only if no equal payload has an id. Repeated rows of the largest id are responses all. An empty table gives an archive without files.
 Only the three named columns are read.
@@ -35,6 +35,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 1000
 SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16_384, 65_536
 FILE_BYTES = 64 << 20
+#: Bytes of an archive that one task reads back, at the least one file.
+TASK_BYTES = 128 << 20
 LEVEL = 3
 DATE = "2020-01-01T00:00:00Z"
 FILES = "file string, records long, bytes long"
@@ -45,25 +47,32 @@ def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``page_id, url, html, n, digest, owner``: html is null for revisits, owner the page id of their response."""
     html = whole_text("html")
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha1(html).alias("digest"))
-    small = rows.filter(F.col("n") < least).withColumn("owner", F.lit(None).cast("long"))
-    large = rows.filter(F.col("n") >= least)
-    owners = large.groupBy("digest").agg(F.max("page_id").alias("last"))
-    large = large.join(owners, "digest").withColumn("owner", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last")
-    return small.unionByName(large).withColumn("html", F.when(F.col("owner").isNull(), F.col("html")))
+    # Only digests that stand several times are met, so that payloads stay where they are as long as these are few.
+    large = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("times"))
+    owners = large.filter("times > 1").select("digest", "last")
+    owner = F.when((F.col("n") >= least) & (F.col("page_id") < F.col("last")), F.col("last"))
+    met = rows.join(owners, "digest", "left").withColumn("owner", owner).drop("last")
+    return met.select("page_id", "url", F.when(F.col("owner").isNull(), F.col("html")).alias("html"), "n", "digest", "owner")
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary over a bounded sample of the payloads, a smaller one for few payloads; b"" if there are too few to learn from."""
-    texts = pages.filter("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("html").alias("h"))
-    # About twice the sample passes by its hash, each payload once, so that few rows meet where the first are chosen.
-    some = texts.filter(below(F.col("h"), 2 * SAMPLES, texts.count())).dropDuplicates(["h"])
+    """A dictionary over a bounded sample of the payloads: trained on them, or their own bytes where they are too few to train on.
+
+    Each payload gives SAMPLE_CHARS characters from a place that its hash chooses. A common record's head ends it in any case.
+    """
+    h = F.xxhash64("html")
+    place = F.pmod(h, F.greatest(F.length("html") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    texts = pages.filter("html <> ''").select(F.substring("html", place, SAMPLE_CHARS).alias("html"), h.alias("h"))
+    # About twice the sample of the different payloads passes by its hash, so that few rows meet where the first are chosen.
+    different = texts.agg(F.count_distinct("h")).first()[0]
+    some = texts.filter(below(F.col("h"), 2 * SAMPLES, different)).dropDuplicates(["h"])
     payloads = [r.html.encode() for r in some.orderBy("h").limit(SAMPLES).collect()]
     for size in (DICTIONARY_BYTES, DICTIONARY_BYTES // 8, DICTIONARY_BYTES // 64):
         try:
             return zstandard.train_dictionary(size, payloads, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
             continue
-    return b""
+    return b"".join(payloads)[:DICTIONARY_BYTES] + record(0, "http://", "response", b"", 0, "0" * 40, None)
 
 
 def record(page_id: int | None, url: str | None, kind: str, payload: bytes, n: int, digest: str, owner: int | None) -> bytes:
@@ -86,15 +95,14 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, file_bytes:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(learned) if learned else None)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(learned))
         done, out, name, n, size = [], None, "", 0, 0
         for batch in batches:
             for page_id, url, html, length, digest, owner in zip(*(batch[c] for c in ("page_id", "url", "html", "n", "digest", "owner"))):
                 if out is None:
                     name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst"
                     out, n, size = store.open_output_stream(f"{base}/{name}", compression=None), 0, 0
-                    if learned:
-                        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(learned)) + learned)
+                    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(learned)) + learned)
                 page_id, owner = (None if pd.isna(x) else int(x) for x in (page_id, owner))
                 raw = record(page_id, url, "response" if owner is None else "revisit", html.encode() if owner is None else b"", length, digest, owner)
                 frame = compressor.compress(raw)
@@ -190,7 +198,10 @@ def read_archive(files: DataFrame, folder: str, with_payload: bool = False) -> D
                             rows, size = [], 0
                 yield _frame(rows, names)
 
-    return files.select("file").repartition(F.col("file")).mapInPandas(read, schema)
+    # The names are a few bytes each: how many tasks there are has to follow from what is behind them.
+    listed = files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(-(-(listed["bytes"] or 0) // TASK_BYTES), min(listed["n"], files.sparkSession.sparkContext.defaultParallelism), 1)
+    return files.select("file").repartition(int(tasks)).mapInPandas(read, schema)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -215,6 +215,42 @@ def test_archive_round_trip(spark, tmp_path):
     assert n == name.records
 
 
+def test_archive_is_read_by_as_many_tasks_as_it_needs(spark, monkeypatch):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 256).alias("html"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    folder = shared_folder(spark, "warc")
+    files = warc.write_archive(pages.repartition(2), folder, file_bytes=1_000)
+    n, size = files.count(), files.agg(F.sum("bytes")).first()[0]
+    tasks = lambda: len({r.p for r in warc.read_archive(files, folder).select(F.spark_partition_id().alias("p")).collect()})
+    assert n > 16 and tasks() == 8
+    monkeypatch.setattr(warc, "TASK_BYTES", size // 16)
+    assert tasks() >= 14
+
+
+@pytest.mark.parametrize("kind", ["copies", "one", "empty"])
+def test_archive_always_has_a_dictionary(spark, kind):
+    """Thousands of copies beside 500 other pages, one page, or only empty ones."""
+    text = F.when(F.col("id") < 5_000, F.lit("copy " * 300)).otherwise(F.concat(F.lit("page "), F.sha2(F.col("id").cast("string"), 256)))
+    rows = {"copies": spark.range(5_500).select("id", text.alias("html")), "one": spark.range(1).select("id", F.lit("only").alias("html")),
+            "empty": spark.range(3).select("id", F.lit("").alias("html"))}[kind]
+    pages = rows.select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), "html")
+    folder = shared_folder(spark, "warc")
+    files = warc.write_archive(pages, folder)
+    for name in (r.file for r in files.collect()):
+        magic, size = struct.unpack("<II", open(f"{folder}/{name}", "rb").read(8))
+        assert magic == warc.DICTIONARY_MAGIC and size >= (8_000 if kind == "copies" else 100)
+    got = warc.read_archive(files, folder)
+    assert got.count() == pages.count() and got.filter("record_type = 'revisit'").count() == (4_999 if kind == "copies" else 0)
+
+
+def test_quality_learns_from_the_labels_of_given_documents_only(spark):
+    docs = spark.createDataFrame([(i, ("good clean words of prose " if i % 2 else "@@ ## zz qq !! ") * 20) for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(
+        spark.range(10_000, 3_000_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    got = quality.scored(docs, labels)
+    assert got.filter((F.col("predicted") == 1) == (F.col("doc_id") % 2 == 1)).count() == 400
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.scored(docs, labels)
