@@ -211,6 +211,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = stored(pooled(docs, word_vectors(docs, text_col), id_col, text_col), "features")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    # Labels of documents that are not given don't count towards the bound.
+    known = stored(known.join(features.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
     # A little over the sample passes by its hash, so that few rows meet where the first are chosen.
     known = known.filter(below(F.col("h"), TRAINING + TRAINING // 4, known.count()))
     sample = features.join(known, "doc_id").orderBy("h", "doc_id", "label", "features").limit(TRAINING).select("features", "label").collect()
