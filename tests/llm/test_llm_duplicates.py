@@ -245,3 +245,15 @@ def test_passage_of_overlapping_frequent_stretches(spark):
     texts |= {100: own(30) + passage + own(60), 200: own(70) + passage + own(20)}
     got = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got} == {(200, 70, 160, 100, 30, 120)}
+
+
+def test_filter_of_shared_seeds(spark):
+    pick = random.Random(21)
+    common = list(prose(pick, 60))
+    texts = [common + list(prose(pick, 80)) if i % 3 == 0 else list(prose(pick, 90)) for i in range(60)] + [["short"]]
+    seeds = [set(fuzzy_passages.seeds_of(fuzzy_passages.words_of(" ".join(t)))[0].tolist()) if len(t) >= fuzzy_passages.LEAST else set() for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    held = np.unpackbits(fuzzy_passages.shared_keys(df))
+    every, shared = set().union(*seeds), {k for i, a in enumerate(seeds) for b in seeds[:i] for k in a & b}
+    bit = lambda k: int(fuzzy_passages._bits(np.array([k]))[0])
+    assert shared and all(held[bit(k)] for k in shared) and sum(held[bit(k)] for k in every - shared) <= 2
