@@ -86,13 +86,11 @@ def clean_records(records: DataFrame) -> DataFrame:
 def lexicon_sentiment(texts: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """row_id, score, label: summed word valence s as s / sqrt(s^2 + 15).
 
-    ``lexicon``: word, valence, one row per word. Words are counted per text before they meet the lexicon, and unknown ones go there;
-    texts without any known word come back with the sum 0.
+    ``lexicon``: word, valence, one row per word. ``row_id`` is unique. Words meet the lexicon where they are as long as Spark knows it to be
+    small, and their valences are summed on the map side; texts without any known word keep one row, with the sum 0. The texts are read once.
     """
-    words = texts.select(row_id, F.explode(runs_of(F.col(text), "[a-zA-Z0-9]+")).alias("word"))
-    counted = words.groupBy(row_id, F.lower("word").alias("word")).agg(F.count("*").alias("_n"))
-    sums = counted.join(lexicon, "word").groupBy(row_id).agg(F.sum(F.col("_n") * F.col("valence")).alias("_v"))
-    total = texts.select(row_id).join(sums, row_id, "left").withColumn("_s", F.coalesce("_v", F.lit(0.0)))
+    words = texts.select(row_id, F.explode_outer(runs_of(F.col(text), "[a-zA-Z0-9]+")).alias("word")).withColumn("word", F.lower("word"))
+    total = words.join(lexicon, "word", "left").groupBy(row_id).agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"))
     score = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15.0)
     return total.select(row_id, score.alias("sentiment_score"), sentiment_label(score).alias("sentiment_label"))
 
