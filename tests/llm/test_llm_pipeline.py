@@ -66,3 +66,21 @@ def test_stages(spark):
 def test_run_is_stable(spark):
     once, again = (sorted((r.doc_id, hashlib.sha256(str(r.ids).encode()).hexdigest()) for r in corpus_pipeline.run(spark, SMALL).collect()) for _ in range(2))
     assert once == again and once
+
+
+@pytest.mark.parametrize("rows", [
+    [], [(None, None, None, None, None)], [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "word " * 50, None, None, None), (3, "plain prose " * 200_000, "en", "b", 5), (3, "again", "en", "b", 5)],
+])
+def test_odd_tables_pass_all_stages(spark, tmp_path, rows):
+    """Empty tables, nulls in every column, repeated ids, a very long text, and columns with the names that operators use inside."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.selectExpr("*", "'x' AS score", "'y' AS fp", "1 AS item_id", "2 AS hash", "3 AS ids", "4 AS label")
+    clashing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_pieces", "ids"]
+    found = out.collect()
+    assert {r.doc_id for r in found} <= {r[0] for r in rows} and all(r.n_pieces == len(r.ids) for r in found)
+    if len(rows) > 1:  # without labels all are kept; null and empty texts are copies of each other
+        assert {r.doc_id for r in found} == {1, 3, None} and next(r for r in found if r.doc_id == 1).n_pieces == 0
