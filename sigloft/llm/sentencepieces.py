@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -227,6 +226,7 @@ class PieceTransducer:
             self.acceptor, texts = FreeAcceptor(), list(normal)
             self.weight = np.array([-scores[normal[p]] for p in texts])
             self.fallen = np.float32(PENALTY) - np.float32(min(scores[i] for i in normal.values()))
+        self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.lexicon = Lexicon(texts)
         self.token = {p: t for t, p in enumerate(texts)}
         #: The number of each token in the model; a symbol of merged pieces that is no piece itself goes byte by byte.
@@ -341,13 +341,13 @@ class PieceTransducer:
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text])).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        of_byte, shown = self.of_byte, self.shown
-        if of_byte.keys().isdisjoint(ids):
-            text = "".join(map(shown.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        found, of_byte, shown = np.asarray(ids, np.int32), self.of_byte, self.shown
+        if not self.is_byte[found].any():
+            text = "".join(map(shown.__getitem__, found.tolist()))
         else:
             raw = bytearray()
-            for i in ids:
+            for i in found.tolist():
                 if i in of_byte:
                     raw.append(of_byte[i])
                 else:
@@ -388,7 +388,7 @@ def decoded(pieces: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = transducer(model)
         for batch in ids:
-            yield batch.map(lambda x: "" if x is None else machine.decode(x.tolist()))
+            yield batch.map(lambda x: "" if x is None else machine.decode(x))
 
     return pieces.select(F.col(id_col).alias("doc_id"), text(F.col(ids_col)).alias("text"))
 
@@ -405,9 +405,8 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         for batch in texts:
             rows = []
             for text, found in zip(batch, machine.encode_all(batch)):
-                ids = found.tolist()
-                fallen = 0 if machine.of_byte.keys().isdisjoint(ids) else sum(map(machine.of_byte.__contains__, ids))
-                rows.append((len(ids), fallen, hashlib.sha256(array("i", ids).tobytes()).hexdigest(), machine.decode(ids) == text.replace(SPACE, " ")))
+                fallen = int(machine.is_byte[found].sum())
+                rows.append((len(found), fallen, hashlib.sha256(found.astype("<i4").tobytes()).hexdigest(), machine.decode(found) == text.replace(SPACE, " ")))
             yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
 
     return id_and_text(docs, id_col, text_col).select("doc_id", trip("text").alias("t")).select("doc_id", "t.*")
