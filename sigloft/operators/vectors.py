@@ -29,8 +29,9 @@ def nearest_documents(queries: DataFrame, documents: DataFrame, k: int, window:
     answers a query of the same id.
     """
     if window is None:
-        one = F.lit(0).cast("bigint")
-        return nearest_in_buckets(queries.withColumn("_bucket", one), documents.withColumn("_bucket", one), k, None, document_block, query_block)
+        parts = {"_bucket": F.lit(0).cast("bigint"), "_q_parts": queries.agg(F.ceil(F.count("*") / query_block)).scalar(),
+                 "_d_parts": documents.agg(F.ceil(F.count("*") / document_block)).scalar()}
+        return _nearest_in_blocks(queries.withColumns(parts), documents.withColumns(parts), k, None)
     low, high = F.floor((F.col("as_of") - window) / window), F.floor(F.col("as_of") / window)
     asks = queries.withColumn("_bucket", F.explode(F.array_distinct(F.array(low, high))))
     docs = documents.withColumn("_bucket", F.floor(F.col("doc_time") / window))
@@ -46,8 +47,11 @@ def nearest_in_buckets(asks: DataFrame, docs: DataFrame, k: int, window: int | N
     q_parts, d_parts = F.ceil(F.count("*") / query_block), F.ceil(F.count("*") / document_block)
     asked, stocked = asks.groupBy("_bucket").agg(q_parts.alias("_q_parts")), docs.groupBy("_bucket").agg(d_parts.alias("_d_parts"))
     blocks = asked.join(stocked, "_bucket")
-    asks, docs = asks.join(blocks, "_bucket"), docs.join(blocks, "_bucket")
+    return _nearest_in_blocks(asks.join(blocks, "_bucket"), docs.join(blocks, "_bucket"), k, window)
 
+
+def _nearest_in_blocks(asks: DataFrame, docs: DataFrame, k: int, window: int | None) -> DataFrame:
+    """The scoring, for sides that know into how many blocks their bucket is cut (``_q_parts``, ``_d_parts``)."""
     ask_blocks = (
         asks.withColumn("_q", F.pmod(F.xxhash64("query_id"), "_q_parts"))
         .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_d_parts") - 1)))
