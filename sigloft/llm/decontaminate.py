@@ -1,10 +1,11 @@
 """Benchmark decontamination by an embedding of edit distance and bit-sampling hashing.
 
-Texts and items are sequences of lower-cased words, without signs at their ends. A random walk over a sequence writes the word under its
+Texts and items are sequences of lower-cased words, without signs at their ends; in scripts that put no spaces between words each character is
+a word. A random walk over a sequence writes the word under its
 pointer and moves on or stays, as a random function of the step and the word tells; two sequences at edit distance k get rows of writings
 that differ in a number of places bounded in k (Chakraborty, Goldenberg, Koucky). A table samples a few places of the walk of one random
 function; windows of a text whose samples all agree with an item's are candidates. The number of tables is set so that, at the allowed
-number of edits, a simulation over the items themselves reaches the target recall. Items of over LONGEST words are searched in pieces of
+number of edits, a simulation over the items themselves reaches the target recall; tables and walks are added until it does. Items of over LONGEST words are searched in pieces of
 about that size, each a match of its own. Candidates are verified: the exact edit distance of the whole item to the best stretch of the
 text may be at most MOST_EDITS of its words.
 
@@ -13,8 +14,10 @@ has. A window is walked only if enough pairs of neighbouring words in it are nei
 moves one out of the window, so one with fewer has more edits to every item than are allowed, and this leaves out no match. Items are
 worked on in blocks of bounded size, each block against all texts, so what is sent to the tasks is bounded however large the benchmark is.
 
-Null texts are empty. Items with fewer than SHORTEST words, null ones among them, have no match, for they would mark clean texts;
-repeated items are each reported by their id, equal rows once. Rows with a null id are reported under a null id, repeated rows once each.
+Short items are searched like others: what has no room for an edit is found where it stands verbatim. Since items of fewer than SURE words
+also stand in clean texts, their matches are reported and alone don't make `clean` drop a row.
+
+Null texts are empty. Items without a word, null ones among them, have no match; repeated items are each reported by their id, equal rows once. Rows with a null id are reported under a null id, repeated rows once each.
 Empty tables give no rows. Only the named columns are read.
 """
 
@@ -32,8 +35,12 @@ from pyspark.sql import functions as F
 
 from sigloft.llm.common import id_and_text
 
-MOST_EDITS, SHORTEST, LONGEST, GROWTH = 0.15, 8, 256, 1.2
-WALKS, SAMPLED, RECALL, MOST_TABLES, TRIALS, SEED = 4, 3, 0.98, 32, 400, 11
+MOST_EDITS, SURE, LONGEST, GROWTH = 0.15, 5, 256, 1.2
+#: Below this number of words each size is a class of its own.
+SMALLEST_CLASS = 8
+#: Tables and walks come in rounds; if the last round is reached, the target recall can't be had and an error says so.
+WALKS, TABLES, ROUNDS = 4, 32, 32
+SAMPLED, RECALL, TRIALS, SEED = 3, 0.98, 400, 11
 #: Steps of a walk for each word of a window: at one move in two steps it gets to the window's end.
 STEPS = 1.6
 #: Words of the items of one block.
@@ -45,13 +52,19 @@ PAIRS = 1 << 22
 #: Words of texts that are filtered, and windows that are walked, at once.
 CHUNK_WORDS, CHUNK_WINDOWS = 1 << 20, 1 << 15
 SIGNS = string.punctuation + "«»“”„‘’‚¿¡…–—·"
-_STRETCH = re.compile(r"\S+")
+#: Thai, Lao, Myanmar, Khmer, Kana and Han, by their blocks.
+SPACELESS = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+_SPACELESS = re.compile(f"[{SPACELESS}]")
+_STRETCH = re.compile(rf"[{SPACELESS}]|[^\s{SPACELESS}]+")
 MATCH = "doc_id long, item_id long, start int, end int, edits int, item_words int"
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased stretches without white space and without signs at their ends; those of signs alone are left out."""
-    return [w for w in (x.strip(SIGNS) for x in text.lower().split()) if w]
+    low = text.lower()
+    if not low.isascii():
+        low = _SPACELESS.sub(r" \g<0> ", low)
+    return [w for w in (x.strip(SIGNS) for x in low.split()) if w]
 
 
 def places_of(text: str) -> list[tuple[int, int]]:
@@ -95,9 +108,9 @@ def best_edits(item: list, text: list) -> tuple[int, int]:
 
 
 def cut(words: list[str]) -> list[list[str]]:
-    """The words of an item, long ones in pieces of nearly equal size of at most LONGEST; none if they are too few."""
+    """The words of an item, long ones in pieces of nearly equal size of at most LONGEST."""
     n = -(-len(words) // LONGEST)
-    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)] if len(words) >= SHORTEST else []
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
 class WindowIndex:
@@ -116,8 +129,8 @@ class WindowIndex:
         classes: dict[int, list[int]] = {}
         for at, (_, words) in enumerate(self.items):
             self.pairs[self._pairs(words)] = True
-            size = SHORTEST
-            while int(size * GROWTH) + 1 <= len(words):
+            size = min(SMALLEST_CLASS, len(words))
+            while size >= SMALLEST_CLASS and int(size * GROWTH) + 1 <= len(words):
                 size = int(size * GROWTH) + 1
             classes.setdefault(size, []).append(at)
         self.classes = []
@@ -146,7 +159,8 @@ class WindowIndex:
     def _tables(self, heads: np.ndarray, edits: int, recall: float, size: int, random: np.random.Generator) -> list[tuple[int, list[int]]]:
         """Pairs of a walk and its sampled steps: as many as bring edited copies of the items back often enough."""
         steps = int(size * STEPS)
-        tables = [(t % WALKS, sorted(random.choice(steps, SAMPLED, replace=False).tolist())) for t in range(MOST_TABLES)]
+        drawn = lambda first: [(first + t % WALKS, sorted(random.choice(steps, min(SAMPLED, steps), replace=False).tolist())) for t in range(TABLES)]
+        tables = drawn(0)
         if not edits:
             return tables[:1]
         picked = heads[random.integers(len(heads), size=TRIALS)]
@@ -163,12 +177,19 @@ class WindowIndex:
                     words.insert(at, other)
             copies.append((words + [0] * size)[:size])
         starts, met = np.arange(TRIALS) * size, np.zeros(TRIALS, bool)
-        pairs = zip(self._keys(picked.ravel(), starts, size, tables), self._keys(np.array(copies, np.int32).ravel(), starts, size, tables))
-        for n, (one, other) in enumerate(pairs, 1):
-            met |= one == other
-            if met.mean() >= recall:
-                return tables[:n]
-        return tables
+        one, other = picked.ravel(), np.array(copies, np.int32).ravel()
+        for r in range(ROUNDS):
+            if r:
+                tables += drawn(r * WALKS)
+                if len(self.moves) == r * WALKS:
+                    more = random.integers(1 << 63, size=(WALKS, self.moves.shape[1]), dtype=np.uint64)
+                    self.moves = np.concatenate((self.moves, more * np.uint64(2) + np.uint64(1)))
+            new = tables[r * TABLES :]
+            for n, (x, y) in enumerate(zip(self._keys(one, starts, size, new), self._keys(other, starts, size, new)), r * TABLES + 1):
+                met |= x == y
+                if met.mean() >= recall:
+                    return tables[:n]
+        raise ValueError(f"{len(tables)} tables bring back {met.mean():.3f} of items of {size} words with {edits} edits, not {recall}")
 
     def _keys(self, words: np.ndarray, starts: np.ndarray, size: int, tables: list[tuple[int, list[int]]]) -> Iterator[np.ndarray]:
         """For each table the sampled writings of its walk over each window, mixed into one number."""
@@ -191,13 +212,15 @@ class WindowIndex:
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(start, item) of every window that meets an item in a table."""
-        if len(words) < 2:
+        if not len(words):
             return []
         known = np.concatenate(([0], np.cumsum(self.pairs[self._pairs(words)] & (words[:-1] > 0) & (words[1:] > 0))))
         out = set()
         for size, edits, tables, found, flags in self.classes:
             ends = np.minimum(np.arange(len(known)) + size - 1, len(known) - 1)
             passing = np.nonzero(known[ends] - known >= size - 1 - 3 * edits)[0]
+            if not edits:
+                passing = passing[words[passing] > 0]
             for i in range(0, len(passing), CHUNK_WINDOWS):
                 starts = passing[i : i + CHUNK_WINDOWS]
                 for t, keys in enumerate(self._keys(words, starts, size, tables)):
@@ -291,7 +314,7 @@ def _matched(index: WindowIndex, texts: list[tuple[int, str, np.ndarray]]) -> li
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a match. Rows with a null id stay; rows of one id go together."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = SURE) -> DataFrame:
+    """The rows of ``docs`` without a match of ``least_words``. Rows with a null id stay; rows of one id go together."""
+    gone = contaminated(docs, benchmark, id_col, text_col).filter(F.col("item_words") >= least_words).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -167,7 +167,7 @@ def test_contaminated(spark):
     texts, wanted = {d: decontaminate.words_of(t or "") for d, t, _ in docs}, {i: decontaminate.words_of(t or "") for i, t in items}
     near = {
         (d, i) for d, words in texts.items() for i, item in wanted.items()
-        if i != 92 and len(item) >= decontaminate.SHORTEST and brute_edits(item, words) <= int(len(item) * decontaminate.MOST_EDITS)
+        if i != 92 and item and brute_edits(item, words) <= int(len(item) * decontaminate.MOST_EDITS)
     }
     for block_words in (decontaminate.BLOCK_WORDS, 300):
         got = decontaminate.contaminated(frame, benchmark, block_words=block_words).collect()
@@ -180,6 +180,52 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(frame.limit(0), benchmark).count() == 0 and decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    pick = random.Random(8)
+    han = lambda n: "".join(chr(0x4E00 + pick.randrange(3000)) for _ in range(n))
+    word = lambda: f"w{pick.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(i % 6 + 1))) for i in range(24)] + [(50, han(27)), (51, han(4)), (52, "."), (53, "five words that stand verbatim")]
+    texts = [" ".join(word() for _ in range(pick.randint(0, 60))) for _ in range(80)]
+    # The Chinese item with four of its 27 characters replaced, and in the middle of other characters.
+    edited = "".join(c if i % 7 else "x" for i, c in enumerate(items[24][1]))
+    texts += [f"{han(40)}{items[24][1]}\u3002{han(9)}", edited, f"{han(5)}{items[25][1]}{han(5)}", "Five words, that stand VERBATIM! " + texts[0]]
+    texts.append(" ".join(f"u{pick.randrange(10**6)}" for _ in range(400_000)) + " five words that stand verbatim " + "y" * 1_000_000)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame, benchmark).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    split = {i: decontaminate.words_of(t) for i, t in items}
+    near = {
+        (d, i) for d, t in enumerate(texts[:-1]) for i, item in split.items()
+        if item and brute_edits(item, decontaminate.words_of(t)) <= int(len(item) * decontaminate.MOST_EDITS)
+    } | {(84, 53)}
+    assert found == near and {(80, 50), (81, 50), (82, 51), (83, 53)} <= found
+    for r in got:
+        if not r.edits:
+            assert decontaminate.words_of(texts[r.doc_id][r.start : r.end]) == split[r.item_id]
+    # Short items are reported, yet alone don't make a document go.
+    sure = {r.doc_id for r in got if r.item_words >= decontaminate.SURE}
+    assert {r.doc_id for r in decontaminate.clean(frame, benchmark).collect()} == set(range(len(texts))) - sure and {80, 81, 83, 84} <= sure and 82 not in sure
+
+
+def test_tables_reach_the_target_recall():
+    pick = random.Random(9)
+    for n in (14, 60, 256):
+        item = [f"w{pick.randrange(3000)}" for _ in range(n)]
+        index = decontaminate.WindowIndex([(1, " ".join(item))])
+        hits = 0
+        for _ in range(200):
+            copy = list(item)
+            for _ in range(int(n * decontaminate.MOST_EDITS)):
+                at = pick.randrange(len(copy))
+                copy[at : at + pick.randint(0, 1)] = [f"w{pick.randrange(3000)}"] if pick.random() < 0.7 else []
+            words = index.numbers(copy + ["after"] * 20)
+            hits += any(m[0] == 1 for m in index.matches(words, index.candidates(words)))
+        assert hits >= 0.96 * 200
+    with pytest.raises(ValueError):
+        decontaminate.WindowIndex([(1, " ".join(item))], most_edits=0.9)
+
+
 def test_archive_round_trip(spark, tmp_path):
     pick = random.Random(5)
     page = lambda n: "<p>" + " ".join(f"wörd{pick.randrange(5000)}" for _ in range(n)) + "</p>"
