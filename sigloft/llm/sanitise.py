@@ -3,12 +3,15 @@
 Patterns find e-mail and IP addresses, card and phone numbers. Terms beside them can reveal them as well: for an entity c and a term t,
 the corpus gives in how many documents t stands together with c against in how many it stands anywhere. The pointwise mutual information
 PMI(c; t) = log2(p(c, t) / (p(c) p(t))) is the information about c that t gives away; a term that gives away at least DISCLOSURE of all
-there is, -log2 p(c), is a risk, and each of its occurrences is marked in every document that has c. Probabilities are over the documents of the whole corpus, and a pair must be
-seen in SUPPORT different documents. A risky term with a more general form known to the generaliser is replaced by that form, the
+there is, -log2 p(c), is a risk, and each of its occurrences is marked in every document that has c. Probabilities are over the different ids of the whole corpus, and a pair must be
+seen in SUPPORT of them. A risky term with a more general form known to the generaliser is replaced by that form, the
 others are removed (`sanitised_texts`).
 
-Only entities of SUPPORT documents can have such terms, so the words of documents without one are not paired. Spans of risky terms are added to those of the patterns, with the kind ``term``; parts of a pattern's span are no terms. Null texts are
-empty. Rows with a null id are searched like others and reported under a null id; with an entity they count as one document, as do rows
+Only entities of SUPPORT documents can have such terms, so the words of documents without one are not paired, nor are terms of fewer
+documents or of so many that no entity beside them can be given away by them. Entities that stand in the same rows are one class, and so are
+terms that do; counts are taken over pairs of classes, so a list of many entities, copied with its words, is one pair and not the product of
+both. Positions come back only for terms of risky pairs. Spans of risky terms are added to those of the patterns, with the kind ``term``; parts of a pattern's span are no terms. Null texts are
+empty. Rows with a null id are searched like others and reported under a null id; they count as one document, as do rows
 of one id. Repeated rows give one row each. Empty tables give none. Only the two named columns are read.
 """
 
@@ -143,16 +146,23 @@ def term_filter(terms: DataFrame) -> np.ndarray:
 
 
 def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
-    """``term, df``: in how many documents each term stands, exact for all terms that pass the filter."""
+    """``term, df``: in how many documents each term stands, exact for all terms that pass the filter.
+
+    Rows whose id may come again, by a filter of such ids, list their terms with the id; the terms of others are summed up in the tasks.
+    """
+    again = term_filter(docs.groupBy("doc_id").count().filter("count > 1").select(F.xxhash64("doc_id").alias("term")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.unpackbits(passing).astype(bool)
+        held, repeated = np.unpackbits(passing).astype(bool), np.unpackbits(again).astype(bool)
         # Each word's number, 0 for words that are too short or don't pass.
         numbers: dict[str, int] = {}
         for batch in batches:
             totals: Counter[int] = Counter()
+            # Two hashes name an id, whatever its type.
+            ids = batch[["one", "two"]].to_numpy(np.int64)
+            listed, at = repeated[_bits(ids[:, 0].copy())].all(axis=0), 0
             for part in portions(batch["text"]):
-                words = [set(WORD.findall(text.lower())) for text in part]
+                words = [set(map(str.lower, set(WORD.findall(text)))) for text in part]
                 every = set().union(*words)
                 if len(numbers) + len(every) > REMEMBERED:
                     numbers.clear()
@@ -160,23 +170,49 @@ def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
                 found = np.fromiter((_number(w) if len(w) >= SHORTEST else 0 for w in new), np.int64, len(new))
                 numbers.update(zip(new, np.where(held[_bits(found)].all(axis=0), found, 0).tolist()))
                 for here in words:
-                    totals.update(filter(None, map(numbers.get, here)))
-            yield pd.DataFrame({"term": np.fromiter(totals, np.int64, len(totals)), "df": np.fromiter(totals.values(), np.int64, len(totals))})
-
-    return docs.select("text").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def risky_terms(docs: DataFrame, beside: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``entity, term, pmi`` of the pairs that disclose too much; ``beside``: ``doc_id, entity, term`` of all documents with an entity."""
-    n = docs.count()
-    here = beside.select("doc_id", "entity", "term").distinct()
-    entities = beside.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    pairs = stored(here.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support), "pairs")
-    counts = document_counts(docs, term_filter(pairs.select("term").distinct()))
-    joined = pairs.join(entities, "entity").join(counts, "term")
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.greatest("df", "n_both")))
-    information = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return joined.withColumn("pmi", pmi).filter((F.col("pmi") > 0) & (F.col("pmi") >= disclosure * information)).select("entity", "term", "pmi")
+                    terms = filter(None, map(numbers.get, here))
+                    if listed[at]:
+                        own = np.fromiter(terms, np.int64)
+                        yield pd.DataFrame({"term": own, "one": ids[at, 0], "two": ids[at, 1], "named": True, "df": 1})
+                    else:
+                        totals.update(terms)
+                    at += 1
+            own = np.fromiter(totals, np.int64, len(totals))
+            yield pd.DataFrame({"term": own, "one": 0, "two": 0, "named": False, "df": np.fromiter(totals.values(), np.int64, len(totals))})
+
+    rows = docs.select("text", F.xxhash64("doc_id").alias("one"), F.xxhash64("doc_id", F.lit(1)).alias("two"))
+    rows = rows.mapInPandas(count, "term long, one long, two long, named boolean, df long")
+    rows = rows.groupBy("term", "named", "one", "two").agg(F.sum("df").alias("df"))
+    return rows.groupBy("term").agg(F.sum(F.when(F.col("named"), 1).otherwise(F.col("df"))).alias("df"))
+
+
+def risky_terms(docs: DataFrame, owned: DataFrame, words: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``row, term`` of the terms that disclose too much of an entity of their row; ``owned``: ``row, entity``, ``words``: ``row, term``, each once."""
+    n = float(docs.select("doc_id").distinct().count())
+    ids = F.struct(F.col("row.doc_id"))
+    common = words.groupBy("term").agg(F.count_distinct(ids).alias("n_here")).filter(F.col("n_here") >= support).select("term")
+    common = stored(common, "terms")
+    counts = document_counts(docs, term_filter(common)).join(common, "term")
+    # A term of a pair with n_both <= n_entity documents passes only if its own number is at most n (n_entity / n) ** disclosure.
+    entities = owned.groupBy("entity").agg(F.count_distinct(ids).alias("n_entity"))
+    most = lambda c: F.lit(n * (1 + 1e-9)) * F.pow(c / n, F.lit(disclosure))
+    owned = owned.join(entities, "entity")
+    limits = owned.groupBy("row").agg(most(F.max("n_entity")).alias("most"))
+    kept = words.join(counts, "term").join(limits, "row").filter("df <= most").select("row", "term", "df")
+    kept = stored(kept, "row-terms")
+    # Two hashes over the different rows of an entity or term name its class.
+    mark = lambda n: F.bit_xor(F.xxhash64("row", F.lit(n)))
+    of_term = stored(kept.groupBy("term", "df").agg(mark(1).alias("ta"), mark(2).alias("tb")), "term-classes")
+    of_entity = owned.groupBy("entity", "n_entity").agg(mark(1).alias("ea"), mark(2).alias("eb"))
+    left = owned.join(of_entity, ["entity", "n_entity"]).select("row", "ea", "eb", "n_entity").distinct()
+    right = kept.join(of_term, ["term", "df"]).select("row", "ta", "tb", "df").distinct()
+    pairs = stored(left.join(right, "row").filter(F.col("df") <= most(F.col("n_entity"))), "pairs")
+    of = ("ea", "eb", "n_entity", "ta", "tb", "df")
+    both = pairs.groupBy(*of).agg(F.count_distinct(ids).alias("n_both")).filter(F.col("n_both") >= support)
+    pmi = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("df")))
+    risky = both.filter((pmi > 0) & (pmi >= disclosure * F.log2(F.lit(n) / F.col("n_entity"))))
+    told = pairs.join(risky.select(*of), list(of), "left_semi").select("row", "ta", "tb", "df").distinct()
+    return kept.join(of_term, ["term", "df"]).join(told, ["row", "ta", "tb", "df"]).select("row", "term")
 
 
 def _searched(docs: DataFrame, support: int, disclosure: float) -> DataFrame:
@@ -195,18 +231,24 @@ def _searched(docs: DataFrame, support: int, disclosure: float) -> DataFrame:
             })
 
     found = stored(docs.select("doc_id", F.xxhash64("text").alias("content"), search("text").alias("s")).select("doc_id", "content", "s.*"), "spans")
-    owners = found.select("doc_id", "content", F.explode("entities").alias("entity")).distinct()
-    frequent = owners.select("doc_id", "entity").distinct().groupBy("entity").count().filter(F.col("count") >= support).select("entity")
-    owners = owners.join(frequent, "entity").groupBy("doc_id", "content").agg(F.collect_set("entity").alias("owned"))
-    f, o = found.filter(F.size("words") > 0).dropDuplicates(["doc_id", "content"]).alias("f"), owners.alias("o")
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
-    whole = f.join(o, same("f", "o")).select("f.doc_id", "f.content", "o.owned", F.explode(F.arrays_zip("f.words", "f.starts", "f.ends")).alias("w"))
-    beside = whole.select("doc_id", "content", F.explode("owned").alias("entity"), F.col("w.words").alias("term"), F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
-    beside = stored(beside, "beside")
-    risky = risky_terms(docs, beside, support, disclosure)
-    spans = beside.join(risky, ["entity", "term"]).select("doc_id", "content", "start", "end").distinct()
-    terms = spans.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    whole = found.alias("f").join(terms.alias("t"), same("f", "t"), "left")
+    # Structs are equal where both ids are null.
+    row = F.struct("doc_id", "content").alias("row")
+    owned = found.select(row, F.explode("entities").alias("entity")).distinct()
+    frequent = owned.groupBy("entity").agg(F.count_distinct(F.struct(F.col("row.doc_id"))).alias("n")).filter(F.col("n") >= support).select("entity")
+    owned = stored(owned.join(frequent, "entity").select("row", "entity"), "owned")
+    places = found.dropDuplicates(["doc_id", "content"]).select(row, "words", "starts", "ends").join(owned.select("row").distinct(), "row")
+    places = stored(places, "places")
+    words = places.select("row", F.explode(F.array_distinct("words")).alias("term"))
+    risky = risky_terms(docs, owned, words, support, disclosure).groupBy("row").agg(F.collect_set("term").alias("risky"))
+
+    @F.pandas_udf(kind)
+    def marked(words: pd.Series, starts: pd.Series, ends: pd.Series, risky: pd.Series) -> pd.Series:
+        hits = [np.isin(w, r) for w, r in zip(words, risky)]
+        return pd.Series([[{"kind": "term", "start": x, "end": y} for x, y in zip(a[h].tolist(), b[h].tolist())] for a, b, h in zip(starts, ends, hits)])
+
+    terms = places.join(risky, "row").select("row.doc_id", "row.content", marked("words", "starts", "ends", "risky").alias("terms"))
+    same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.content") == F.col("t.content"))
+    whole = found.alias("f").join(terms.alias("t"), same, "left")
     return whole.select("f.doc_id", "f.content", "f.base", F.coalesce("t.terms", F.array().cast(kind)).alias("terms"))
 
 

@@ -13,7 +13,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from sigloft.llm import decontaminate, quality, sanitise, secret_scans, warc
-from sigloft.session import shared_folder
+from sigloft.session import shared_folder, stored
 
 
 def made_up(alphabet: list[str], n: int, seed: int = 1) -> list[str]:
@@ -126,6 +126,65 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
     assert sanitise.sanitised_texts(docs.limit(0)).count() == 0 and "[email]" in {r.doc_id: r.text for r in sanitise.sanitised_texts(docs).collect()}[100]
 
 
+def brute_disclosures(rows: list, support: int, disclosure: float) -> dict:
+    """The marked words of each different row, from all pairs of an entity and a word."""
+    found = {}
+    for i, text in set(rows):
+        spans = brute_personal(text or "")
+        words = [m for m in re.finditer(r"\w+", text or "") if m.end() - m.start() >= 3 and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        found[i, text] = {(k, text[a:b].lower()) for k, a, b in spans}, words
+    ids = {i for i, _ in found}
+    standing, having, beside = {}, {}, {}
+    for (i, t), (entities, words) in found.items():
+        for w in {m.group().lower() for m in re.finditer(r"\w+", t or "")}:
+            standing.setdefault(w, set()).add(i)
+        for e in entities:
+            having.setdefault(e, set()).add(i)
+            for w in {m.group().lower() for m in words}:
+                beside.setdefault((e, w), set()).add(i)
+    risky = set()
+    for (e, w), both in beside.items():
+        n, n_e, df = len(ids), len(having[e]), len(standing[w])
+        pmi = np.log2(len(both) * n / (n_e * df))
+        if min(len(both), n_e) >= support and pmi > 0 and pmi >= disclosure * np.log2(n / n_e):
+            risky.add((e, w))
+    return {key: [m.span() for m in words if any((e, m.group().lower()) in risky for e in entities)] for key, (entities, words) in found.items()}
+
+
+@pytest.mark.parametrize("disclosure", [0.3, 0.63, 0.8])
+def test_disclosing_terms_are_those_of_all_pairs(spark, disclosure):
+    pick = random.Random(12)
+    topics = [[f"topic{k}word{j}" for j in range(4)] for k in range(6)]
+    rows = []
+    for i in range(150):
+        k = min(pick.randrange(9), 5)
+        words = [f"plain{pick.randrange(30)}" for _ in range(pick.randint(0, 25))] + [w for w in topics[k] if pick.random() < 0.6]
+        words += [f"user{k}{'ab'[j]}@mail.example" for j in range(2) if pick.random() < 0.5] + (["10.0.0.7"] if pick.random() < 0.3 else [])
+        pick.shuffle(words)
+        rows.append((pick.choice([i, i, None, i // 10]), " ".join(words)))
+    rows += rows[:20] + [(999, None), (998, ""), (None, rows[3][1])]
+    expected = brute_disclosures(rows, 3, disclosure)
+    got = sanitise.searched(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=disclosure).collect()
+    listed = lambda pairs: sorted(map(str, pairs))
+    assert any(expected.values())
+    assert listed((r.doc_id, [(s.start, s.end) for s in r.terms]) for r in got) == listed((i, expected[i, t]) for i, t in rows)
+
+
+def test_a_list_of_many_entities_is_no_product(spark, monkeypatch):
+    sizes = {}
+
+    def recorded(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sanitise, "stored", recorded)
+    contacts = " ".join(f"name{i} of street{i} town{i} wrote user{i}@mail.example" for i in range(300))
+    rows = [(i, contacts) for i in range(3)] + [(10 + i, f"other words {i} of common texts") for i in range(60)]
+    got = {r.doc_id: r.terms for r in sanitise.searched(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[0]) == 4 * 300 and not got[10] and sizes["pairs"] <= 12
+
+
 def brute_edits(item: list, text: list) -> int:
     before = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
