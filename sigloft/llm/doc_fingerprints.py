@@ -112,7 +112,9 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ROW for every document: its fingerprint, that of its edited text, and their and the next document's likeness."""
     spark = docs.sparkSession
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # With the hash in the ranges, many rows of one id, or without one, spread over tasks.
+    order = F.col("doc_id"), F.xxhash64("text")
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     done = stored(ordered.mapInPandas(_rows, ROW + ", part int, edge string, text string"), "fingerprint-ranges")
     # One row for each range: which range comes next, the first after the last.
     parts = sorted(r.part for r in done.filter("edge = 'first'").select("part").collect())

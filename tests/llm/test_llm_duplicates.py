@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sigloft.llm import components, doc_fingerprints, fuzzy_passages, simhash_dedup
 
@@ -89,6 +90,27 @@ def test_block_tables(spark):
     assert got == {(a, b): (a ^ b).bit_count() for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
 
 
+def test_neighbours_of_many_rows_without_an_id(spark):
+    pick = random.Random(16)
+    rows = [(None if i % 3 else i // 30, " ".join(prose(pick, 12))) for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = doc_fingerprints.compared_with_edits(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.edited_sha256, r.near_next) for r in done.collect())
+        ranges = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange("doc_id", F.xxhash64("text"))
+        nulls = ranges.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), 42), "big", signed=True)
+    rows.sort(key=lambda r: (-1 if r[0] is None else r[0], signed(r[1])))
+    expected = []
+    for (i, own), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        near = doc_fingerprints.likeness(doc_fingerprints.fingerprint(own), doc_fingerprints.fingerprint(following))
+        expected.append((-1 if i is None else i, hashlib.sha256(doc_fingerprints.edited(own, following).encode()).hexdigest(), near))
+    assert got == sorted(expected)
+    assert len(nulls) > 1
+
+
 def test_edited_texts(spark):
     pick = random.Random(6)
     texts = ["", None, "é"] + [" ".join(prose(pick, n)) for n in (1, 2, 3, 40, 200, 900, 5)] + ["same"] * 3
