@@ -161,7 +161,7 @@ def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
             # Two hashes name an id, whatever its type.
             ids = batch[["one", "two"]].to_numpy(np.int64)
             listed, at = repeated[_bits(ids[:, 0].copy())].all(axis=0), 0
-            for part in portions(batch["text"]):
+            for part in portions(batch["text"], 1 << 20):
                 words = [set(map(str.lower, set(WORD.findall(text)))) for text in part]
                 every = set().union(*words)
                 if len(numbers) + len(every) > REMEMBERED:
@@ -223,7 +223,8 @@ def _searched(docs: DataFrame, support: int, disclosure: float) -> DataFrame:
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             base = [base_spans(t) for t in batch]
-            words = [terms_of(t, s) if s else ([], [], []) for t, s in zip(batch, base)]
+            # As arrays: lists of numbers would take many times the memory.
+            words = [tuple(map(np.array, terms_of(t, s) if s else ([], [], []), (np.int64, np.int32, np.int32))) for t, s in zip(batch, base)]
             yield pd.DataFrame({
                 "base": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in base],
                 "entities": [entities(t, s) for t, s in zip(batch, base)],
