@@ -34,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, DISCLOSURE, SHORTEST = 3, 0.8, 3
 #: Bits of the filter of candidate terms that every task gets, and how many of them a term sets.
 FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+#: Parts of the filter that tasks unite.
+FILTER_BLOCKS = 128
 #: Words whose number a task remembers.
 REMEMBERED = 400_000
 
@@ -127,22 +129,23 @@ def term_filter(terms: DataFrame) -> np.ndarray:
         held = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             held[_bits(batch["term"].to_numpy(np.int64)).ravel()] = True
-        if held.any():
-            yield pd.DataFrame({"bits": [np.packbits(held).tobytes()]})
+        blocks = np.packbits(held).reshape(FILTER_BLOCKS, -1)
+        marked = np.nonzero(blocks.any(axis=1))[0]
+        yield pd.DataFrame({"block": marked.astype(np.int32), "bits": [blocks[b].tobytes() for b in marked]})
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(FILTER_BITS // 8, np.uint8)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for bits in batch["bits"]:
-                held |= np.frombuffer(bits, np.uint8)
-        yield pd.DataFrame({"bits": [held.tobytes()]})
-
-    # Up to 16 filters of fixed size come to the driver, whatever the number of terms.
-    rows = terms.repartition(16, "term").mapInPandas(mark, "bits binary").mapInPandas(unite, "bits binary").collect()
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        whole |= np.frombuffer(r.bits, np.uint8)
-    return whole
+            for block, bits in zip(batch["block"].tolist(), batch["bits"]):
+                held[block] = held.get(block, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+        yield pd.DataFrame({"block": np.array(list(held), np.int32), "bits": [x.tobytes() for x in held.values()]})
+
+    # Each block of the filter comes to the driver once, whatever the number of terms or tasks.
+    marks = terms.repartition(16, "term").mapInPandas(mark, "block int, bits binary")
+    whole = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8 // FILTER_BLOCKS), np.uint8)
+    for r in marks.repartition(16, "block").mapInPandas(unite, "block int, bits binary").collect():
+        whole[r.block] = np.frombuffer(r.bits, np.uint8)
+    return whole.ravel()
 
 
 def document_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
