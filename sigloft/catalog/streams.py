@@ -18,7 +18,8 @@ _DOCUMENTS = _struct("doc_id bigint, text string, lang string, source string, n_
 
 
 def _stream(spark, sf, name: str, schema: T.StructType):
-    return jobs.open_stream(pin_utc(spark), sf, schema, f"{name}.parquet")
+    """A given table, which is one file or a folder of part files. A streamed path must be a folder unless it is a pattern, so it is one of a single name."""
+    return jobs.open_stream(pin_utc(spark), f"{sf}/{{{name}}}.parquet", schema, "*")
 
 
 @query("stream_tumbling", """

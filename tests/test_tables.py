@@ -1,5 +1,8 @@
 """Versioned tables, landed files and repeated streaming runs."""
 
+import hashlib
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +272,17 @@ def test_embedding_sync_replaces_windows_in_ordered_batches(spark):
     assert sync_embeddings(spark, feed(texts), "news", path, 2, 10) == 0 and _files(path) == before
     texts["d"], texts["f"] = ("w" * 2, 5), ("new", 3)
     assert sync_embeddings(spark, feed(texts), "news", path, 10, 10) == 1 and windows() == want()
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from sigloft.catalog.streams import stream_dedup
+
+    rows = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(["a", "b", "a", None, "", "b"])], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part")
+    Path(f"{tmp_path}/one").mkdir()
+    [part] = Path(f"{tmp_path}/part").glob("part-*.parquet")
+    Path(f"{tmp_path}/one/documents.parquet").write_bytes(part.read_bytes())
+    for folder in ("one", "many"):
+        got = [r.content for r in stream_dedup(spark, f"{tmp_path}/{folder}").collect()]
+        assert len(got) == 4 and set(got) == {hashlib.md5(x.encode()).hexdigest() for x in ("a", "b", "")} | {None}
