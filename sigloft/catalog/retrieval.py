@@ -156,5 +156,4 @@ def embedding_sync(spark, sf):
     longer = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", *["full_text"] * 3)).otherwise(F.col("full_text"))
     for feed in (rows.withColumn("full_text", longer), rows):
         plan.sync_embeddings(spark, feed, "news", path, size)
-    stored_rows = tables.read_buckets(spark, path)
-    return stored_rows.select("id", "window", "document_md5", F.md5("model_input").alias("model_input_md5"))
+    return tables.read_buckets(spark, path, select=["id", "window", "document_md5", F.md5("model_input").alias("model_input_md5")])

@@ -82,7 +82,7 @@ def embed_documents(feed: DataFrame, collection: str, max_chars: int = fv.MODEL_
 def pending_documents(feed: DataFrame, collection: str, held: DataFrame | None) -> DataFrame:
     """The rows of the feed whose document is not in the store as it is now: new ones and changed ones.
 
-    ``held``: the store's rows (id, window, document_md5); every window of a document carries the md5 of the whole text.
+    ``held``: the store's rows (id, document_md5); every window of a document carries the md5 of the whole text.
     """
     if held is None:
         return feed
@@ -97,10 +97,10 @@ def sync_embeddings(spark: SparkSession, feed: DataFrame, collection: str, path:
 
     A batch is the ``batch_size`` oldest pending documents and all others of the last one's time, so a cut never parts rows of equal time;
     batches follow until none is pending. A batch replaces all windows of its documents, so a document that got shorter leaves none
-    behind. Only the buckets of a batch's documents are written, and what is in line already is not touched.
+    behind. Only the windows of a batch's documents are written, and what is in line already is not touched.
     """
     try:
-        held = tables.read_buckets(spark, path)
+        held = tables.read_buckets(spark, path, select=["id", "document_md5"])
     except FileNotFoundError:
         held = None
     pending = stored(pending_documents(feed, collection, held).repartitionByRange("sec"), "pending")

@@ -137,17 +137,42 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
 def _bucket_folder(spark: SparkSession, path: str, buckets: int) -> tuple[str, bool]:
     """Where the table is, and whether it has rows yet. The number of buckets is part of the name, so it can't change unnoticed."""
     store, base = fs.FileSystem.from_uri(path)
-    found = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.base_name.startswith("of-")]
+    found = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.base_name.startswith(("of-", "log-"))]
     if found and found != [f"of-{buckets}"]:
         raise ValueError(f"{path} is laid out as {found[0]}, not of-{buckets}")
     return f"{path}/of-{buckets}", bool(found)
 
 
-def read_buckets(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+def read_buckets(spark: SparkSession, path: str, buckets: int = BUCKETS, select: Sequence[Column | str] = ("*",)) -> DataFrame:
+    """The table's rows. ``select`` is taken before replaced rows are left out, so that wide columns need not travel for that."""
+    if (version := current_version(spark, path)) is not None:
+        return _standing(spark, path, buckets, version, select)
     folder, exists = _bucket_folder(spark, path, buckets)
     if not exists:
         raise FileNotFoundError(f"{path} has no rows yet")
-    return spark.read.option("mergeSchema", True).parquet(folder).drop("_bucket")
+    return spark.read.option("mergeSchema", True).parquet(folder).drop("_bucket").select(*select)
+
+
+def _standing(spark: SparkSession, path: str, buckets: int, version: int, select: Sequence[Column | str]) -> DataFrame:
+    """The rows of all versions up to ``version``, without those whose key a later one has replaced."""
+    folder = _log_folder(path, buckets)
+    rows = spark.read.option("mergeSchema", True).parquet(f"{folder}/rows").where(F.col("_version") <= version).drop("_bucket")
+    gone = spark.read.parquet(f"{folder}/replaced").where(F.col("_version") <= version)
+    if gone.isEmpty():
+        return rows.drop("_version").select(*select)
+    [key] = [c for c in gone.columns if c != "_version"]
+    latest = gone.groupBy(F.col(key).alias("_gone")).agg(F.max("_version").alias("_since"))
+    taken = rows.select(F.col(key).alias("_key"), F.col("_version").alias("_of"), *select)
+    return taken.join(latest, (F.col("_key") == F.col("_gone")) & (F.col("_of") < F.col("_since")), "left_anti").drop("_key", "_of", "_version")
+
+
+def _log_folder(path: str, buckets: int) -> str:
+    """The folder of a table written by :func:`replace_buckets`; as with ``_bucket_folder`` the number of buckets can't change unnoticed."""
+    store, base = fs.FileSystem.from_uri(path)
+    found = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.base_name.startswith(("of-", "log-"))]
+    if found and found != [f"log-{buckets}"]:
+        raise ValueError(f"{path} is laid out as {found[0]}, not log-{buckets}")
+    return f"{path}/log-{buckets}"
 
 
 def _touched(spark: SparkSession, folder: str, keyed: DataFrame) -> DataFrame:
@@ -178,12 +203,34 @@ def merge_buckets(spark: SparkSession, path: str, batch: DataFrame, keys: Sequen
 
 
 def replace_buckets(spark: SparkSession, path: str, batch: DataFrame, key: str, buckets: int = BUCKETS) -> None:
-    """All stored rows of the batch's keys go and the batch's rows come, however many a key has; only their buckets are written again."""
-    folder, exists = _bucket_folder(spark, path, buckets)
-    rows = batch.withColumn("_bucket", _bucket([key], buckets))
-    if exists:
-        rows = _touched(spark, folder, rows).join(batch.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-    _write_buckets(rows, folder)
+    """All stored rows of the batch's keys go and the batch's rows come, however many a key has. Rows with a null key only come.
+
+    A batch writes its own rows, by buckets, and those of their keys that the table has already, for which only the keys in the batch's
+    buckets are read. Older rows of such keys stay in their files and are left out by :func:`read_buckets`, so no stored row is moved or
+    written again. A version counts once it is named in the manifest, so a run that fails before that changes nothing, and the next one
+    takes the same number. One writer at a time. ``settle_buckets`` writes the table anew without replaced rows.
+    """
+    folder, known = _log_folder(path, buckets), current_version(spark, path)
+    version = (known or 0) + 1
+    to = f"{folder}/rows/_version={version}"
+    batch.withColumn("_bucket", _bucket([key], buckets)).hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(to)
+    rows = spark.read.schema(batch.schema).parquet(to)
+    if rows.isEmpty():
+        return
+    keys = rows.select(key).distinct()
+    if known is None:
+        keys = keys.where(F.lit(False))
+    else:
+        numbers = [r[0] for r in keys.select(_bucket([key], buckets)).distinct().collect()]
+        older = spark.read.parquet(f"{folder}/rows").where((F.col("_version") <= known) & F.col("_bucket").isin(numbers))
+        keys = keys.join(older.select(key), key, "left_semi")
+    keys.write.mode("overwrite").parquet(f"{folder}/replaced/_version={version}")
+    spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+
+
+def settle_buckets(spark: SparkSession, path: str, target: str, key: str, buckets: int = BUCKETS) -> None:
+    """Writes the table anew to ``target``, without the rows that batches have replaced."""
+    replace_buckets(spark, target, read_buckets(spark, path, buckets), key, buckets)
 
 
 def update_buckets(spark: SparkSession, path: str, hits: DataFrame, keys: Sequence[str], condition: Column, changes: dict[str, Column],
