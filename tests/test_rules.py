@@ -229,3 +229,15 @@ def test_least_denies(spark):
     texts = spark.createDataFrame([(1, "least good"), (2, "at least good"), (3, "the least good")], "id int, text string")
     got = {r.id: r.sentiment_label for r in sentence_sentiment(texts, "id", "text", lexicon).collect()}
     assert got == {1: "Negative", 2: "Positive", 3: "Negative"}
+
+
+def test_only_numbers_of_list_words_travel(spark):
+    lexicon = spark.createDataFrame(list(_VALENCES.items()), "word string, valence double")
+    texts = spark.createDataFrame([(1, " NEVER so\tGOOD, never this bad \n"), (2, " \n"), (3, "but GOOD"), (4, "ok, -so- good :)")], "id int, text string")
+    scored = sentence_sentiment(texts, "id", "text", lexicon)
+    want = {1: (1.9 + 0.733 + 0.293) * 1.25 + -2.5 * 1.25, 2: 0, 3: (1.9 + 0.733) * 1.5, 4: 1.9}  # "so" raises, "-so-" is kept with its signs
+    assert {r.id: r.sentiment_score for r in scored.collect()} == {k: pytest.approx(x / (x * x + 15) ** 0.5, abs=1e-6) for k, x in want.items()}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[plan.index("Window [") : plan.index("Join Inner")]
+    assert "_b1" in met and not any(f"_w{k}" in met for k in range(4))
+    assert "size(split(" not in plan  # texts are not split once more to see whether they have words
