@@ -42,6 +42,14 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Python operators on long texts get at most ``rows`` rows at once, so that neither side of the pipe holds many texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor must be able to reach.
 

@@ -279,3 +279,19 @@ def test_filter_of_shared_seeds(spark):
     every, shared = set().union(*seeds), {k for i, a in enumerate(seeds) for b in seeds[:i] for k in a & b}
     bit = lambda k: int(fuzzy_passages._bits(np.array([k]))[0])
     assert shared and all(held[bit(k)] for k in shared) and sum(held[bit(k)] for k in every - shared) <= 2
+
+
+def test_edited_passages_of_frequent_lines_are_found(spark):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [some(12) for _ in range(6)]
+    # Every line, and every line with its neighbour, is first in a document of its own, which has nothing else of the passage.
+    texts = {i: some(60) + lines[i] + lines[i + 1] + some(60) for i in range(5)}
+    whole = sum(lines, [])
+    edited = list(whole)
+    edited[30], edited[42] = some(2)
+    texts |= {100: some(60) + whole + some(60), 101: some(40) + edited + some(30)}
+    got = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    found = [r for r in got if (r.doc_id, r.other_id) == (101, 100)]
+    assert [(r.start_word, r.end_word, r.other_start, r.other_end, r.edits) for r in found] == [(40, 112, 60, 132, 2)]
+    assert all(r.doc_id == 101 for r in got)
