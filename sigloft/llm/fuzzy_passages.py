@@ -59,7 +59,7 @@ RUNS = "doc long, key long, start int, stop int, open boolean"
 WINDOWS = "key long, doc long, pos int"
 PAIRS = "key long, doc long, pos int, far int"
 #: One row for each document: its chains one after the other, and of each the anchor, the words of the anchor to align with, and its length.
-#: Binary columns are the bytes of int32 or, for keys, int64 numbers.
+#: Binary columns are the bytes of int32 numbers; for keys of int64, for steps, which are at most W, of int8 ones.
 CHAINS = "doc long, links array<struct<anchor: long, low: int, high: int>>, sizes binary, anchor_pos binary, pos binary"
 #: The same with the shared seeds of the document, by place, and how many places lie from the first to the last.
 CHAINS_AND_SEEDS = f"{CHAINS}, places binary, steps binary, keys binary, reach int"
@@ -357,7 +357,7 @@ def _chains(batches: Iterator[pa.RecordBatch], needed: int, seeds: bool) -> Iter
             reach = np.zeros(len(docs), np.int32)
             ends = np.cumsum(counts)[counts > 0]
             reach[counts > 0] = x[ends - 1] - x[ends - counts[counts > 0]]
-            columns += [_blobs(x, counts), _blobs(y, counts), _blobs(z, counts, np.int64), pa.array(reach)]
+            columns += [_blobs(x, counts), _blobs(y, counts, np.int8), _blobs(z, counts, np.int64), pa.array(reach)]
         yield pa.RecordBatch.from_arrays(columns, ["doc", "links", "sizes", "anchor_pos", "pos", "places", "steps", "keys", "reach"][: len(columns)])
 
 
@@ -531,7 +531,7 @@ def _seed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
             if end < len(sizes) and sizes[begin : end + 1].sum() <= SEEDS_AT_ONCE:
                 continue
             part, begin = batch.slice(begin, end - begin), end
-            (pos, of), (step, _), (key, _) = _numbers(part, "places"), _numbers(part, "steps"), _numbers(part, "keys", np.int64)
+            (pos, of), (step, _), (key, _) = _numbers(part, "places"), _numbers(part, "steps", np.int8), _numbers(part, "keys", np.int64)
             pos, number = pos.astype(np.int64), np.repeat(np.arange(len(of) - 1), np.diff(of))
             yield part.column("doc").to_numpy()[number], number, pos, step, key, _bare(number, pos, *_list(part, "spans"))
 
@@ -626,7 +626,7 @@ def aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
     empty = lambda c: F.array().cast(chained.schema[c].dataType) if c == "links" else F.lit("").cast("binary")
     rows = chained.filter(F.size("links") > 0).select("doc", *own, F.array().cast("array<struct<low: int, high: int>>").alias("asked"))
     rows = rows.unionByName(asked.select("doc", *(empty(c).alias(c) for c in own), "asked"))
-    cut = stored(texts.join(rows.hint("shuffle_hash"), "doc").mapInArrow(_cut, STRETCHES), "stretches")
+    cut = stored(texts.join(rows.hint("shuffle_hash"), "doc").mapInArrow(_cut, STRETCHES), "stretches", "zstd")
     of_anchors = cut.filter("doc IS NULL").select("anchor", "low", "high", F.col("words").alias("anchor_words"))
     return cut.filter("doc IS NOT NULL").join(of_anchors.hint("shuffle_hash"), ["anchor", "low", "high"]).mapInArrow(_aligned, PASSAGES).distinct()
 
@@ -643,7 +643,7 @@ def seeds_and_spans(chained: DataFrame, found: DataFrame) -> DataFrame:
 def open_windows(chained: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """WINDOWS around the shared seeds that lie in a stretch of shared seeds and that no passage covers, of all documents that have such a seed."""
     seeds = seeds_and_spans(chained.filter(F.col("reach") >= SPREAD), found)
-    seeds, ranges = stored(seeds, "seeds"), _ranges(chained)
+    seeds, ranges = stored(seeds, "seeds", "zstd"), _ranges(chained)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, key, _, _, bare in _runs(batches):
@@ -680,8 +680,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
-    seeds = stored(docs.mapInArrow(lambda b: _seeds(b, shared.value), SEEDS), "seeds")
-    chained = stored(chains(matches(seeds, "key", "step")), "chains")
+    seeds = stored(docs.mapInArrow(lambda b: _seeds(b, shared.value), SEEDS), "seeds", "zstd")
+    chained = stored(chains(matches(seeds, "key", "step")), "chains", "zstd")
     found = stored(aligned(chained, texts), "passages")
     windows = stored(open_windows(chained, found, texts), "windows")
     found = found.unionByName(stored(aligned(stored(chains(matches(windows), 1), "chains"), texts), "passages"))

@@ -295,3 +295,47 @@ def test_edited_passages_of_frequent_lines_are_found(spark):
     found = [r for r in got if (r.doc_id, r.other_id) == (101, 100)]
     assert [(r.start_word, r.end_word, r.other_start, r.other_end, r.edits) for r in found] == [(40, 112, 60, 132, 2)]
     assert all(r.doc_id == 101 for r in got)
+
+
+def test_chains_and_seeds_of_many_at_once():
+    rng = np.random.default_rng(3)
+    for k in range(100):
+        n = int(rng.integers(1, 60))
+        pair = np.sort(rng.integers(0, 6, n))
+        pos, anchor = (np.cumsum(rng.integers(1, 90, n)) if k % 2 else rng.integers(0, 300, n) for _ in range(2))
+        order = np.lexsort((anchor, pos, pair))
+        pair, anchor, pos = pair[order], anchor[order], pos[order]
+        labels = fuzzy_passages._labels(pair, anchor, pos)
+        got = {tuple(np.nonzero(labels == x)[0].tolist()) for x in labels.tolist()}
+        own = [np.nonzero(pair == p)[0] for p in set(pair.tolist())]
+        assert got == {tuple(i[c].tolist()) for i in own for c in fuzzy_passages.chains_of(anchor[i], pos[i])}
+    texts = [f"w{i % 7} x{i}" * 3 + " to" * i for i in range(45, 60)] + ["to " * 80, "one two"]
+    words, sizes, which = fuzzy_passages._words_of_all(texts)
+    keys, text, places, _ = fuzzy_passages.seed_rows(words, sizes)
+    for k, i in enumerate(which.tolist()):
+        alone = fuzzy_passages.seeds_of(fuzzy_passages.words_of(texts[i]))
+        assert sorted(zip(keys[text == k].tolist(), places[text == k].tolist())) == sorted(zip(*(x.tolist() for x in alone)))
+    assert len(texts) - 1 not in which
+
+
+def test_texts_travel_once_a_search(spark, monkeypatch):
+    pick = random.Random(31)
+    own = lambda n: prose(pick, n, 10**6)
+    heads = [own(60) for _ in range(20)]
+    rows = [(1, " ".join(sum(heads, []))), *((i + 2, " ".join(own(20) + h + own(20))) for i, h in enumerate(heads))]
+    asked, cut = [], fuzzy_passages.stored
+
+    def seen(df, purpose, *more):
+        out = cut(df, purpose, *more)
+        if purpose == "stretches":
+            asked.append(out.filter("doc IS NULL").count())
+        if purpose == "chains":
+            # One row for each document, with all of its chains, goes to the text.
+            assert out.count() == out.select("doc").distinct().count()
+        return out
+
+    monkeypatch.setattr(fuzzy_passages, "stored", seen)
+    got = fuzzy_passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got} == {
+        (i + 2, 20, 80, 1, 60 * i, 60 * i + 60) for i in range(20)}
+    assert asked[0] == 20
