@@ -8,7 +8,8 @@ most one edit apart too, so its first or its last half is whole as well: that ha
 words share (a common ending) is split by it on both sides. What meets is verified by the exact edit distance.
 
 All steps are DataFrame functions. Words are counted before anything is joined, on the map side first, so a word that makes up a third
-of a corpus is one row; the join's rows are 12 and 4 for each distinct word. A pair that meets by several keys is one pair.
+of a corpus is one row; the join's rows are 12 and 4 for each distinct word. A pair that meets by several keys is one pair. No join
+sends a table through the driver: all of them grow with the distinct words.
 
 Null texts have no words; a null id counts as an empty string where letters are dropped. Repeated rows count again. Texts of any length
 are taken whole. Ties between equally frequent neighbours go to the smallest word in code-point order. Empty tables give empty results,
@@ -29,6 +30,15 @@ from sigloft.session import stored
 LETTERS = "[A-Za-zÀ-ÿ]+"
 
 
+def _merged(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The join by sorting both sides, also where Spark would broadcast one.
+
+    Spark sizes a stored table by its compressed files, and rows exploded from it as if they were no more than the table's, so what it
+    takes for small may be over a hundred times that in the driver's memory.
+    """
+    return left.join(right.hint("merge"), key, how)
+
+
 def damaged_words(docs: DataFrame, every: int | None = 199, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``word`` for each run of letters that has ``least`` code points or more, with A-Z lower-cased.
 
@@ -84,7 +94,7 @@ def near_pairs(words: DataFrame, least: int = 6) -> DataFrame:
     grams = F.concat(F.array(*_keys(size, (0,))), F.when(size > least, F.array(*_keys(size - 1, (0, 1)))).otherwise(F.array().cast("array<bigint>")))
     grams = words.select(F.explode(F.array_distinct(grams)).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     ordered = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = chunks.join(grams, "key").where(ordered & (F.length("a") <= F.length("b")) & (F.levenshtein("a", "b", 1) == 1))
+    met = _merged(chunks, grams, "key").where(ordered & (F.length("a") <= F.length("b")) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b", "n_a", "n_b").distinct()
 
 
@@ -93,7 +103,7 @@ def roots_of(links: DataFrame) -> DataFrame:
     roots = stored(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = roots.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        moved = _merged(roots, onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         moved = stored(moved, "roots")
         if moved.where("moved").isEmpty():
             return moved.select("word", "root")
@@ -116,10 +126,10 @@ def variant_groups(words: DataFrame, ratio: int = 5, least: int = 6) -> DataFram
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("other"))).alias("best")
     )
     most = -F.col("best.m")
-    formed = words.join(near, "word", "left").select(
+    formed = _merged(words, near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(most >= ratio * F.col("n"), F.struct(F.col("best.other").alias("form"), most.alias("form_n"))).alias("f"),
     )
     formed = stored(formed.select("word", "f.form", "n", "n_near", "f.form_n"), "forms")
     roots = roots_of(formed.where("form IS NOT NULL"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _merged(formed, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sigloft.llm import spelling_variants as sv
+from sigloft.session import stored
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -99,3 +100,17 @@ def test_ties_go_to_the_smallest_word(spark):
     assert out["gardem"] == ("gardex", "gardex", 5, 3, 31) and out["garden"][0] is None
     counts["gardex"] = 30
     assert result(sv.variant_groups(spark.createDataFrame(list(counts.items()), "word string, n long")))["gardem"][0] == "garden"
+
+
+def test_no_table_passes_the_driver(spark, monkeypatch):
+    """Spark sizes stored tables by their files and exploded rows like their table, so none may be left to a broadcast."""
+    made = []
+    monkeypatch.setattr(sv, "stored", lambda df, *a: made.append(df) or stored(df, *a))
+    counts = {"garden": 900, "gardem": 150, "gardemx": 20, "gardemxy": 5, "tortoise": 40, "tortoisse": 8, "lonely": 7}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    groups = sv.variant_groups(words)
+    assert result(groups) == by_hand(counts) and by_hand(counts)["gardemx"][:2] == ("gardem", "garden")
+    pairs = sv.near_pairs(stored(words, "words"))
+    assert pairs.count() == sum(one_edit(a, b) for a in counts for b in counts) / 2
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*made, pairs, groups)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
